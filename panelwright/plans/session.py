@@ -1,0 +1,24 @@
+"""Session settings the operators rely on."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Adaptive execution with skewed-join splitting, UTC days. All are runtime settings."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; a local one only where none is set, as in tests."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    folder = configured or tempfile.mkdtemp(prefix="panelwright-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
