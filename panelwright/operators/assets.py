@@ -30,10 +30,15 @@ def with_day_index(dates: DataFrame) -> DataFrame:
     )
 
 
-def instrument_master(bars: DataFrame, grace_days: int = DELIST_GRACE_DAYS) -> DataFrame:
-    """(sid, symbol, list_date, delist_date); delisted = last bar older than the grace period."""
+def instrument_master(
+    bars: DataFrame, grace_days: int = DELIST_GRACE_DAYS, calendar: DataFrame | None = None
+) -> DataFrame:
+    """(sid, symbol, list_date, delist_date); delisted = last bar older than the grace period.
+
+    With the bars' own calendar given, the latest date comes from it instead of another pass over the bars.
+    """
     spans = bars.groupBy("sid").agg(F.min("date").alias("list_date"), F.max("date").alias("last_date"))
-    latest = bars.agg(F.max("date")).scalar()
+    latest = (bars if calendar is None else calendar).agg(F.max("date")).scalar()
     return spans.select(
         "sid",
         F.col("sid").alias("symbol"),

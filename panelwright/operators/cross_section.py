@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.missing import clip_abs, is_finite
+from panelwright.operators.staging import stage
 from panelwright.operators.ranks import attach_ranks, average_rank, ordinal_positions, top_k, value_ranks
 
 DAY = ["date"]
@@ -33,7 +34,8 @@ def drop_small_groups(df: DataFrame, min_group_size: int) -> DataFrame:
 
 
 def _binned(position: Column, n_bins: int) -> Column:
-    return F.greatest(F.lit(0), F.least(position, F.lit(n_bins - 1))).cast("int")
+    """Clip to 0 .. n_bins - 1; NULL stays NULL (greatest and least would skip it)."""
+    return F.when(position.isNotNull(), F.greatest(F.lit(0), F.least(position, F.lit(n_bins - 1)))).cast("int")
 
 
 def relevance_bins(df: DataFrame, value: str, n_bins: int = 10, name: str = "relevance", by: Sequence[str] = DAY) -> DataFrame:
@@ -85,9 +87,14 @@ def sample_per_day(df: DataFrame, k: int, present: str, seed: int = 42) -> DataF
 def ranking_rows(
     view: DataFrame, min_group_size: int = 30, n_bins: int = 10, clip_y_abs: float = 0.0
 ) -> DataFrame:
-    """Training rows of a ranker: usable and labelled, label clipped, small days dropped, relevance added."""
-    usable = view.where(F.col("y_valid") & F.col("usable")).withColumn("y_raw", clip_abs(F.col("y"), clip_y_abs))
-    return relevance_bins(drop_small_groups(usable, min_group_size), "y_raw", n_bins)
+    """Training rows of a ranker: usable and labelled, label clipped, small days dropped, relevance added.
+
+    Days are ranked on a staged (date, sid, label) table; the features are joined once at the end.
+    """
+    usable = view.where(F.col("y_valid") & F.col("usable"))
+    narrow = stage(usable.select("date", "sid", clip_abs(F.col("y"), clip_y_abs).alias("y_raw")))
+    ranked = relevance_bins(drop_small_groups(narrow, min_group_size), "y_raw", n_bins)
+    return usable.join(ranked, ["date", "sid"])
 
 
 def _correlation_sums(x: Column, y: Column) -> list[Column]:
@@ -104,7 +111,7 @@ def rank_ic_daily(df: DataFrame, y: str = "y_raw", pred: str = "pred") -> DataFr
 
     Days with fewer than three pairs, or with constant ranks on either side, are left out.
     """
-    pairs = df.where(is_finite(F.col(y)) & is_finite(F.col(pred))).select("date", "sid", y, pred)
+    pairs = stage(df.where(is_finite(F.col(y)) & is_finite(F.col(pred))).select("date", "sid", y, pred))
     ranked = attach_ranks(pairs, value_ranks(pairs, DAY, y), DAY, y, {"_ry": average_rank()})
     ranked = attach_ranks(ranked, value_ranks(pairs, DAY, pred), DAY, pred, {"_rp": average_rank()})
     stats = ranked.groupBy("date").agg(*_correlation_sums(F.col("_ry"), F.col("_rp")))

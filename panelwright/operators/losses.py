@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.operators.cross_section import DAY, ic_daily, per_day, relevance_levels
 from panelwright.operators.ranks import top_k
+from panelwright.operators.staging import stage
 
 # Fixed values of the pairwise loss: weight ceiling, score-difference ceiling, denominator guard.
 PAIR_WEIGHT_MAX = 10.0
@@ -84,9 +85,10 @@ def _top_scored(df: DataFrame, score: str, k: int) -> DataFrame:
 
 def ndcg_at_k(df: DataFrame, score: str, relevance: str, k: int) -> DataFrame:
     """DCG@k, IDCG@k and their ratio per day; equal scores in md5 order of the instrument."""
-    top = _top_scored(df.select("date", "sid", score, relevance), score, k)
+    rows = stage(df.select("date", "sid", score, relevance))
+    top = _top_scored(rows, score, k)
     dcg = top.groupBy("date").agg(F.sum(_gain(F.col(relevance)) * _discount(F.col("top_pos"))).alias("dcg"))
-    ideal = ideal_dcg(df, relevance, k)
+    ideal = ideal_dcg(rows, relevance, k)
     return dcg.join(ideal, "date").select("date", "dcg", "idcg", F.try_divide("dcg", "idcg").alias("ndcg"))
 
 
@@ -99,7 +101,7 @@ def lambda_rank_daily(df: DataFrame, score: str, relevance: str, mask: str, k: i
     of ordered pairs comes from the counts per relevance level. The work is rows * k, and
     equals the sum over all pairs.
     """
-    rows = df.select("date", "sid", score, relevance, mask)
+    rows = stage(df.select("date", "sid", score, relevance, mask))
     top = _top_scored(rows, score, k)
     # At most k items per day, one row per day.
     top_items = top.groupBy("date").agg(

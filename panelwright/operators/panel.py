@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelwright.functions.missing import is_missing
 from panelwright.functions.schema import struct_fields
 
 
@@ -31,39 +30,29 @@ def active_session_index(master: DataFrame, calendar: DataFrame) -> DataFrame:
 
 def status_struct(features: list[str]) -> Column:
     """The status fields from a row that has `market` and `feature` left-joined (NULL struct = no record)."""
-    has_bar = F.col("market").isNotNull()
-    has_factor = F.col("feature").isNotNull()
-    bar_missing = ~has_bar | is_missing(F.col("market.close"))
-    if features:
-        values = F.array(*[F.col(f"feature.`{n}`") for n in features])
-        absent = F.size(F.filter(values, is_missing)) / F.lit(len(features))
-        ratio = F.when(has_factor, absent).otherwise(F.lit(1.0)).cast("float")
-    else:
-        ratio = F.lit(1.0).cast("float")
-    all_missing = ratio >= 1.0
-    return F.struct(
-        F.lit(True).alias("is_listed"),
-        (~has_bar).alias("is_suspended"),
-        has_bar.alias("has_market_record"),
-        has_factor.alias("has_factor_record"),
-        F.when(~has_bar, "SUSPENDED").when(bar_missing, "PARTIAL_MISSING").otherwise("OK").alias("market_state"),
-        F.when(~has_factor, "ROW_MISSING")
-        .when(all_missing, "ALL_MISSING")
-        .when(ratio > 0, "PARTIAL_MISSING")
-        .otherwise("OK")
-        .alias("factor_state"),
-        bar_missing.alias("bar_missing"),
-        (~has_factor).alias("factor_row_missing"),
-        ratio.alias("factor_missing_ratio"),
-        all_missing.alias("feature_all_missing"),
-        F.when(~has_bar & ~has_factor, "NO_SOURCE_RECORD")
-        .when(~has_bar, "SUSPENDED")
-        .when(~has_factor, "MARKET_ONLY")
-        .when(ratio > 0, "PARTIAL_FACTOR_MISSING")
-        .otherwise("NORMAL")
-        .alias("sample_state"),
-        (has_factor & ~all_missing).alias("sample_usable_for_feature"),
-    )
+    listed = ", ".join(f"feature.`{n}`" for n in features)
+    absent = f"size(filter(array({listed}), x -> isnull(x) OR isnan(x))) / {len(features)}D" if features else "1D"
+    ratio = f"CAST(CASE WHEN feature IS NULL THEN 1D ELSE {absent} END AS FLOAT)"
+    no_bar, no_factor = "market IS NULL", "feature IS NULL"
+    bar_missing = f"({no_bar} OR market.close IS NULL OR isnan(market.close))"
+    fields = {
+        "is_listed": "true",
+        "is_suspended": no_bar,
+        "has_market_record": "market IS NOT NULL",
+        "has_factor_record": "feature IS NOT NULL",
+        "market_state": f"CASE WHEN {no_bar} THEN 'SUSPENDED' WHEN {bar_missing} THEN 'PARTIAL_MISSING' ELSE 'OK' END",
+        "factor_state": f"""CASE WHEN {no_factor} THEN 'ROW_MISSING' WHEN {ratio} >= 1 THEN 'ALL_MISSING'
+                                 WHEN {ratio} > 0 THEN 'PARTIAL_MISSING' ELSE 'OK' END""",
+        "bar_missing": bar_missing,
+        "factor_row_missing": no_factor,
+        "factor_missing_ratio": ratio,
+        "feature_all_missing": f"{ratio} >= 1",
+        "sample_state": f"""CASE WHEN {no_bar} AND {no_factor} THEN 'NO_SOURCE_RECORD' WHEN {no_bar} THEN 'SUSPENDED'
+                                 WHEN {no_factor} THEN 'MARKET_ONLY' WHEN {ratio} > 0 THEN 'PARTIAL_FACTOR_MISSING'
+                                 ELSE 'NORMAL' END""",
+        "sample_usable_for_feature": f"feature IS NOT NULL AND {ratio} < 1",
+    }
+    return F.expr("named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")")
 
 
 def assemble_panel(index: DataFrame, daily: DataFrame, factors: DataFrame) -> DataFrame:

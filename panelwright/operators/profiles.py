@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelwright.functions.missing import is_missing
 from panelwright.operators.cross_section import per_day
 from panelwright.operators.ranks import quantiles
+from panelwright.operators.staging import stage
 
 # Reported quantiles and the return sizes counted as large.
 REPORTED_QUANTILES = {"q01": 0.01, "q25": 0.25, "q50": 0.50, "q75": 0.75, "q99": 0.99}
@@ -23,6 +24,12 @@ def _valid_values(target: DataFrame) -> DataFrame:
     return _opened(target).where("valid")
 
 
+def _share(n: Column | str = "n") -> Column:
+    """Share of an already grouped table of a few rows (reasons, states, classes)."""
+    n = F.col(n) if isinstance(n, str) else n
+    return n / F.sum(n).over(W.partitionBy())
+
+
 def target_summary(target: DataFrame) -> DataFrame:
     rows = _opened(target).agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("n_valid"))
     return rows.select(
@@ -36,18 +43,13 @@ def target_summary(target: DataFrame) -> DataFrame:
 def target_reasons(target: DataFrame) -> DataFrame:
     """(reason, n, share_of_invalid, share_of_total) of invalid rows."""
     counts = _opened(target).groupBy("valid", "reason").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.sum("n")).scalar()
-    invalid = counts.where("not valid").agg(F.sum("n")).scalar()
-    return (
-        counts.where("not valid")
-        .select("reason", "n", (F.col("n") / invalid).alias("share_of_invalid"), (F.col("n") / totals).alias("share_of_total"))
-        .orderBy(F.desc("n"), "reason")
-    )
+    shares = counts.withColumn("share_of_total", _share()).where("not valid").withColumn("share_of_invalid", _share())
+    return shares.select("reason", "n", "share_of_invalid", "share_of_total").orderBy(F.desc("n"), "reason")
 
 
 def regression_profile(target: DataFrame) -> DataFrame:
     """Moments, exact quantiles and counts of large values of the valid labels, one row."""
-    rows = _valid_values(target).withColumn("_all", F.lit(1))
+    rows = stage(_valid_values(target).select(F.lit(1).alias("_all"), "value"))
     x = F.col("value").cast("double")
     stats = rows.groupBy("_all").agg(
         F.count(F.lit(1)).alias("n"),
@@ -64,10 +66,9 @@ def regression_profile(target: DataFrame) -> DataFrame:
 def class_distribution(target: DataFrame, names: Mapping[int, str]) -> DataFrame:
     """(class, name, n, share) of the valid labels."""
     counts = _valid_values(target).groupBy(F.col("value").cast("int").alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
     lookup = F.create_map(*[F.lit(v) for pair in names.items() for v in pair])
     return counts.select(
-        "class", F.coalesce(F.try_element_at(lookup, F.col("class")), F.lit("—")).alias("name"), "n", (F.col("n") / total).alias("share")
+        "class", F.coalesce(F.try_element_at(lookup, F.col("class")), F.lit("—")).alias("name"), "n", _share().alias("share")
     )
 
 
@@ -79,6 +80,7 @@ def _yearly_counts(target: DataFrame) -> DataFrame:
 
 
 def regression_by_year(target: DataFrame) -> DataFrame:
+    target = stage(target)
     rows = _valid_values(target).select(F.year("date").alias("year"), "value")
     x = F.col("value").cast("double")
     stats = rows.groupBy("year").agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"))
@@ -88,9 +90,10 @@ def regression_by_year(target: DataFrame) -> DataFrame:
 
 def classes_by_year(target: DataFrame, classes: list[int]) -> DataFrame:
     """Counts and shares per class and year, one column pair per class."""
-    rows = _valid_values(target).select(F.year("date").alias("year"), F.col("value").cast("int").alias("c"))
-    table = rows.groupBy("year").agg(*[F.count_if(F.col("c") == c).alias(f"class_{c}") for c in classes])
-    joined = _yearly_counts(target).join(table, "year", "left").fillna(0, [f"class_{c}" for c in classes])
+    rows = _opened(target).withColumn("year", F.year("date"))
+    hits = [F.count_if(F.col("valid") & (F.col("value") == c)).alias(f"class_{c}") for c in classes]
+    joined = rows.groupBy("year").agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("n_valid"), *hits)
+    joined = joined.withColumn("valid_rate", F.col("n_valid") / F.col("total"))
     shares = {
         f"share_{c}": F.coalesce(F.try_divide(F.col(f"class_{c}"), F.col("n_valid")), F.lit(0.0)) for c in classes
     }
@@ -136,12 +139,19 @@ def view_report(view: DataFrame, calendar: DataFrame, n_features: int) -> DataFr
 
     Cell counts are axis products; the cells themselves are never built.
     """
-    daily = calendar.select("date").join(per_day(_daily_view(view)), "date", "left").fillna(0)
     flags = F.aggregate(F.slice("x", n_features + 1, n_features), F.lit(0.0), lambda a, f: a + f.cast("double"))
-    rows = view.withColumns({"_all": F.lit(1), "_ret": F.when(F.col("ret_mask"), F.col("y_ret"))})
+    rows = stage(
+        view.select(
+            "date", "sid", "present", "ret_mask", "mom_mask", "both_mask", "y_mom",
+            F.lit(1).alias("_all"),
+            F.when(F.col("ret_mask"), F.col("y_ret")).alias("_ret"),
+            (flags / n_features).alias("_missing"),
+        )
+    )
+    daily = calendar.select("date").join(per_day(_daily_view(rows)), "date", "left").fillna(0)
     stats = rows.groupBy("_all").agg(
         F.count_distinct("sid").alias("n_sids"),
-        F.avg(F.when(F.col("present"), flags / n_features)).alias("feature_missing_rate"),
+        F.avg(F.when(F.col("present"), F.col("_missing"))).alias("feature_missing_rate"),
         F.avg("_ret").alias("ret_mean"),
         F.stddev_pop("_ret").alias("ret_std"),
         F.min(F.col("_ret").cast("double")).alias("ret_min"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelwright.functions.missing import is_missing
 from panelwright.functions.schema import (
@@ -112,8 +112,7 @@ def labelled_panel_violations(panel: DataFrame, labelled: DataFrame) -> DataFram
 def state_histogram(panel: DataFrame, state: str = "status.sample_state") -> DataFrame:
     """(state, n, share), largest first."""
     counts = panel.groupBy(F.col(state).alias("state")).agg(F.count(F.lit(1)).alias("n"))
-    total = panel.agg(F.count(F.lit(1))).scalar()
-    return counts.select("state", "n", (F.col("n") / total).alias("share")).orderBy(F.desc("n"), "state")
+    return counts.select("state", "n", (F.col("n") / F.sum("n").over(W.partitionBy())).alias("share")).orderBy(F.desc("n"), "state")
 
 
 def boolean_rates(panel: DataFrame) -> DataFrame:

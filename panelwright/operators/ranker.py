@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.operators.cross_section import rank_ic_daily, rank_ic_summary, ranking_rows
+from panelwright.operators.staging import stage
 from panelwright.operators.views import encode_features
 
 
@@ -70,12 +71,13 @@ def run(view: DataFrame, params: RankerParams, refit_before_test: bool = False)
     `view` is a tabular view with a `split` column. Returns the model, predictions tagged
     by split, and (split, rank_ic_mean, rank_ic_std, rank_ic_n_days, rank_ic_ir).
     """
-    rows = model_rows(view, params)
+    # Boosting reads its input many times, so the training table is written once.
+    rows = stage(model_rows(view, params))
     fitting = rows.where(F.col("split").isin("train", "valid")).withColumn("_valid", F.col("split") == "valid")
     model = fit(fitting, params, "_valid")
     if refit_before_test:
         model = refit(fitting.drop("_valid"), params, model)
-    predictions = model.transform(rows).select("date", "sid", "split", "y_raw", "pred")
+    predictions = stage(model.transform(rows).select("date", "sid", "split", "y_raw", "pred"))
     daily = rank_ic_daily(predictions).join(F.broadcast(predictions.select("date", "split").distinct()), "date")
     return model, predictions, rank_ic_summary(daily, ["split"])
 

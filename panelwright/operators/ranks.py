@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from panelwright.functions.missing import is_finite
+from panelwright.operators.staging import stage
 
 # Rows that share one value are ordered in a single window up to this many, and in hashed cells beyond it.
 TIE_CELL_ROWS = 1_000_000
@@ -118,6 +119,7 @@ def ordinal_positions(
     rows = rows.withColumns(
         {"_v": F.when(F.col("_n").isNotNull(), F.col(value).cast("double")), "_hash": hashed}
     ).withColumn("_cell", F.when(large, F.substring("_hash", 1, 3)).otherwise(""))
+    rows = stage(rows)
     cell = [*by, "_v", "_cell"]
     rows = rows.repartition(*cell).withColumn("_in_cell", F.row_number().over(W.partitionBy(*cell).orderBy("_hash", tie)) - 1)
     running = W.partitionBy(*by, "_v").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelwright.functions.identifiers import normalise_symbol
 from panelwright.operators.assets import instrument_master, trading_calendar
 from panelwright.operators.panel import build_panel
+from panelwright.operators.staging import stage
 from panelwright.sources.feeds import bar_fields, daily_bars, factor_values
 
 # A 30-day feed never sees the 90-day delisting rule, so the short fixture uses 3 days.
@@ -102,7 +103,9 @@ class PanelTables:
 
 def _tables(bars: DataFrame, factors: DataFrame, **master_options) -> PanelTables:
     daily, values = daily_bars(bars), factor_values(factors)
-    master, calendar = instrument_master(bars, **master_options), trading_calendar(bars)
+    # Every later step reads the calendar, so it is written once.
+    calendar = stage(trading_calendar(bars))
+    master = instrument_master(bars, calendar=calendar, **master_options)
     return PanelTables(bars, daily, values, master, calendar, build_panel(daily, values, master, calendar))
 
 

@@ -393,7 +393,7 @@ SELECT '{name}' AS feature, count(*) AS n_rows, var_pop(CAST({col} AS DOUBLE)) A
         "train AS (SELECT * FROM tab WHERE split = 'train' AND y_valid AND usable)",
         f"prof AS ({union})",
         select=f"""
-SELECT feature, n_rows, {_r('variance', 'variance')}, {_r('missing_rate', 'missing_rate')},
+SELECT feature, n_rows, round(variance, 2) AS variance, {_r('missing_rate', 'missing_rate')},
        coalesce(variance > 0, false) AND missing_rate < 0.3 AND NOT out_ AS kept FROM prof""",
     )
 

@@ -12,10 +12,10 @@ from panelwright.functions.schema import (
 )
 from panelwright.operators import assets, cross_section as xs, labels, losses, panel as panels, profiles, quality, ranker
 from panelwright.operators import ranks, screening, splits, views
+from panelwright.operators.staging import stage, tune
 from panelwright.plans.fixtures import (
     EVENT_GRACE_DAYS, PanelTables, event_factors, event_tables, supplier_bars, supplier_tables, table,
 )
-from panelwright.plans.session import tune
 from panelwright.sources import feeds, tables as files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -395,7 +395,7 @@ def _supplier_view(spark: SparkSession, sf: str, label: str = "return_c0c1") ->
 def feature_screen(spark: SparkSession, sf: str) -> DataFrame:
     t, view = _supplier_view(spark, sf)
     names = select_features(feature_names(t.panel), exclude="(?i)scratch", fundamentals=["fund__top_price"])
-    return rounded(screening.feature_profile(view.where("split = 'train'"), names, missing_drop_thresh=0.3, exclude="(?i)quantity"))
+    return rounded(screening.feature_profile(view.where("split = 'train'"), names, missing_drop_thresh=0.3, exclude="(?i)quantity").withColumn("variance", F.round("variance", 2)))
 
 
 @query
@@ -513,13 +513,14 @@ def small_group_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def relevance_bins_avg(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(xs.relevance_bins(_event_labelled_rows(spark, sf), "y", 10).select("date", "sid", "y", "relevance"))
+    rows = stage(_event_labelled_rows(spark, sf).select("date", "sid", "y"))
+    return rounded(xs.relevance_bins(rows, "y", 10))
 
 
 @query
 def relevance_bins_ties(spark: SparkSession, sf: str) -> DataFrame:
     """Bins of bar volume: few distinct values, so ties dominate; missing volumes get 0."""
-    p = event_tables(spark, sf).panel.select("date", "sid", F.col("market.volume").alias("volume"))
+    p = stage(event_tables(spark, sf).panel.select("date", "sid", F.col("market.volume").alias("volume")))
     return rounded(xs.relevance_bins(p, "volume", 10))
 
 
@@ -537,7 +538,7 @@ def ranking_dataset(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def xs_norm_rank(spark: SparkSession, sf: str) -> DataFrame:
-    p = event_tables(spark, sf).panel.select("date", "sid", F.col("feature.f1").alias("f1"))
+    p = stage(event_tables(spark, sf).panel.select("date", "sid", F.col("feature.f1").alias("f1")))
     return rounded(xs.normalise(p, "f1", "rank", "f1_norm"))
 
 
@@ -566,15 +567,15 @@ def _model_rows(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("date") < "2024-01-16", "first").otherwise("second").alias("split"),
     )
     p = F.col("pred_ret")
-    return rows.withColumn("logits", F.array(-p, p / 4, F.lit(0.25), p / 2, p))
+    return stage(rows.withColumn("logits", F.array(-p, p / 4, F.lit(0.25), p / 2, p)))
 
 
 def _supplier_predictions(spark: SparkSession, sf: str) -> DataFrame:
     _, view = _supplier_view(spark, sf)
     # Features are sorted: discount, fund__top_price, quantity, tax.
-    return view.where("y_valid and usable").select(
+    return stage(view.where("y_valid and usable").select(
         "date", "sid", "split", F.col("y").alias("y_raw"), F.get("features", F.lit(2)).alias("pred")
-    )
+    ))
 
 
 @query
