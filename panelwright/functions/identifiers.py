@@ -12,31 +12,31 @@ SHANGHAI_DIGITS = ("6", "9")
 BEIJING_DIGITS = ("4", "8")
 
 
+# Characters trimmed from identifiers.
+BLANKS = " \t\n\r\f\v"
+
+
 def normalise_symbol(symbol: Column) -> Column:
     """``CODE.EXCH`` from suffixed, prefixed or bare codes; anything else is returned trimmed.
 
     One rule set serves both feeds, so identifiers of all exchanges join. NULL stays NULL.
+    Branches repeat the trimmed text, so it is built from cheap string functions only.
     """
-    s = F.regexp_replace(symbol.cast("string"), r"^\s+|\s+$", "")
+    s = F.btrim(symbol.cast("string"), F.lit(BLANKS))
     suffix = F.substring_index(s, ".", -1)
-    exchange = F.upper(suffix)
-    for raw, code in EXCHANGE_CODES.items():
-        exchange = F.when(F.upper(suffix) == raw, F.lit(code)).otherwise(exchange)
-    code = F.substring(s, F.lit(1), F.length(s) - F.length(suffix) - F.lit(1))
-    prefix = F.upper(F.substring(s, 1, 2))
-    first = F.substring(s, 1, 1)
+    known = F.create_map(*[F.lit(x) for pair in EXCHANGE_CODES.items() for x in pair])
+    exchange = F.coalesce(F.try_element_at(known, F.upper(suffix)), F.upper(suffix))
+    before_suffix = F.left(s, F.length(s) - F.length(suffix) - F.lit(1))
+    prefix = F.upper(F.left(s, F.lit(2)))
+    first = F.left(s, F.lit(1))
+    bare = (F.length(s) == 6) & s.rlike("^[0-9]{6}$")
+    inferred = (
+        F.when(first.isin(*SHANGHAI_DIGITS), ".SH").when(first.isin(*BEIJING_DIGITS), ".BJ").otherwise(".SZ")
+    )
     return (
-        F.when(s.contains("."), F.concat(code, F.lit("."), exchange))
-        .when(prefix.isin("SH", "SZ", "BJ"), F.concat(F.substring(s, F.lit(3), F.length(s)), F.lit("."), prefix))
-        .when(
-            s.rlike("^[0-9]{6}$"),
-            F.concat(
-                s,
-                F.when(first.isin(*SHANGHAI_DIGITS), F.lit(".SH"))
-                .when(first.isin(*BEIJING_DIGITS), F.lit(".BJ"))
-                .otherwise(F.lit(".SZ")),
-            ),
-        )
+        F.when(s.contains("."), F.concat_ws(".", before_suffix, exchange))
+        .when(prefix.isin("SH", "SZ", "BJ"), F.concat_ws(".", F.substring(s, F.lit(3), F.length(s)), prefix))
+        .when(bare, F.concat(s, inferred))
         .otherwise(s)
     )
 

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.schema import struct_fields
+from panelwright.operators.staging import spread
 
 
 def active_session_index(master: DataFrame, calendar: DataFrame) -> DataFrame:
     """Every (open day, instrument) inside the listing window, with td_idx and the master's attributes.
 
-    Each instrument expands its own day range and an equi-join with the broadcast
-    calendar (one row per open day) removes closed days: no cross product, no shuffle,
-    and no instrument yields more rows than there are days.
+    Each instrument expands its own day range, by year and then by day, and an equi-join with
+    the broadcast calendar (one row per open day) removes closed days. No cross product, and
+    only the (instrument, year) rows are shuffled.
     """
     last_open = calendar.agg(F.max("date")).scalar()
     first_open = calendar.agg(F.min("date")).scalar()
     start = F.greatest(F.col("list_date"), first_open)
     stop = F.least(F.coalesce(F.col("delist_date"), last_open), last_open)
-    days = F.when(F.col("_start") <= F.col("_stop"), F.sequence("_start", "_stop", F.expr("interval 1 day")))
+    years = F.when(F.col("_start") <= F.col("_stop"), F.expr("sequence(trunc(_start, 'year'), _stop, interval 1 year)"))
+    days = F.expr("sequence(greatest(_start, _year), least(_stop, last_day(add_months(_year, 11))))")
+    yearly = master.withColumn("_start", start).withColumn("_stop", stop).withColumn("_year", F.explode(years))
     return (
-        master.withColumn("_start", start)
-        .withColumn("_stop", stop)
+        spread(yearly, "sid", "_year")
         .withColumn("date", F.explode(days))
         .join(F.broadcast(calendar.where("is_open").select("date", "td_idx")), "date")
         .select("date", "sid", "td_idx", "symbol", "list_date", "delist_date")

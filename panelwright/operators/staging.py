@@ -30,6 +30,17 @@ def staging_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Repartition small rows that are about to be expanded.
+
+    Adaptive execution merges small shuffle partitions by their bytes before the expansion,
+    which would put a whole panel in one task; an explicit count is left alone.
+    """
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, *columns)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a table that several branches of a plan read, and return a scan of it.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelwright.functions.missing import is_missing
+from panelwright.operators.staging import spread
 from panelwright.functions.schema import encoded_positions, feature_names, select_features
 
 USABLE = "status.sample_usable_for_feature"
@@ -100,7 +101,7 @@ def dense_cells(view: DataFrame, calendar: DataFrame, width: int) -> DataFrame:
     """
     n_days = calendar.agg(F.count(F.lit(1))).scalar()
     axis = (
-        view.select("sid").distinct()
+        spread(view.select("sid").distinct(), "sid")
         .withColumn("td_idx", F.explode(F.sequence(F.lit(0), (n_days - 1).cast("int"))))
         .join(F.broadcast(calendar.select("date", "td_idx")), "td_idx")
     )

@@ -44,6 +44,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in payload])
 
 
+def _keyed(df: DataFrame, date: str, sid: str) -> DataFrame:
+    """Rows with a readable date and an identifier; tested on the raw identifier, which is cheap to push down."""
+    return df.where(F.col(sid).isNotNull() & normalise_date(F.col(date)).isNotNull())
+
+
 def _without_nan(df: DataFrame) -> DataFrame:
     fractional = set(fractional_columns(df))
     return df.select(*[nan_to_null(F.col(c)).alias(c) if c in fractional else F.col(c) for c in df.columns])
@@ -68,12 +73,12 @@ def normalise_bars(df: DataFrame, order: Sequence[str] | None = None) -> DataFra
     date = _first_present(df, BAR_DATE_NAMES, "date")
     sid = _first_present(df, BAR_SID_NAMES, "instrument")
     fields = bar_fields(df)
-    clean = df.select(
+    clean = _keyed(df, date, sid).select(
         normalise_date(F.col(date)).alias("date"),
         normalise_symbol(F.col(sid)).alias("sid"),
         *fields,
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])],
-    ).dropna(subset=["date", "sid"])
+    )
     clean = _without_nan(clean)
     return keep_first(clean, ["date", "sid"], [f"_o{i}" for i in range(len(order))]) if order else clean
 
@@ -86,12 +91,12 @@ def normalise_factors(df: DataFrame, order: Sequence[str] | None = None, exclude
     names = [c for c in df.columns if c not in skipped]
     if not names:
         raise SourceError("factor feed has no feature columns")
-    clean = df.select(
+    clean = _keyed(df, date, sid).select(
         normalise_date(F.col(date)).alias("date"),
         normalise_symbol(F.col(sid)).alias("sid"),
         *[F.col(f"`{c}`").cast("float").alias(c.removeprefix("feature.")) for c in names],
         *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])],
-    ).dropna(subset=["date", "sid"])
+    )
     clean = _without_nan(clean)
     return keep_first(clean, ["date", "sid"], [f"_o{i}" for i in range(len(order))]) if order else clean
 
