@@ -30,6 +30,13 @@ def _share(n: Column | str = "n") -> Column:
     return n / F.sum(n).over(W.partitionBy())
 
 
+def _beside(row: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row tables side by side: each other row comes in as a scalar subquery."""
+    for i, other in enumerate(others):
+        row = row.withColumn(f"_row{i}", other.select(F.struct(*other.columns)).scalar())
+    return row.select("*", *[f"_row{i}.*" for i in range(len(others))]).drop(*[f"_row{i}" for i in range(len(others))])
+
+
 def target_summary(target: DataFrame) -> DataFrame:
     rows = _opened(target).agg(F.count(F.lit(1)).alias("total"), F.count_if("valid").alias("n_valid"))
     return rows.select(
@@ -49,9 +56,9 @@ def target_reasons(target: DataFrame) -> DataFrame:
 
 def regression_profile(target: DataFrame) -> DataFrame:
     """Moments, exact quantiles and counts of large values of the valid labels, one row."""
-    rows = stage(_valid_values(target).select(F.lit(1).alias("_all"), "value"))
+    rows = stage(_valid_values(target).select("value"))
     x = F.col("value").cast("double")
-    stats = rows.groupBy("_all").agg(
+    stats = rows.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(x).alias("mean"),
         F.stddev_samp(x).alias("std"),
@@ -60,7 +67,7 @@ def regression_profile(target: DataFrame) -> DataFrame:
         F.count_if(is_missing(x)).alias("n_missing"),
         *[F.count_if(F.abs(x) > limit).alias(name) for name, limit in LARGE_RETURNS.items()],
     )
-    return stats.join(quantiles(rows, ["_all"], "value", REPORTED_QUANTILES), "_all").drop("_all")
+    return _beside(stats, quantiles(rows, [], "value", REPORTED_QUANTILES))
 
 
 def class_distribution(target: DataFrame, names: Mapping[int, str]) -> DataFrame:
@@ -143,13 +150,12 @@ def view_report(view: DataFrame, calendar: DataFrame, n_features: int) -> DataFr
     rows = stage(
         view.select(
             "date", "sid", "present", "ret_mask", "mom_mask", "both_mask", "y_mom",
-            F.lit(1).alias("_all"),
             F.when(F.col("ret_mask"), F.col("y_ret")).alias("_ret"),
             (flags / n_features).alias("_missing"),
         )
     )
     daily = calendar.select("date").join(per_day(_daily_view(rows)), "date", "left").fillna(0)
-    stats = rows.groupBy("_all").agg(
+    stats = rows.agg(
         F.count_distinct("sid").alias("n_sids"),
         F.avg(F.when(F.col("present"), F.col("_missing"))).alias("feature_missing_rate"),
         F.avg("_ret").alias("ret_mean"),
@@ -158,7 +164,7 @@ def view_report(view: DataFrame, calendar: DataFrame, n_features: int) -> DataFr
         F.max(F.col("_ret").cast("double")).alias("ret_max"),
         *[F.count_if(F.col("mom_mask") & (F.col("y_mom") == c)).alias(f"class_{c}") for c in range(5)],
     )
-    median = quantiles(rows, ["_all"], "_ret", {"ret_median": 0.5})
+    median = quantiles(rows, [], "_ret", {"ret_median": 0.5})
     days = daily.agg(
         F.count(F.lit(1)).alias("n_days"),
         F.sum("present").alias("present_cells"),
@@ -168,8 +174,8 @@ def view_report(view: DataFrame, calendar: DataFrame, n_features: int) -> DataFr
         F.sum("ret_valid").alias("ret_valid"),
         F.sum("mom_valid").alias("mom_valid"),
         F.sum("both_valid").alias("both_valid"),
-    ).withColumn("_all", F.lit(1))
-    out = stats.join(days, "_all").join(median, "_all", "left").drop("_all")
+    )
+    out = _beside(stats, days, median)
     cells = F.col("n_days") * F.col("n_sids")
     return out.withColumns(
         {
