@@ -153,7 +153,8 @@ def evaluate(
     """Split-level roll-up over days: return loss, class loss, total, IC, rank IC, accuracy.
 
     `df` holds date, sid, y_ret, pred_ret, ret_mask, y_mom, logits and the split column.
-    Every figure is a true mean over the days it is defined on.
+    Every figure is a true mean over the days it is defined on. `df` is read once per
+    figure: pass a stored table.
     """
     days = df.select("date", split).distinct()
     if use_lambda_rank:

@@ -52,10 +52,13 @@ def text_digits(s: Column, width: int = 3, levels: int = 4) -> list[Column]:
     return [F.substring(s, 1 + i * width, width) for i in range(levels)]
 
 
-def prefix_counts(values: DataFrame, by: Sequence[str], value: str, digits: Sequence[Column]) -> DataFrame:
+def prefix_counts(
+    values: DataFrame, by: Sequence[str], value: str, digits: Sequence[Column], empty: int | str = 0
+) -> DataFrame:
     """Add `before`, `group_n` and `group_values` to distinct (by, value, n) rows."""
     names = [f"_d{i}" for i in range(len(digits))]
-    keyed = values.withColumns(dict(zip(names, digits)))
+    # Digits are declared non-null, so the joins below infer no filters and both sides share one exchange.
+    keyed = values.withColumns({n: F.coalesce(d, F.lit(empty)) for n, d in zip(names, digits)})
     leaf = W.partitionBy(*by, *names).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     out = keyed.withColumn("before", F.coalesce(F.sum("n").over(leaf), F.lit(0)))
     for depth in range(len(names), 0, -1):
@@ -179,4 +182,4 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, spr
 def dense_codes(df: DataFrame, column: str, name: str) -> DataFrame:
     """(column, code): distinct texts numbered from 0 in text order, without a global window."""
     distinct = df.select(column).dropna().distinct().select(F.lit(1).alias("_all"), column, F.lit(1).alias("n"))
-    return prefix_counts(distinct, ["_all"], column, text_digits(F.col(column))).select(column, F.col("before").alias(name))
+    return prefix_counts(distinct, ["_all"], column, text_digits(F.col(column)), empty="").select(column, F.col("before").alias(name))

@@ -9,42 +9,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from panelwright.functions.missing import is_missing
 
-# Aggregates per pass, so that wide feature sets stay inside generated-code limits.
-FEATURES_PER_PASS = 100
-
-
 def feature_profile(
     view: DataFrame, names: Sequence[str], missing_drop_thresh: float = 0.98, exclude: str | None = None
 ) -> DataFrame:
-    """(feature, n_rows, variance, missing_rate, kept) over usable, labelled rows of a tabular view."""
-    rows = view.where(F.col("y_valid") & F.col("usable"))
-    parts = []
-    for start in range(0, len(names), FEATURES_PER_PASS):
-        aggs = [F.count(F.lit(1)).alias("n")]
-        chunk = list(enumerate(names))[start : start + FEATURES_PER_PASS]
-        for i, _ in chunk:
-            value = F.get("features", F.lit(i)).cast("double")
-            present = F.when(~is_missing(value), value)
-            aggs += [F.var_pop(present).alias(f"v{i}"), F.avg(is_missing(value).cast("double")).alias(f"m{i}")]
-        items = [
-            F.struct(
-                F.lit(n).alias("feature"),
-                F.col("n").alias("n_rows"),
-                F.col(f"v{i}").alias("variance"),
-                F.col(f"m{i}").alias("missing_rate"),
-            )
-            for i, n in chunk
-        ]
-        parts.append(rows.agg(*aggs).select(F.inline(F.array(*items))))
-    profile = parts[0]
-    for part in parts[1:]:
-        profile = profile.unionByName(part)
-    usable = (
-        F.coalesce((F.col("variance") > 0) & (F.col("variance") < float("inf")), F.lit(False))
-        & F.coalesce(F.col("missing_rate") < missing_drop_thresh, F.lit(False))
+    """(feature, n_rows, variance, missing_rate, kept) over usable, labelled rows of a tabular view.
+
+    One scan whatever the number of features: each row opens into (position, value) pairs,
+    which partial aggregation folds back into one row per feature and task.
+    """
+    pairs = view.where(F.col("y_valid") & F.col("usable")).select(F.posexplode("features").alias("position", "value"))
+    value = F.col("value").cast("double")
+    stats = pairs.groupBy("position").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.var_pop(F.when(~is_missing(value), value)).alias("variance"),
+        F.avg(is_missing(value).cast("double")).alias("missing_rate"),
+    )
+    listed = [(i, n, not (exclude and re.search(exclude, f"feature.{n}"))) for i, n in enumerate(names)]
+    wanted = view.sparkSession.createDataFrame(listed, "position int, feature string, wanted boolean")
+    varies = (F.col("variance") > 0) & (F.col("variance") < float("inf"))
+    filled = F.col("missing_rate") < missing_drop_thresh
+    return wanted.join(stats, "position", "left").select(
+        "feature",
+        F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"),
+        "variance",
+        "missing_rate",
+        (F.col("wanted") & F.coalesce(varies & filled, F.lit(False))).alias("kept"),
     )
-    named_out = [n for n in names if exclude and re.search(exclude, f"feature.{n}")]
-    return profile.withColumn("kept", usable & ~F.col("feature").isin(named_out) if named_out else usable)
 
 
 def kept_features(profile: DataFrame) -> list[str]:

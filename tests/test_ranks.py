@@ -49,9 +49,9 @@ def test_average_ranks_match_pandas(spark, kind, type_):
 
 def test_digits_keep_order(spark):
     rng = random.Random(9)
-    xs = sorted({struct.unpack("d", struct.pack("q", rng.randrange(-(1 << 63), 1 << 63)))[0] for _ in range(3000)}
-                | {0.0, 5e-324, -5e-324, 1.0, 2.0, 4.0, 0.5, 1.7976931348623157e308, 2.2250738585072014e-308, 1023.9999999999999, 1024.0})
-    xs = [x for x in xs if np.isfinite(x)]
+    xs = ({struct.unpack("d", struct.pack("q", rng.randrange(-(1 << 63), 1 << 63)))[0] for _ in range(3000)}
+          | {0.0, 5e-324, -5e-324, 1.0, 2.0, 4.0, 0.5, 1.7976931348623157e308, 2.2250738585072014e-308, 1023.9999999999999, 1024.0})
+    xs = sorted(x for x in xs if np.isfinite(x))
     df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
     a, b = ranks.value_digits(F.col("x"), True)
     got = [(r["a"], r["b"]) for r in df.select("i", a.alias("a"), b.alias("b")).orderBy("i").collect()]
