@@ -94,16 +94,16 @@ def average_rank() -> Column:
 def attach_ranks(df: DataFrame, ranks: DataFrame, by: Sequence[str], value: str, columns: dict[str, Column]) -> DataFrame:
     """Left-join expressions over `value_ranks` columns to the rows holding the value.
 
-    Rows without a finite value match nothing. They get a spreading key of their own, so a
-    feed that is mostly missing does not send all its NULLs to one task.
+    Rows without a finite value get NULLs. Their join key is a hash of the row, so that a feed
+    that is mostly missing does not send all its NULLs to one task; should the hash equal
+    some value, the match is discarded (and adds no rows: a rank row is unique per value).
     """
     finite = is_finite(F.col(value))
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 20))
-    left = df.withColumns(
-        {"_value": F.when(finite, F.col(value).cast("double")), "_spread": F.when(finite, F.lit(-1)).otherwise(spread)}
-    )
-    right = ranks.select(*by, "_value", F.lit(-1).cast("long").alias("_spread"), *[c.alias(n) for n, c in columns.items()])
-    return left.join(right, [*by, "_value", "_spread"], "left").select(*df.columns, *columns)
+    spread = F.xxhash64(*df.columns).cast("double")
+    left = df.withColumns({"_finite": finite, "_value": F.when(finite, F.col(value).cast("double")).otherwise(spread)})
+    right = ranks.select(*by, "_value", *[c.alias(f"_rank_{n}") for n, c in columns.items()])
+    found = [F.when(F.col("_finite"), F.col(f"_rank_{n}")).alias(n) for n in columns]
+    return left.join(right, [*by, "_value"], "left").select(*[c for c in df.columns if c not in columns], *found)
 
 
 def ordinal_positions(
@@ -173,9 +173,10 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, spr
         df.withColumn("_cell", cell)
         .withColumn("_near", F.row_number().over(near))
         .where(F.col("_near") <= k)
-        .withColumn("top_pos", F.row_number().over(final) - 1)
-        .where(F.col("top_pos") < k)
-        .drop("_cell", "_near")
+        .withColumn("_place", F.row_number().over(final))
+        .where(F.col("_place") <= k)
+        .withColumn("top_pos", F.col("_place") - 1)
+        .drop("_cell", "_near", "_place")
     )
 
 

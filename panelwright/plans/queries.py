@@ -533,7 +533,7 @@ def relevance_bins_desc(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ranking_dataset(spark: SparkSession, sf: str) -> DataFrame:
     _, view = _supplier_view(spark, sf)
-    return rounded(xs.ranking_rows(stage(view), min_group_size=5, n_bins=10, clip_y_abs=0.5).select("date", "sid", "split", "y_raw", "relevance"))
+    return rounded(xs.ranking_rows(stage(view.where("y_valid and usable")), min_group_size=5, n_bins=10, clip_y_abs=0.5).select("date", "sid", "split", "y_raw", "relevance"))
 
 
 @query
@@ -650,12 +650,12 @@ RANKER = ranker.RankerParams(max_iter=4, max_depth=3, min_group_size=3, relevanc
 @query
 def gbt_rank_predictions(spark: SparkSession, sf: str) -> DataFrame:
     _, view = _supplier_view(spark, sf)
-    _, predictions, _ = ranker.run(stage(view), RANKER)
+    _, predictions, _ = ranker.run(stage(view.where("y_valid and usable")), RANKER)
     return predictions
 
 
 @query
 def gbt_rank_metrics(spark: SparkSession, sf: str) -> DataFrame:
     _, view = _supplier_view(spark, sf)
-    _, _, metrics = ranker.run(stage(view), RANKER, refit_before_test=True)
+    _, _, metrics = ranker.run(stage(view.where("y_valid and usable")), RANKER, refit_before_test=True)
     return metrics
