@@ -420,7 +420,8 @@ def view_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 def _event_encoded(spark: SparkSession, sf: str) -> tuple[PanelTables, DataFrame, int]:
     t = event_tables(spark, sf)
-    blocks = labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")])
+    # Both labels come from one stored block, as a pipeline would keep it.
+    blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")]))
     ret, mom = (blocks.select("date", "sid", F.col(n).alias("label")) for n in ("return_c0c1", "momentum_cls"))
     return t, views.encoded_view(t.panel, ret, mom), 2 * len(feature_names(t.panel)) + 1
 
@@ -487,7 +488,8 @@ def view_report(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def view_by_year(spark: SparkSession, sf: str) -> DataFrame:
     t = supplier_tables(spark, sf)
-    blocks = labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")])
+    # Both labels come from one stored block, as a pipeline would keep it.
+    blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")]))
     ret, mom = (blocks.select("date", "sid", F.col(n).alias("label")) for n in ("return_c0c1", "momentum_cls"))
     return rounded(profiles.view_by_year(views.encoded_view(t.panel, ret, mom), t.calendar))
 
