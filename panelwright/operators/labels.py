@@ -12,6 +12,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -40,8 +42,7 @@ def _bad_price(price: Column) -> Column:
     return is_missing(price) | (price <= 0)
 
 
-def _label(value: Column, reason: Column) -> Column:
-    valid = reason == ""
+def _label(value: Column, valid: Column, reason: Column) -> Column:
     return F.struct(
         F.when(valid, value).cast("float").alias("value"), valid.alias("valid"), reason.alias("reason")
     )
@@ -59,10 +60,21 @@ class Recipe:
         """(column, trading-day offset) pairs the label reads."""
         raise NotImplementedError
 
-    def label(self, at: PriceAt, position: CalendarPosition) -> Column:
-        """A struct(value float, valid boolean, reason string)."""
+    def extra_columns(self) -> dict[str, Column]:
+        """Further window columns the label needs, by private name."""
+        return {}
+
+    def reason(self, at: PriceAt, position: CalendarPosition) -> Column:
+        """Why the row has no label; empty text where it has one."""
         raise NotImplementedError
 
+    def value(self, at: PriceAt) -> Column:
+        """The label, evaluated only where it is valid."""
+        raise NotImplementedError
+
+    def valid(self, reason: Column) -> Column:
+        return reason == ""
+
     def class_names(self) -> dict[int, str]:
         return {}
 
@@ -102,18 +114,20 @@ class ReturnRecipe(Recipe):
     def offsets(self) -> list[tuple[str, int]]:
         return [(self.entry_col, self.entry_day), (self.exit_col, self.exit_day)]
 
-    def label(self, at: PriceAt, position: CalendarPosition) -> Column:
-        entry, exit_ = at(self.entry_col, self.entry_day), at(self.exit_col, self.exit_day)
+    def reason(self, at: PriceAt, position: CalendarPosition) -> Column:
         # An entry day past the calendar end is reported as "insufficient_history".
-        reason = (
+        return (
             F.when(~position.known(), "not_in_calendar")
             .when(~position.reaches(self.entry_day), "insufficient_history")
             .when(~position.reaches(self.exit_day), "insufficient_forward")
-            .when(_bad_price(entry), "missing_entry_price")
-            .when(_bad_price(exit_), "missing_exit_price")
+            .when(_bad_price(at(self.entry_col, self.entry_day)), "missing_entry_price")
+            .when(_bad_price(at(self.exit_col, self.exit_day)), "missing_exit_price")
             .otherwise("")
         )
-        return _label(F.try_divide(exit_ - entry, entry), reason)
+
+    def value(self, at: PriceAt) -> Column:
+        entry, exit_ = at(self.entry_col, self.entry_day), at(self.exit_col, self.exit_day)
+        return F.try_divide(exit_ - entry, entry)
 
 
 # Momentum classes.
@@ -160,17 +174,19 @@ class MomentumClassRecipe(Recipe):
     def class_names(self) -> dict[int, str]:
         return dict(MOMENTUM_CLASSES)
 
-    def label(self, at: PriceAt, position: CalendarPosition) -> Column:
-        base = at(self.price_col, -self.gap)
-        closes = [at(self.price_col, k) for k in range(self.line_len)]
-        reason = (
+    def reason(self, at: PriceAt, position: CalendarPosition) -> Column:
+        bad = reduce(or_, [_bad_price(at(col, k)) for col, k in self.offsets()])
+        return (
             F.when(~position.known(), "not_in_calendar")
             .when(~position.reaches(-self.gap), "insufficient_history")
             .when(~position.reaches(self.line_len - 1), "insufficient_forward_window")
-            .when(F.exists(F.array(base, *closes), _bad_price), "missing_close_in_window")
+            .when(bad, "missing_close_in_window")
             .otherwise("")
         )
-        return _label(momentum_class(F.array(*[c - base for c in closes])), reason)
+
+    def value(self, at: PriceAt) -> Column:
+        base = at(self.price_col, -self.gap)
+        return momentum_class(F.array(*[at(self.price_col, k) - base for k in range(self.line_len)]))
 
 
 class ForwardFilledReturnRecipe(ReturnRecipe):
@@ -178,28 +194,34 @@ class ForwardFilledReturnRecipe(ReturnRecipe):
 
     FILLED = "FORWARD_FILLED_DUE_TO_SUSPENSION"
 
-    def label(self, at: PriceAt, position: CalendarPosition) -> Column:
-        entry, exact = at(self.entry_col, self.entry_day), at(self.exit_col, self.exit_day)
+    @property
+    def _exit(self) -> str:
+        return f"_{self.name}_exit"
+
+    def extra_columns(self) -> dict[str, Column]:
         price = F.col(self.exit_col).cast("double")
         # Descending order makes "at or after t+k" a growing frame, evaluated in one pass.
-        later = (
-            W.partitionBy("sid").orderBy(F.desc("td_idx")).rangeBetween(W.unboundedPreceding, -self.exit_day)
-        )
-        exit_ = F.last(F.when(~_bad_price(price), price), ignorenulls=True).over(later)
-        failed = (
+        later = W.partitionBy("sid").orderBy(F.desc("td_idx")).rangeBetween(W.unboundedPreceding, -self.exit_day)
+        return {self._exit: F.last(F.when(~_bad_price(price), price), ignorenulls=True).over(later)}
+
+    def reason(self, at: PriceAt, position: CalendarPosition) -> Column:
+        return (
             F.when(~position.known(), "not_in_calendar")
             .when(~position.reaches(self.entry_day), "insufficient_history")
             .when(~position.reaches(self.exit_day), "insufficient_forward")
-            .when(_bad_price(entry), "missing_entry_price")
-            .when(exit_.isNull(), "missing_exit_price")
-        )
-        filled = F.when(_bad_price(exact), self.FILLED).otherwise("")
-        return F.struct(
-            F.when(failed.isNull(), F.try_divide(exit_ - entry, entry)).cast("float").alias("value"),
-            failed.isNull().alias("valid"),
-            F.coalesce(failed, filled).alias("reason"),
+            .when(_bad_price(at(self.entry_col, self.entry_day)), "missing_entry_price")
+            .when(F.col(self._exit).isNull(), "missing_exit_price")
+            .when(_bad_price(at(self.exit_col, self.exit_day)), self.FILLED)
+            .otherwise("")
         )
 
+    def valid(self, reason: Column) -> Column:
+        return reason.isin("", self.FILLED)
+
+    def value(self, at: PriceAt) -> Column:
+        entry = at(self.entry_col, self.entry_day)
+        return F.try_divide(F.col(self._exit) - entry, entry)
+
 
 @dataclass(frozen=True)
 class TargetSpec:
@@ -289,11 +311,20 @@ def build_targets(panel: DataFrame, calendar: DataFrame, recipes: Iterable[Recip
             for (col, k), alias in fetched.items()
         }
     )
+    for recipe in recipes:
+        if extra := recipe.extra_columns():
+            looked_up = looked_up.withColumns(extra)
 
     def at(col: str, k: int) -> Column:
         return F.col(fetched[col, k])
 
-    return looked_up.select("date", "sid", *keep, *[r.label(at, position).alias(r.name) for r in recipes])
+    # Reasons are columns of their own first: each is used three times and should be evaluated once.
+    reasoned = looked_up.withColumns({f"_reason_{r.name}": r.reason(at, position) for r in recipes})
+    labels = []
+    for r in recipes:
+        reason = F.col(f"_reason_{r.name}")
+        labels.append(_label(r.value(at), r.valid(reason), reason).alias(r.name))
+    return reasoned.select("date", "sid", *keep, *labels)
 
 
 def build_target(panel: DataFrame, calendar: DataFrame, name: str, **overrides) -> DataFrame:
@@ -321,7 +352,7 @@ def label_guards(
         .otherwise("")
     )
     return targets.join(F.broadcast(exit_days), "td_idx", "left").select(
-        "date", "sid", _label(label["value"], reason).alias("label")
+        "date", "sid", _label(label["value"], reason == "", reason).alias("label")
     )
 
 

@@ -127,9 +127,11 @@ def test_custom_recipe_and_overrides(spark):
         def offsets(self):
             return [("market.close", 0), ("market.close", -self.lag)]
 
-        def label(self, at, position):
-            value = at("market.close", 0) - at("market.close", -self.lag)
-            return labels._label(value, F.when(value.isNull(), "no_value").otherwise(""))
+        def reason(self, at, position):
+            return F.when(self.value(at).isNull(), "no_value").otherwise("")
+
+        def value(self, at):
+            return at("market.close", 0) - at("market.close", -self.lag)
 
     labels.register_target(SpreadRecipe, labels.TargetSpec("spread", "regression", params={"lag": 2}))
     try:
