@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import language_id, mixing, packing, secret_ledger, vector_join, warc
+from panelwright.llm import chosen_path, language_id, license_scan, line_crf, maxent_lm, mixing, packing, secret_ledger, vector_join, warc
 from panelwright.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families of every document, the surest first, with the paragraphs they stand in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan(docs, license_scan.train(docs)).drop("text")
+    best = F.array_sort("licences", lambda a, b: F.when(a["probability"] > b["probability"], -1).when(a["probability"] < b["probability"], 1)
+                        .otherwise(a["line"] - b["line"]))
+    return found.select("doc_id", F.coalesce(F.get(best, F.lit(0))["family"], F.lit(license_scan.NONE)).alias("license"),
+                        F.coalesce(F.get(best, F.lit(0))["probability"], F.lit(0.0)).alias("probability"),
+                        F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["family"]))), ",").alias("families"),
+                        F.size("licences").alias("n_paragraphs"), F.transform("licences", lambda x: x["line"]).alias("lines"))
+
+
 @query
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as archives and read back: responses with their payloads, revisits by their headers alone."""
@@ -50,6 +63,16 @@ def op3_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@query
+def op4_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document under a model of the six sevenths that are not held out."""
+    part = remainder("doc_id", 7)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(part == 2, F.lit(False)).alias("held_out"))
+    learned = docs.filter(F.col("doc_id").isNotNull() & ~F.col("held_out")).select("doc_id", "text")
+    model, counts = maxent_lm.train(learned, F.col("doc_id"))
+    return maxent_lm.score(docs, model, counts).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, as pieces placed in sequences of five permitted lengths."""
@@ -77,6 +100,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "entropy")
 
 
+@query
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict on every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = line_crf.train(docs, table(spark, sf_dir, "labels"))
+    return line_crf.judge(docs, chain).drop("text")
+
+
 @query
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of every document, scanned once per distinct content."""
@@ -86,3 +117,9 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[secret_ledger.count_of(found, k).alias(f"n_{k}") for k in secret_ledger.BASE_KINDS],
         F.sha2(secret_ledger.in_order(found, secret_ledger.BASE_KINDS), 256).alias("base_sha256"),
         secret_ledger.in_order(found).alias("spans"))
+
+
+@query
+def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of near duplicates and its number of links: five-word shingles, Jaccard 0.8 or more."""
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
