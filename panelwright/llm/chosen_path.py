@@ -139,6 +139,11 @@ def _sized(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sizes, members.join(sizes.select("path", "size"), "path")
 
 
+def _of_nodes(wide: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """wide (by row) with the columns of classes, for the classes of the members only. Their table is written, so Spark broadcasts it if it is small."""
+    return wide.join(stage(members.select("node").distinct().join(classes, "node"), "member-classes"), "row").drop("row")
+
+
 def buckets(classes: DataFrame, sketches: DataFrame, threshold: float, picks: int, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
     """path, node, size of every bucket to compare; buckets with the same members appear once."""
     members = classes.select(F.explode("paths").alias("path"), "node")
@@ -154,7 +159,7 @@ def buckets(classes: DataFrame, sketches: DataFrame, threshold: float, picks: in
         leaves.append(members.filter(F.col("size") <= leaf))
         prints.append(sizes.filter(F.col("size") <= leaf))
         big = members.filter(F.col("size") > leaf)
-        mins = sketches.join(classes.select("row"), "row", "left_semi").select("node", "mins")
+        mins = _of_nodes(sketches.select("row", "mins"), big, classes.select("node", "row"))
         parts = stage(big.join(mins, "node").select("path", "node", "mins")
                       .mapInArrow(_children(threshold, picks), "path long, parent long, node long"), "bucket-parts")
         most = parts.groupBy("parent", "path").agg(F.count(F.lit(1)).alias("part")).groupBy("parent").agg(F.max("part").alias("part"))
@@ -361,8 +366,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     classes = stage(sketches.filter("node is not null").groupBy("node").agg(
         F.count(F.lit(1)).alias("copies"), F.min("id").alias("copy_id"), F.min("row").alias("row"), F.max("n").alias("n"), F.first("paths").alias("paths")), "classes")
     members = buckets(classes, sketches, threshold, picks, leaf=leaf).join(classes.select("node", "n"), "node")
-    rows = _tiles(members, tile, tile_tokens)
-    shingles = sketches.join(classes.select("row", "copies"), "row").select("node", "copies", "shingles")
+    rows = stage(_tiles(members, tile, tile_tokens), "tiles")
+    shingles = _of_nodes(sketches.select("row", "shingles"), rows, classes.select("node", "row", "copies"))
     compared = (rows.join(shingles, "node").select("path", "low", "high", "side", "node", "copies", "shingles", "earlier")
                 .repartition("path", "low", "high").sortWithinPartitions("path", "low", "high", "side", "node"))
     found = stage(compared.mapInArrow(_compare_all(threshold), "node long, texts long, docs long, root long"), "links")
