@@ -5,8 +5,7 @@ on templates, their fragments and variations, with paragraphs of the corpus as e
 scaling fitted on paragraphs left out calibrates them, and what stays under the cut is `unknown`. A prediction then has to
 be confirmed by its family's template: enough of the template's word pairs must occur in the paragraph, or of the paragraph's in a template.
 
-Only n-grams that occur in a template have weights besides the bias, so a paragraph without any of them is `unknown` without further work;
-that is the model's own answer, not a shortcut.
+A prediction that no template confirms does not stand, so paragraphs that share no word pair with any template are not scored; the answer is the same.
 
 Defined cases: null and empty texts have no licence; a paragraph that fits two families equally goes to the first by name; ids may be null or repeat;
 an empty table gives an empty result; without texts to sample the templates alone train the model; other columns are carried along.
@@ -199,40 +198,59 @@ def _calibrate(model: Classifier, margin: np.ndarray, right: np.ndarray) -> None
     model.slope, model.offset = max(a, 0.1), b
 
 
-def similarity(words: list[str], family: str) -> float:
-    """Best overlap of word pairs with a template of the family: of the shorter side, so that parts and additions count in full."""
-    own, best = _pairs(words), 0.0
-    for text in TEMPLATES[family]:
-        pairs = _pairs(paragraph_words(text))
-        best = max(best, len(own & pairs) / min(len(own), len(pairs)))
+_TEMPLATE_PAIRS = [(family, frozenset(_pairs(paragraph_words(t)))) for family, texts in TEMPLATES.items() for t in texts]
+_PAIR_TEMPLATES: dict[tuple[str, ...], list[int]] = {}
+for _i, (_, _own) in enumerate(_TEMPLATE_PAIRS):
+    for _pair in _own:
+        _PAIR_TEMPLATES.setdefault(_pair, []).append(_i)
+
+
+def similarities(words: list[str]) -> dict[str, float]:
+    """By family the best overlap of word pairs with a template: the share of the shorter side, so that parts and additions count in full."""
+    own = _pairs(words)
+    shared: dict[int, int] = {}
+    for pair in own:
+        for i in _PAIR_TEMPLATES.get(pair, ()):
+            shared[i] = shared.get(i, 0) + 1
+    best: dict[str, float] = {}
+    for i, n in shared.items():
+        family, pairs = _TEMPLATE_PAIRS[i]
+        best[family] = max(best.get(family, 0.0), n / min(len(own), len(pairs)))
     return best
 
 
 def classify(model: Classifier, words: list[str]) -> tuple[str, float, float]:
-    """(family, probability, similarity) of a paragraph. A long one is judged by its best window of FRAGMENT words."""
-    parts = [words[i:i + FRAGMENT] for i in range(0, max(1, len(words) - FRAGMENT // 2), FRAGMENT // 2)]
-    found = [(p, at) for p in parts if (at := model.positions(p))]
-    if not found:
-        return UNKNOWN, 0.0, 0.0
-    scores = model.scores([at for _, at in found])
-    probability = 1 / (1 + np.exp(-np.clip(model.slope * _margin(scores) + model.offset, -30, 30)))
-    at = int(probability.argmax())
-    family = model.families[int(scores[at, :-1].argmax())]
-    near = similarity(found[at][0], family)
-    if probability[at] < PROBABILITY or near < SIMILARITY or (len(words) > 1 and len(_pairs(found[at][0])) < 2 and near < 1):
-        return UNKNOWN, float(probability[at]), near
-    return family, float(probability[at]), near
+    """(family, probability, similarity) of a paragraph. A long one is judged by its best window of FRAGMENT words.
+
+    A prediction needs a template that confirms it, so windows that no template resembles are not scored.
+    """
+    best = (UNKNOWN, 0.0, 0.0)
+    for at in range(0, max(1, len(words) - FRAGMENT // 2), FRAGMENT // 2):
+        part = words[at:at + FRAGMENT]
+        near = similarities(part)
+        if not near or max(near.values()) < SIMILARITY:
+            continue
+        scores = model.scores([model.positions(part)])
+        probability = float(1 / (1 + np.exp(-np.clip(model.slope * _margin(scores)[0] + model.offset, -30, 30))))
+        family = model.families[int(scores[0, :-1].argmax())]
+        confirmed = near.get(family, 0.0)
+        alone = len(_pairs(part)) < 2 and confirmed < 1  # a single common pair proves nothing
+        if probability >= PROBABILITY and confirmed >= SIMILARITY and not alone and probability > best[1]:
+            best = (family, probability, confirmed)
+    return best
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Classifier:
     """Fit with paragraphs of at most sample_docs texts, those of least id hash, as examples of no licence; lines that match a template closely are not used."""
     rows = docs.select(F.xxhash64(id_column, text).alias("order"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    share = min(1.0, (1.5 * sample_docs + 50) / max(1, docs.count()))  # thinned by the hash, so that tasks send few rows
+    rows = rows.filter(F.pmod("order", F.lit(1 << 30)) < share * (1 << 30))
     chosen = rows.orderBy("order").limit(sample_docs).select(F.slice(F.split("text", "\n"), 1, SAMPLE_PARAGRAPHS).alias("lines"))
     background = []
     for r in sorted(chosen.collect(), key=lambda r: r.lines):
         for line in r.lines:
             words = paragraph_words(line)[:FRAGMENT]
-            if words and max(similarity(words, f) for f in TEMPLATES) < 0.3:
+            if words and max(similarities(words).values(), default=0.0) < 0.3:
                 background.append(words)
     return fit(background)
 
@@ -248,7 +266,7 @@ def scan_text(model: Classifier, text: str | None) -> list[dict]:
     out, at = [], 0
     for number, line in enumerate((text or "").split("\n")):
         words = paragraph_words(line)
-        if not model.words.isdisjoint(words):
+        if any(pair in _PAIR_TEMPLATES for pair in zip(words, words[1:])):
             family, probability, near = classify(model, words)
             if family != UNKNOWN:
                 out.append({"line": number, "start": at, "end": at + len(line), "family": family, "probability": probability, "similarity": near})

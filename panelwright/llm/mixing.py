@@ -35,7 +35,7 @@ def source_totals(rows: DataFrame, source: str, tokens: str) -> DataFrame:
 
 def _measures(totals: DataFrame, exponents: list[float]) -> dict[float, tuple[float, float, float, float]]:
     """Per exponent: sum of p**a, entropy of the weights, and the largest and least of weight over share (up to the sum)."""
-    tried = totals.filter("share > 0").select("share", F.explode(F.array(*map(F.lit, exponents))).alias("a"))
+    tried = totals.filter("share > 0").select("share", F.explode(F.array(*map(F.lit, sorted(set(exponents))))).alias("a"))
     power, gain = F.pow("share", "a"), F.pow("share", F.col("a") - 1)
     found = tried.groupBy("a").agg(F.sum(power).alias("z"), F.sum(power * F.log("share")).alias("s"), F.max(gain).alias("most"), F.min(gain).alias("least"))
     return {r.a: (r.z, math.log(r.z) - r.a * r.s / r.z, r.most, r.least) for r in found.collect()}
