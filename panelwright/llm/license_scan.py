@@ -127,16 +127,15 @@ def _variations(rng: np.random.RandomState) -> list[tuple[int, list[str]]]:
         for text in texts:
             own = paragraph_words(text)
             out.append((family, own))
-            for _ in range(6):
-                kept = [w for w in own if rng.rand() > 0.08] or own
-                at = rng.randint(0, max(1, len(kept) - 11)) if len(kept) > 14 and rng.rand() < 0.5 else 0
-                kept = kept[at:at + rng.randint(12, FRAGMENT)] if at else kept
+            parts = [own[at:at + rng.randint(9, 32)] for at in range(0, len(own) - 8, 4)] if len(own) > 14 else []
+            for part in [own] * 6 + parts:
+                kept = [w for w in part if rng.rand() > 0.08] or part
                 around = [f"x{rng.randint(10**6)}" for _ in range(rng.randint(0, 8))]
                 out.append((family, [*around[:len(around) // 2], *kept, *around[len(around) // 2:]]))
     return out
 
 
-def fit(background: list[list[str]], rounds: int = 200, l2: float = 1e-3, seed: int = 5) -> Classifier:
+def fit(background: list[list[str]], rounds: int = 250, l2: float = 1e-3, seed: int = 5) -> Classifier:
     """Multinomial logistic regression over template n-grams by gradient steps, calibrated on every fifth example."""
     rng = np.random.RandomState(seed)
     families = list(TEMPLATES)
@@ -148,7 +147,6 @@ def fit(background: list[list[str]], rounds: int = 200, l2: float = 1e-3, seed:
     examples = _variations(rng) + [(len(families), w) for w in [*loose, *background]]
     positions, labels = [model.positions(w) for _, w in examples], np.array([c for c, _ in examples])
     keep = [i for i, at in enumerate(positions) if at]  # the others hold nothing to learn from
-    empty = sum(1 for i, at in enumerate(positions) if not at)
     left_out = np.array([i % 5 == 0 for i in range(len(keep))])
     teach = [keep[i] for i in np.flatnonzero(~left_out)]
     row = np.concatenate([np.full(len(positions[i]), k) for k, i in enumerate(teach)])
@@ -156,7 +154,6 @@ def fit(background: list[list[str]], rounds: int = 200, l2: float = 1e-3, seed:
     value = np.concatenate([np.full(len(positions[i]), len(positions[i]) ** -0.5) for i in teach])
     target = np.eye(len(families) + 1)[labels[teach]]
     share = np.bincount(labels[teach], minlength=len(families) + 1) + 1.0
-    share[-1] += empty
     model.bias = np.log(share / share.sum())
     speed, total = np.full_like(model.weights, 1e-6), len(teach)
     for _ in range(rounds):
