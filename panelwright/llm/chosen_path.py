@@ -140,8 +140,8 @@ def _sized(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _of_nodes(wide: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
-    """wide (by row) with the columns of classes, for the classes of the members only. Their table is written, so Spark broadcasts it if it is small."""
-    return wide.join(stage(members.select("node").distinct().join(classes, "node"), "member-classes"), "row").drop("row")
+    """wide (by row) with the columns of classes, for the classes of the members only: a shuffled join at every size, as their number grows with the data."""
+    return wide.join(stage(members.select("node").distinct().join(classes, "node"), "member-classes").hint("merge"), "row").drop("row")
 
 
 def buckets(classes: DataFrame, sketches: DataFrame, threshold: float, picks: int, depth: int = DEPTH, leaf: int = LEAF) -> DataFrame:
@@ -394,7 +394,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **o
     """docs with one row of each class: that of the least id. Rows of the class that repeat that id go as well, but one."""
     found = near_duplicates(docs, id_column, text, **options).filter("class_size > 1")
     found = stage(found.select(id_column, "text_hash", "class_key", "class_id"), "near-duplicates")
-    lost = stage(found.filter(~F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("lost_id"), F.col("text_hash").alias("lost_hash")).distinct(), "lost")
+    lost = stage(found.filter(~F.col(id_column).eqNullSafe(F.col("class_id"))).select(F.col(id_column).alias("lost_id"), F.col("text_hash").alias("lost_hash")).distinct(), "lost").hint("merge")
     hashed = F.xxhash64(text)
     kept = docs.join(lost, docs[id_column].eqNullSafe(lost["lost_id"]) & (hashed == lost["lost_hash"]), "left_anti")
     repeated = stage(found.filter(F.col(id_column).eqNullSafe(F.col("class_id"))).groupBy("class_key").agg(F.count(F.lit(1)).alias("n"))
