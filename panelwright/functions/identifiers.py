@@ -41,6 +41,23 @@ def normalise_symbol(symbol: Column) -> Column:
     )
 
 
-def normalise_date(value: Column) -> Column:
-    """Day-precision date; text that is not a date becomes NULL instead of failing the job."""
-    return value.try_cast("date")
+DAY_NANOS = 86_400_000_000_000
+
+
+def normalise_date(value: Column, kind: str | None = None) -> Column:
+    """Day-precision date; what is not a date becomes NULL instead of failing the job.
+
+    Tried in turn, on the value as text: yyyyMMdd (also as a number), nanoseconds since 1970 (as a 64-bit number), and ISO or
+    slashed dates with or without a time. `kind` is the column's type where known: dates and timestamps are only cast.
+    """
+    if kind == "date" or (kind or "").startswith("timestamp"):
+        return value.cast("date")
+    s = F.btrim(value.cast("string"), F.lit(BLANKS))
+    compact = F.concat_ws("-", F.substring(s, F.lit(1), F.lit(4)), F.substring(s, F.lit(5), F.lit(2)), F.substring(s, F.lit(7), F.lit(2)))
+    nanos = s.try_cast("bigint")
+    day = ((nanos - F.pmod(nanos, F.lit(DAY_NANOS))) / F.lit(DAY_NANOS)).try_cast("int")
+    return (
+        F.when(s.rlike("^[0-9]{8}$"), compact.try_cast("date"))
+        .when(s.rlike("^[0-9]{16,19}$"), F.date_from_unix_date(day))
+        .otherwise(F.replace(s, F.lit("/"), F.lit("-")).try_cast("date"))
+    )

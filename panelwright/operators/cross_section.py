@@ -21,16 +21,21 @@ def per_day(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def group_sizes(df: DataFrame) -> DataFrame:
-    return df.groupBy("date").agg(F.count(F.lit(1)).alias("group_size"))
+def day_keys(df: DataFrame) -> list[str]:
+    """What names a day of a table: the date, and the split where rows carry one, since splits may overlap."""
+    return ["split", *DAY] if "split" in df.columns else DAY
 
 
-def drop_small_groups(df: DataFrame, min_group_size: int) -> DataFrame:
+def group_sizes(df: DataFrame, by: Sequence[str] = DAY) -> DataFrame:
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("group_size"))
+
+
+def drop_small_groups(df: DataFrame, min_group_size: int, by: Sequence[str] = DAY) -> DataFrame:
     """Rows of days with at least `min_group_size` rows. A count and a semi-join, not a window per day."""
     if min_group_size <= 1:
         return df
-    large = group_sizes(df).where(F.col("group_size") >= min_group_size)
-    return df.join(per_day(large), "date", "left_semi")
+    large = group_sizes(df, by).where(F.col("group_size") >= min_group_size)
+    return df.join(per_day(large), list(by), "left_semi")
 
 
 def _binned(position: Column, n_bins: int) -> Column:
@@ -89,12 +94,14 @@ def ranking_rows(
 ) -> DataFrame:
     """Training rows of a ranker: usable and labelled, label clipped, small days dropped, relevance added.
 
-    Days are ranked on a staged (date, sid, label) table; the features are joined once at the end.
+    Days are ranked on a staged (split, date, sid, label) table; the features are joined once at the end. A view tagged by split holds
+    a key once in each split that covers its day, and each split is ranked by itself.
     """
+    by = day_keys(view)
     usable = view.where(F.col("y_valid") & F.col("usable"))
-    narrow = stage(usable.select("date", "sid", clip_abs(F.col("y"), clip_y_abs).alias("y_raw")))
-    ranked = relevance_bins(drop_small_groups(narrow, min_group_size), "y_raw", n_bins)
-    return usable.join(ranked, ["date", "sid"])
+    narrow = stage(usable.select(*by, "sid", clip_abs(F.col("y"), clip_y_abs).alias("y_raw")))
+    ranked = relevance_bins(drop_small_groups(narrow, min_group_size, by), "y_raw", n_bins, by=by)
+    return usable.join(ranked, [*by, "sid"])
 
 
 def _correlation_sums(x: Column, y: Column) -> list[Column]:
@@ -106,17 +113,17 @@ def _correlation_sums(x: Column, y: Column) -> list[Column]:
     ]
 
 
-def rank_ic_daily(df: DataFrame, y: str = "y_raw", pred: str = "pred") -> DataFrame:
-    """Spearman correlation per day on average ranks of finite pairs.
+def rank_ic_daily(df: DataFrame, y: str = "y_raw", pred: str = "pred", by: Sequence[str] = DAY) -> DataFrame:
+    """Spearman correlation per day, or per split and day, on average ranks of finite pairs.
 
     Days with fewer than three pairs, or with constant ranks on either side, are left out.
     """
-    pairs = stage(df.where(is_finite(F.col(y)) & is_finite(F.col(pred))).select("date", "sid", y, pred))
-    ranked = attach_ranks(pairs, value_ranks(pairs, DAY, y), DAY, y, {"_ry": average_rank()})
-    ranked = attach_ranks(ranked, value_ranks(pairs, DAY, pred), DAY, pred, {"_rp": average_rank()})
-    stats = ranked.groupBy("date").agg(*_correlation_sums(F.col("_ry"), F.col("_rp")))
+    pairs = stage(df.where(is_finite(F.col(y)) & is_finite(F.col(pred))).select(*by, "sid", y, pred))
+    ranked = attach_ranks(pairs, value_ranks(pairs, by, y), by, y, {"_ry": average_rank()})
+    ranked = attach_ranks(ranked, value_ranks(pairs, by, pred), by, pred, {"_rp": average_rank()})
+    stats = ranked.groupBy(*by).agg(*_correlation_sums(F.col("_ry"), F.col("_rp")))
     ic = F.try_divide(F.col("_cov"), F.sqrt("_vx") * F.sqrt("_vy"))
-    return stats.where("n_pairs >= 3").select("date", "n_pairs", ic.alias("rank_ic")).where("rank_ic is not null")
+    return stats.where("n_pairs >= 3").select(*by, "n_pairs", ic.alias("rank_ic")).where("rank_ic is not null")
 
 
 def rank_ic_summary(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -78,8 +78,7 @@ def run(view: DataFrame, params: RankerParams, refit_before_test: bool = False)
     if refit_before_test:
         model = refit(fitting.drop("_valid"), params, model)
     predictions = stage(model.transform(rows).select("date", "sid", "split", "y_raw", "pred"))
-    daily = rank_ic_daily(predictions).join(F.broadcast(predictions.select("date", "split").distinct()), "date")
-    return model, predictions, rank_ic_summary(daily, ["split"])
+    return model, predictions, rank_ic_summary(rank_ic_daily(predictions, by=["split", "date"]), ["split"])
 
 
 def save(model: GBTRegressionModel, path: str) -> None:

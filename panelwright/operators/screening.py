@@ -43,7 +43,9 @@ def kept_features(profile: DataFrame) -> list[str]:
 
 
 def align_features(view: DataFrame, have: Sequence[str], want: Sequence[str]) -> DataFrame:
-    """Project the feature array onto the training list and order."""
+    """Project the feature array onto the training list and order; a wanted feature that is absent is an error."""
     index = {n: i for i, n in enumerate(have)}
-    picked = F.array(*[F.get("features", F.lit(index[n])) for n in want if n in index])
+    if absent := [n for n in want if n not in index]:
+        raise ValueError(f"the view lacks the features {absent}")
+    picked = F.array(*[F.get("features", F.lit(index[n])) for n in want])
     return view.withColumn("features", picked)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK: dict[str, str] = {}
-
 
 def tune(spark: SparkSession) -> SparkSession:
     """Adaptive execution with skewed-join splitting, UTC days. All are runtime settings."""
@@ -19,15 +17,10 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def staging_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where none is set, as in tests."""
+def staging_dir(spark: SparkSession) -> str | None:
+    """The shared folder named by spark.checkpoint.dir, if one is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = tempfile.mkdtemp(prefix="panelwright-")
-    return _FALLBACK[app]
+    return configured.rstrip("/") if configured else None
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
@@ -42,12 +35,16 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write a table that several branches of a plan read, and return a scan of it.
+    """Write a table that several branches of a plan read, and return a scan of it. Without a shared folder it is persisted on the
+    executors' disks instead, which runs nothing yet and is recomputed where an executor is lost.
 
     Used for narrow tables whose recomputation would repeat the panel joins. The files are in
     shared storage, so a lost executor costs a re-read, not the upstream plan, and their
     sizes give the planner true statistics.
     """
-    path = f"{staging_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    folder = staging_dir(df.sparkSession)
+    if folder is None:
+        return df.persist(StorageLevel.DISK_ONLY)
+    path = f"{folder}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -433,6 +433,10 @@ FROM c"""
 SELECT date, sid, {_r('l_extendedprice', '"open"')}, {_r('l_extendedprice * 2', 'high')}, {_r('l_extendedprice / 2', 'low')},
        {_r('l_extendedprice - l_quantity', '"close"')}, {_r('l_quantity', 'volume')}, {_r('l_tax', 'amount')},
        CAST(1.0 AS DOUBLE) AS adj_factor FROM firsts""")
+    sql["source_drop_counts"] = """
+SELECT count(*) AS n_rows, count(*) FILTER (bad_date) AS no_date, count(*) FILTER (NOT bad_date AND no_id) AS no_sid,
+       count(*) FILTER (NOT bad_date AND NOT no_id) - count(DISTINCT CASE WHEN NOT bad_date AND NOT no_id THEN (CAST(l_shipdate AS DATE), l_suppkey) END) AS repeated
+FROM (SELECT *, l_returnflag = 'R' AND l_linenumber = 7 AS bad_date, l_linestatus = 'F' AND l_linenumber = 6 AS no_id FROM lineitem)"""
     sql["bars_source_counts"] = _with(RAW_BARS, select="""
 SELECT count(*) AS n_rows, count(DISTINCT date) AS n_dates, count(DISTINCT sid) AS n_sids FROM firsts""")
     sql["factor_normalize"] = f"""

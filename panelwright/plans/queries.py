@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwright.functions.identifiers import normalise_symbol
 from panelwright.functions.schema import (
-    MARKET_FIELDS, STATUS_FIELDS, encoded_positions, feature_names, select_features, struct_fields,
+    MARKET_FIELDS, STATUS_FIELDS, encoded_positions, feature_names, select_features,
 )
 from panelwright.operators import assets, cross_section as xs, labels, losses, panel as panels, profiles, quality, ranker
 from panelwright.operators import ranks, screening, splits, views
 from panelwright.operators.staging import stage, tune
 from panelwright.plans.fixtures import (
-    EVENT_GRACE_DAYS, PanelTables, event_factors, event_tables, supplier_bars, supplier_tables, table,
+    PanelTables, event_tables, supplier_bars, supplier_tables, table,
 )
 from panelwright.sources import feeds, tables as files
 
@@ -100,6 +100,11 @@ def bars_dedup_first(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(feeds.normalise_bars(_raw_bars(spark, sf), order=["l_orderkey", "l_linenumber", "l_partkey"]))
 
 
+@query
+def source_drop_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return feeds.drop_counts(_raw_bars(spark, sf))
+
+
 @query
 def bars_source_counts(spark: SparkSession, sf: str) -> DataFrame:
     return quality.source_counts(feeds.bar_keys(feeds.normalise_bars(_raw_bars(spark, sf), order=["l_orderkey", "l_linenumber", "l_partkey"])))
@@ -587,9 +592,7 @@ def rankic_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rankic_summary(spark: SparkSession, sf: str) -> DataFrame:
-    predictions = _supplier_predictions(spark, sf)
-    days = predictions.select("date", "split").distinct()
-    return rounded(xs.rank_ic_summary(xs.rank_ic_daily(predictions).join(F.broadcast(days), "date"), ["split"]))
+    return rounded(xs.rank_ic_summary(xs.rank_ic_daily(_supplier_predictions(spark, sf), by=["split", "date"]), ["split"]))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from panelwright.functions.identifiers import normalise_date, normalise_symbol
 from panelwright.functions.missing import fractional_columns, nan_to_null
 from panelwright.functions.schema import MARKET_FIELDS, REQUIRED_BAR_FIELDS
-from panelwright.sources.tables import read_yearly
+from panelwright.sources.tables import union_all, yearly_groups
 
 # Accepted names of each field, best first.
 BAR_DATE_NAMES = ("date", "trade_date", "datetime")
@@ -46,7 +46,24 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
 def _keyed(df: DataFrame, date: str, sid: str) -> DataFrame:
     """Rows with a readable date and an identifier; tested on the raw identifier, which is cheap to push down."""
-    return df.where(F.col(sid).isNotNull() & normalise_date(F.col(date)).isNotNull())
+    return df.where(F.col(sid).isNotNull() & _date(df, date).isNotNull())
+
+
+def _date(df: DataFrame, name: str) -> Column:
+    return normalise_date(F.col(name), df.schema[name].dataType.simpleString())
+
+
+def drop_counts(df: DataFrame, date_names: Sequence[str] = BAR_DATE_NAMES, sid_names: Sequence[str] = BAR_SID_NAMES) -> DataFrame:
+    """One row for a raw feed: n_rows, and how many normalisation drops for no readable date, for no identifier, and as repeated keys."""
+    date, sid = _first_present(df, date_names, "date"), _first_present(df, sid_names, "instrument")
+    keys = df.select(_date(df, date).alias("date"), normalise_symbol(F.col(sid)).alias("sid")).groupBy("date", "sid").agg(F.count(F.lit(1)).alias("n"))
+
+    def total(rows: Column, n: Column) -> Column:
+        return F.coalesce(F.sum(F.when(rows, n)), F.lit(0)).cast("long")
+
+    n, dated, named = F.col("n"), F.col("date").isNotNull(), F.col("sid").isNotNull()
+    return keys.agg(total(F.lit(True), n).alias("n_rows"), total(~dated, n).alias("no_date"), total(dated & ~named, n).alias("no_sid"),
+                    total(dated & named, n - 1).alias("repeated"))
 
 
 def _without_nan(df: DataFrame) -> DataFrame:
@@ -67,43 +84,55 @@ def bar_fields(df: DataFrame) -> list[Column]:
     return fields
 
 
-def normalise_bars(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
-    """(date, sid, open .. adj_factor). `order` names the columns that say which duplicate is first;
-    without it the caller vouches that keys are already unique."""
+def _clean_bars(df: DataFrame, order: Sequence[str]) -> DataFrame:
     date = _first_present(df, BAR_DATE_NAMES, "date")
     sid = _first_present(df, BAR_SID_NAMES, "instrument")
     fields = bar_fields(df)
     clean = _keyed(df, date, sid).select(
-        normalise_date(F.col(date)).alias("date"),
+        _date(df, date).alias("date"),
         normalise_symbol(F.col(sid)).alias("sid"),
         *fields,
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])],
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
     )
-    clean = _without_nan(clean)
+    return _without_nan(clean)
+
+
+def _first_of(clean: DataFrame, order: Sequence[str] | None) -> DataFrame:
     return keep_first(clean, ["date", "sid"], [f"_o{i}" for i in range(len(order))]) if order else clean
 
 
-def normalise_factors(df: DataFrame, order: Sequence[str] | None = None, exclude: Iterable[str] = ()) -> DataFrame:
-    """(date, sid, <features as float>), identifier columns other than the chosen one dropped."""
+def normalise_bars(df: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+    """(date, sid, open .. adj_factor). `order` names the columns that say which duplicate is first;
+    without it the caller vouches that keys are already unique."""
+    return _first_of(_clean_bars(df, order or ()), order)
+
+
+def _clean_factors(df: DataFrame, order: Sequence[str], exclude: Iterable[str]) -> DataFrame:
     date = _first_present(df, FACTOR_DATE_NAMES, "date")
     sid = _first_present(df, FACTOR_SID_NAMES, "instrument")
-    skipped = {*FACTOR_META_NAMES, *exclude, *(order or []), "_file", "_row"}
+    skipped = {*FACTOR_META_NAMES, *exclude, *order, "_file", "_row"}
     names = [c for c in df.columns if c not in skipped]
     if not names:
         raise SourceError("factor feed has no feature columns")
     clean = _keyed(df, date, sid).select(
-        normalise_date(F.col(date)).alias("date"),
+        _date(df, date).alias("date"),
         normalise_symbol(F.col(sid)).alias("sid"),
         *[F.col(f"`{c}`").cast("float").alias(c.removeprefix("feature.")) for c in names],
-        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [])],
+        *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
     )
-    clean = _without_nan(clean)
-    return keep_first(clean, ["date", "sid"], [f"_o{i}" for i in range(len(order))]) if order else clean
+    return _without_nan(clean)
+
+
+def normalise_factors(df: DataFrame, order: Sequence[str] | None = None, exclude: Iterable[str] = ()) -> DataFrame:
+    """(date, sid, <features as float>), identifier columns other than the chosen one dropped."""
+    return _first_of(_clean_factors(df, order or (), exclude), order)
 
 
 def read_bars(spark: SparkSession, directory: str, start_year: int | None = None, end_year: int | None = None) -> DataFrame:
-    """Clean bars of a yearly directory. Duplicates across files are resolved too, not only within one."""
-    return normalise_bars(read_yearly(spark, directory, start_year, end_year), order=["_file", "_row"])
+    """Clean bars of a yearly directory. Files of equal schema are normalised together, each group by its own column names and types.
+    Duplicates across files are resolved too, not only within one."""
+    order = ["_file", "_row"]
+    return _first_of(union_all([_clean_bars(df, order) for df in yearly_groups(spark, directory, start_year, end_year)]), order)
 
 
 def read_factors(
@@ -113,7 +142,8 @@ def read_factors(
     end_year: int | None = None,
     exclude: Iterable[str] = (),
 ) -> DataFrame:
-    return normalise_factors(read_yearly(spark, directory, start_year, end_year), order=["_file", "_row"], exclude=exclude)
+    order = ["_file", "_row"]
+    return _first_of(union_all([_clean_factors(df, order, exclude) for df in yearly_groups(spark, directory, start_year, end_year)]), order)
 
 
 def bar_keys(bars: DataFrame) -> DataFrame:

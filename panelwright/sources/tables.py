@@ -28,6 +28,35 @@ def yearly_paths(spark: SparkSession, directory: str, start_year: int | None = N
     return sorted(chosen)
 
 
+def yearly_groups(spark: SparkSession, directory: str, start_year: int | None = None, end_year: int | None = None) -> list[DataFrame]:
+    """The files of a yearly directory, one table per file schema, with the file position kept for "keep first".
+
+    Nanosecond timestamps come as 64-bit numbers (`normalise_date` reads them); that is a session setting, switched on here.
+    """
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    groups: dict[str, list[str]] = {}
+    for path in yearly_paths(spark, directory, start_year, end_year):
+        groups.setdefault(spark.read.parquet(path).schema.json(), []).append(path)
+    position = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    return [spark.read.parquet(*paths).select("*", *position) for paths in groups.values()]
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    """Union by name; a column whose type differs is double if all its types are numeric, else text."""
+    kinds: dict[str, set[str]] = {}
+    numeric: dict[str, bool] = {}
+    for df in frames:
+        for field in df.schema:
+            kinds.setdefault(field.name, set()).add(field.dataType.simpleString())
+            numeric[field.name] = numeric.get(field.name, True) and isinstance(field.dataType, T.NumericType)
+    drifted = {n: "double" if numeric[n] else "string" for n, k in kinds.items() if len(k) > 1}
+    out = None
+    for df in frames:
+        df = df.withColumns({n: F.col(f"`{n}`").cast(k) for n, k in drifted.items() if n in df.columns})
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def read_yearly(
     spark: SparkSession,
     directory: str,
@@ -35,10 +64,8 @@ def read_yearly(
     end_year: int | None = None,
     columns: list[str] | None = None,
 ) -> DataFrame:
-    """All years in one scan (columns are unioned), with the file position kept for "keep first"."""
-    paths = yearly_paths(spark, directory, start_year, end_year)
-    df = spark.read.option("mergeSchema", True).parquet(*paths)
-    df = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    """All years, columns unioned and drifting types made one, with the file position kept for "keep first"."""
+    df = union_all(yearly_groups(spark, directory, start_year, end_year))
     return df.select(*columns, "_file", "_row") if columns else df
 
 

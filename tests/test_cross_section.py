@@ -175,3 +175,13 @@ def test_class_terms(spark):
 def test_masked_mse_with_nothing_masked_in(spark):
     df = spark.createDataFrame([(DAYS[0], 1.0, 3.0, False)], "date date, y double, p double, m boolean")
     assert losses.masked_mse(df, "y", "p", "m", ["date"]).first()["mse"] == 0.0
+
+
+def test_overlapping_splits_are_ranked_apart(spark):
+    rows = [(split, DAYS[0], str(i), float(i), True, True, float(-i)) for split in ("valid", "test") for i in range(4)]
+    view = spark.createDataFrame(rows, "split string, date date, sid string, y double, y_valid boolean, usable boolean, pred double")
+    out = xs.ranking_rows(view, min_group_size=4, n_bins=2)
+    assert out.groupBy("split").count().collect() and {r["count"] for r in out.groupBy("split").count().collect()} == {4}
+    assert xs.ranking_rows(view, min_group_size=5).count() == 0
+    daily = xs.rank_ic_daily(out, by=["split", "date"]).collect()
+    assert {(r["split"], r["n_pairs"]) for r in daily} == {("valid", 4), ("test", 4)} and all(r["rank_ic"] == pytest.approx(-1) for r in daily)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,31 @@ def test_yearly_files(spark, tmp_path):
         tables.yearly_paths(spark, str(tmp_path), 2030)
 
 
+def test_years_with_other_names_types_and_dates(spark, tmp_path):
+    values = {"open": 1.0, "high": 2.0, "low": 0.5, "close": 1.5, "volume": 10}
+    layouts = {
+        2015: {"order_book_id": ["600000.XSHG"], "trade_date": ["2015-01-02"]},
+        2016: {"ts_code": ["600000.SH"], "trade_date": ["20160102"]},
+        2017: {"symbol": ["SH600000"], "date": ["2017/01/02"], "volume": 10.5},
+        2018: {"code": ["600000"], "date": [20180102]},
+        2019: {"symbol": ["600000"], "datetime": pd.to_datetime(["2019-01-02"]).astype("datetime64[ns]")},
+        2020: {"symbol": ["600000"], "date": [dt.date(2020, 1, 2)], "volume": 7.0},
+    }
+    for year, own in layouts.items():
+        df = pd.DataFrame({**own, **{k: [own.get(k, v)] for k, v in values.items()}})
+        df.to_parquet(tmp_path / f"year={year}.parquet", index=False, coerce_timestamps=None, version="2.6")
+    bars = feeds.read_bars(spark, str(tmp_path)).orderBy("date").collect()
+    assert [(str(b["date"]), b["sid"]) for b in bars] == [(f"{y}-01-02", "600000.SH") for y in layouts]
+    assert [b["volume"] for b in bars] == [10.0, 10.0, 10.5, 10.0, 10.0, 7.0]
+    assert tables.read_yearly(spark, str(tmp_path)).count() == len(layouts)
+
+
+def test_dropped_rows_are_counted(spark):
+    raw = spark.createDataFrame([("20240102", "1"), ("2024/01/02", "1"), ("bad", "1"), ("bad", None), ("2024-01-02", None), ("2024-01-03", "1")], "date string, symbol string")
+    assert tuple(feeds.drop_counts(raw).first()) == (6, 2, 1, 1)
+    assert tuple(feeds.drop_counts(raw.limit(0)).first()) == (0, 0, 0, 0)
+
+
 def test_calendar_csv(spark, tmp_path):
     path = tmp_path / "cal.csv"
     path.write_text("x,trade_date\n1,2024-01-03\n2,2024-01-02\n3,nope\n4,2024-01-03\n5,2024-02-01\n")
