@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from panelwright.llm import chosen_path, mixing, packing, queries, vector_join, warc
 from panelwright.llm.common import shared_dir
+from tests.compare import difference, duck
 
 
 # --- WARC ----------------------------------------------------------------------------------------
@@ -285,3 +286,8 @@ def test_pipeline_of_odd_rows(spark):
 def test_registered():
     found = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in found) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_matches_sql(spark, sf, name):
+    assert difference(queries.queries()[name](spark, sf), queries.oracle_sql()[name], duck(sf)) is None
