@@ -1,4 +1,4 @@
-"""Every registered query against its SQL twin, and its plan against the rules."""
+"""Every query of the panel operators against its SQL twin, and its plan against the rules; tests/llm has those of the subpackage."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from panelwright.plans import oracle, queries as registry
 from tests.compare import difference, duck
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ORACLE = contract.oracle_sql()
+ORACLE = oracle.oracle_sql()
 # No SQL engine fits boosted trees; the ranker is tested end to end in test_views.py.
 WITHOUT_SQL = {"gbt_rank_predictions", "gbt_rank_metrics"}
 
@@ -21,7 +22,9 @@ def con():
 
 
 def test_registry_is_covered():
-    assert set(contract.queries()) - set(ORACLE) == WITHOUT_SQL and set(ORACLE) <= set(contract.queries())
+    panel = set(registry.queries())
+    assert panel - set(ORACLE) == WITHOUT_SQL and set(ORACLE) <= panel
+    assert panel <= set(contract.queries()) and set(ORACLE) <= set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
