@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelwright.functions.missing import clip_abs, is_finite
 from panelwright.operators.staging import stage
-from panelwright.operators.ranks import attach_ranks, average_rank, ordinal_positions, top_k, value_ranks
+from panelwright.operators.ranks import attach_ranks, average_rank, dense_codes, ordinal_positions, top_k, value_ranks
 
 DAY = ["date"]
 
@@ -82,11 +82,40 @@ def normalise(df: DataFrame, value: str, method: str = "none", name: str | None
     return out.withColumn(name, F.col("_normalised")).drop("_normalised", "_mean", "_std")
 
 
-def sample_per_day(df: DataFrame, k: int, present: str, seed: int = 42) -> DataFrame:
-    """k instruments a day, usable ones first, otherwise in a seeded md5 order; reproducible on any cluster."""
+def sample_per_day(df: DataFrame, k: int, present: str, seed: int = 42, instruments: DataFrame | None = None) -> DataFrame:
+    """k instruments a day, usable ones first, otherwise in a seeded md5 order; reproducible on any cluster.
+
+    With `instruments` (sid), a day of fewer than k rows is filled to k from the instruments that have no row that day: `present` false,
+    other columns null. Days without any row do not appear.
+    """
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("date").cast("string"), F.col("sid")))
     order = [F.coalesce(F.col(present), F.lit(False)).desc(), draw.asc(), F.col("sid").asc()]
-    return top_k(df, DAY, order, k).withColumnRenamed("top_pos", "sample_pos")
+    chosen = top_k(df, DAY, order, k).withColumnRenamed("top_pos", "sample_pos")
+    if instruments is None:
+        return chosen
+    chosen = stage(chosen)
+    fill = _absent_instruments(chosen.select("date", "sid"), instruments, k, seed)
+    return chosen.unionByName(fill.withColumn(present, F.lit(False)), allowMissingColumns=True)
+
+
+def _absent_instruments(held: DataFrame, instruments: DataFrame, k: int, seed: int) -> DataFrame:
+    """(date, sid, sample_pos) that bring every short day to k rows.
+
+    The instruments stand in a ring in md5 order; a day walks the ring from a seeded place and skips those it holds. It holds fewer
+    than k, so 2k steps find enough: no day meets all instruments.
+    """
+    keyed = instruments.select("sid", F.concat_ws("|", F.md5("sid"), "sid").alias("_spot")).dropna().distinct()
+    ring = stage(keyed.join(dense_codes(keyed, "_spot", "_code"), "_spot").select("sid", "_code"))
+    n = ring.agg(F.count(F.lit(1))).scalar()
+    short = held.groupBy("date").agg(F.count(F.lit(1)).alias("_held")).where(F.col("_held") < k)
+    drawn = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("date").cast("string")))
+    start = F.conv(F.substring(drawn, 1, 8), 16, 10).cast("long")
+    steps = F.sequence(F.lit(0).cast("long"), F.greatest(F.least(F.lit(2 * k).cast("long"), n) - 1, F.lit(0).cast("long")))
+    walk = short.withColumn("_step", F.explode(steps)).withColumn("_code", F.pmod(start + F.col("_step"), n))
+    free = walk.join(ring, "_code").join(held, ["date", "sid"], "left_anti")
+    place = F.row_number().over(W.partitionBy("date").orderBy("_step"))
+    filled = free.withColumn("_place", place).where(F.col("_place") <= k - F.col("_held"))
+    return filled.select("date", "sid", (F.col("_held") + F.col("_place") - 1).cast("int").alias("sample_pos"))
 
 
 def ranking_rows(

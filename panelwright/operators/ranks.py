@@ -21,9 +21,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from panelwright.functions.missing import is_finite
 from panelwright.operators.staging import stage
 
-# Rows that share one value are ordered in a single window up to this many, and in hashed cells beyond it.
-TIE_CELL_ROWS = 1_000_000
-
 
 def _exponent(a: Column) -> Column:
     return F.when(a == 0, -1100).otherwise(F.least(F.floor(F.log2(a)), F.lit(1023)).cast("int"))
@@ -47,18 +44,11 @@ def value_digits(v: Column, double_precision: bool) -> list[Column]:
     return digits
 
 
-def text_digits(s: Column, width: int = 3, levels: int = 4) -> list[Column]:
-    """Consecutive character groups: the text order, one bounded alphabet at a time."""
-    return [F.substring(s, 1 + i * width, width) for i in range(levels)]
-
-
-def prefix_counts(
-    values: DataFrame, by: Sequence[str], value: str, digits: Sequence[Column], empty: int | str = 0
-) -> DataFrame:
+def prefix_counts(values: DataFrame, by: Sequence[str], value: str, digits: Sequence[Column]) -> DataFrame:
     """Add `before`, `group_n` and `group_values` to distinct (by, value, n) rows."""
     names = [f"_d{i}" for i in range(len(digits))]
     # Digits are declared non-null, so the joins below infer no filters and both sides share one exchange.
-    keyed = values.withColumns({n: F.coalesce(d, F.lit(empty)) for n, d in zip(names, digits)})
+    keyed = values.withColumns({n: F.coalesce(d, F.lit(0)) for n, d in zip(names, digits)})
     leaf = W.partitionBy(*by, *names).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     out = keyed.withColumn("before", F.coalesce(F.sum("n").over(leaf), F.lit(0)))
     for depth in range(len(names), 0, -1):
@@ -107,27 +97,24 @@ def attach_ranks(df: DataFrame, ranks: DataFrame, by: Sequence[str], value: str,
 
 
 def ordinal_positions(
-    df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False, tie: str = "sid",
-    tie_cell_rows: int = TIE_CELL_ROWS,
+    df: DataFrame, by: Sequence[str], value: str, name: str, descending: bool = False, tie: str = "sid"
 ) -> DataFrame:
     """Position from 0 by value inside the group; equal values in md5 order of `tie`.
 
-    Ties are numbered inside (group, value). Where a value has more than `tie_cell_rows` rows
-    they are numbered in 4,096 cells by md5 prefix, and each cell adds the count of the cells before it.
+    Ties are numbered inside (group, value, cell), the cells being 4,096 md5 prefixes, and each cell adds
+    the count of the cells before it. A value held by one row has no ties and needs no such count.
     """
     start = F.col("group_n") - F.col("before") - F.col("n") if descending else F.col("before")
     rows = attach_ranks(df, value_ranks(df, by, value), by, value, {"_start": start, "_n": F.col("n")})
-    hashed = F.md5(F.col(tie))
-    large = F.col("_n").isNull() | (F.col("_n") > tie_cell_rows)
     rows = rows.withColumns(
-        {"_v": F.when(F.col("_n").isNotNull(), F.col(value).cast("double")), "_hash": hashed}
-    ).withColumn("_cell", F.when(large, F.substring("_hash", 1, 3)).otherwise(""))
+        {"_v": F.when(F.col("_n").isNotNull(), F.col(value).cast("double")), "_hash": F.md5(F.col(tie))}
+    ).withColumn("_cell", F.substring("_hash", 1, 3))
     rows = stage(rows)
     cell = [*by, "_v", "_cell"]
     rows = rows.repartition(*cell).withColumn("_in_cell", F.row_number().over(W.partitionBy(*cell).orderBy("_hash", tie)) - 1)
     running = W.partitionBy(*by, "_v").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        rows.where(F.col("_n") > tie_cell_rows)
+        rows.where(F.col("_n") > 1)
         .groupBy(*cell)
         .agg(F.count(F.lit(1)).alias("_c"))
         .select(*cell, F.coalesce(F.sum("_c").over(running), F.lit(0)).alias("_cell_start"))
@@ -181,6 +168,16 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, spr
 
 
 def dense_codes(df: DataFrame, column: str, name: str) -> DataFrame:
-    """(column, code): distinct texts numbered from 0 in text order, without a global window."""
-    distinct = df.select(column).dropna().distinct().select(F.lit(1).alias("_all"), column, F.lit(1).alias("n"))
-    return prefix_counts(distinct, ["_all"], column, text_digits(F.col(column)), empty="").select(column, F.col("before").alias(name))
+    """(column, code): distinct values numbered from 0 in their order.
+
+    The values are dealt into ranges of about equal size, whatever prefixes they share, and numbered inside each range; a range
+    adds the size of those before it. The only window without a key is over one row a range. The ranges are stored, so that
+    a re-read numbers the same rows.
+    """
+    part = "_part"
+    dealt = stage(df.select(column).dropna().distinct().repartitionByRange(column).withColumn(part, F.spark_partition_id()))
+    sizes = dealt.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = F.sum("_size").over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(part, F.coalesce(earlier, F.lit(0)).alias("_start"))
+    place = F.row_number().over(W.partitionBy(part).orderBy(column)) - 1
+    return dealt.withColumn("_place", place).join(starts, part).select(column, (F.col("_start") + F.col("_place")).alias(name))

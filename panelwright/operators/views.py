@@ -123,15 +123,24 @@ def dense_cells(view: DataFrame, calendar: DataFrame, width: int) -> DataFrame:
 def lookback_windows(view: DataFrame, sampled: DataFrame, lookback: int, width: int) -> DataFrame:
     """For each sampled (date, sid): the `lookback` encoded rows ending that day, oldest first.
 
-    Days without a panel row are zero vectors; the first lookback - 1 days yield nothing.
+    Days without a panel row are zero vectors; the first lookback - 1 days yield nothing. Where `sampled` carries td_idx,
+    a sampled instrument without a panel row that day yields a window too, with its masks off.
     Features shuffle once, by instrument; a frame never holds more than `lookback` rows.
     """
     frame = W.partitionBy("sid").orderBy("td_idx").rangeBetween(-(lookback - 1), 0)
-    marked = view.join(sampled.select("date", "sid", F.lit(True).alias("_sampled")), ["date", "sid"], "left")
-    recent = F.collect_list(F.struct("td_idx", "x")).over(frame)
+    day = F.col("td_idx") if "td_idx" in sampled.columns else F.lit(None).cast("int")
+    keys = sampled.select("date", "sid", day.alias("_td_idx"), F.lit(True).alias("_sampled"))
+    marked = view.join(keys, ["date", "sid"], "full").withColumns({
+        "td_idx": F.coalesce("td_idx", "_td_idx"),
+        "present": F.coalesce("present", F.lit(False)),
+        "y_ret": F.coalesce("y_ret", F.lit(0.0).cast("float")),
+        "y_mom": F.coalesce("y_mom", F.lit(-1).cast("byte")),
+        **{m: F.coalesce(m, F.lit(False)) for m in ("ret_mask", "mom_mask", "both_mask")},
+    })
+    recent = F.collect_list(F.when(F.col("x").isNotNull(), F.struct("td_idx", "x"))).over(frame)
     rows = marked.withColumn("_recent", recent).where(F.col("_sampled") & (F.col("td_idx") >= lookback - 1))
     by_day = F.map_from_entries("_recent")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
     days = F.sequence(F.col("td_idx") - (lookback - 1), F.col("td_idx"))
     window = F.transform(days, lambda d: F.coalesce(F.try_element_at(by_day, d), zeros))
-    return rows.withColumn("window", window).drop("_recent", "_sampled", "x")
+    return rows.withColumn("window", window).drop("_recent", "_sampled", "_td_idx", "x")

@@ -25,8 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars per user; small closes are missing and days without a purchase have no volume."""
-    ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "error", "purchase"))
+    """Daily bars per user from all events but views, which are factors only; small closes are missing and days without a purchase have no volume."""
+    ev = table(spark, sf_dir, "events").where(F.col("event_type") != "view")
     keyed = ev.select(
         F.to_date("ts").alias("date"), normalise_symbol(F.col("user_id")).alias("sid"), "event_id", "event_type", "value"
     )
@@ -42,6 +42,7 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily factors per user from views and purchases, so that some keys have bars only and some have factors only."""
     ev = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "purchase"))
     keyed = ev.select(F.to_date("ts").alias("date"), normalise_symbol(F.col("user_id")).alias("sid"), "event_type", "value")
     viewed = F.col("event_type") == "view"
@@ -80,9 +81,8 @@ def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _priced_lines(spark, sf_dir).where(F.col("l_returnflag") != "R")
     accepted = F.col("l_returnflag") == "A"
-    raw = lines.groupBy("date", "sid").agg(
+    raw = _priced_lines(spark, sf_dir).groupBy("date", "sid").agg(
         F.round(F.avg("l_quantity"), 6).alias("quantity"),
         F.round(F.avg(F.when(accepted, F.col("l_discount"))), 6).alias("discount"),
         F.round(F.avg(F.when(~accepted, F.col("l_tax"))), 6).alias("tax"),

@@ -30,7 +30,7 @@ bars AS (
   SELECT date, sid, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low,
          CASE WHEN arg_max(value, event_id) >= 1.0 THEN arg_max(value, event_id) END AS close,
          CAST(count(*) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS volume
-  FROM ev WHERE event_type IN ('click', 'error', 'purchase') GROUP BY date, sid),
+  FROM ev WHERE event_type <> 'view' GROUP BY date, sid),
 fac AS (
   SELECT date, sid,
          CAST(round(avg(value) FILTER (WHERE event_type = 'view'), 6) AS FLOAT) AS f1,
@@ -55,7 +55,7 @@ fac AS (
          CAST(max(price) AS FLOAT) AS top_price,
          CAST(round(avg(l_quantity), 6) AS FLOAT) AS quantity,
          CAST(round(avg(l_tax) FILTER (WHERE l_returnflag <> 'A'), 6) AS FLOAT) AS tax
-  FROM line WHERE l_returnflag <> 'R' GROUP BY date, sid)
+  FROM line GROUP BY date, sid)
 """
 
 EVENT_FEATURES = ("f1", "f2", "f3")
@@ -189,7 +189,17 @@ sampled AS (
   SELECT * FROM (
     SELECT *, CAST(row_number() OVER (PARTITION BY date ORDER BY CAST(present AS INTEGER) DESC,
                    md5('42|' || CAST(date AS VARCHAR) || '|' || sid), sid) - 1 AS INTEGER) AS sample_pos
-    FROM view_rows) WHERE sample_pos < 40)
+    FROM view_rows) WHERE sample_pos < 512),
+ring AS (SELECT sid, row_number() OVER (ORDER BY md5(sid), sid) - 1 AS code, count(*) OVER () AS n FROM (SELECT DISTINCT sid FROM master)),
+short AS (SELECT date, CAST(count(*) AS INTEGER) AS held, CAST('0x' || substr(md5('42|' || CAST(date AS VARCHAR)), 1, 8) AS BIGINT) AS drawn
+          FROM sampled GROUP BY date HAVING count(*) < 512),
+free AS (SELECT s.date, s.held, r.sid, row_number() OVER (PARTITION BY s.date ORDER BY (r.code - s.drawn % r.n + r.n) % r.n) AS place
+         FROM short s CROSS JOIN ring r WHERE NOT EXISTS (SELECT 1 FROM sampled x WHERE x.date = s.date AND x.sid = r.sid)),
+filled AS (
+  SELECT date, td, sid, present, y_ret, y_mom, ret_mask, mom_mask, both_mask, sample_pos FROM sampled
+  UNION ALL
+  SELECT f.date, c.td, f.sid, false, CAST(0 AS FLOAT), -1, false, false, false, CAST(held + place - 1 AS INTEGER)
+  FROM free f JOIN cal c ON c.date = f.date WHERE place <= 512 - held)
 """
 
 MODEL = """
@@ -599,7 +609,7 @@ SELECT c.date, s.sid, c.td AS td_idx, {", ".join(_r(f'coalesce(v.x{i}, 0)', f'x{
        coalesce(v.present, false) AS present, {_r('coalesce(v.y_ret, 0)', 'y_ret')}, coalesce(v.y_mom, -1) AS y_mom,
        coalesce(v.ret_mask, false) AS ret_mask, coalesce(v.mom_mask, false) AS mom_mask, coalesce(v.both_mask, false) AS both_mask
 FROM cal c CROSS JOIN (SELECT DISTINCT sid FROM view_rows) s LEFT JOIN view_rows v ON v.date = c.date AND v.sid = s.sid""")
-    sql["daily_sample_k"] = _with(*ENCODED_PARTS, SAMPLE, select="SELECT date, sid, present, sample_pos FROM sampled")
+    sql["daily_sample_k"] = _with(*ENCODED_PARTS, SAMPLE, select="SELECT date, sid, present, sample_pos FROM filled")
     total = " + ".join(f"coalesce(CAST(x{i} AS DOUBLE), 0)" for i in range(7))
     sql["lookback_window_stats"] = _with(*ENCODED_PARTS, SAMPLE, f"sums AS (SELECT sid, td, x6, {total} AS s FROM view_rows)", select=f"""
 SELECT a.date, a.sid, CAST(5 AS INTEGER) AS steps,
@@ -607,7 +617,7 @@ SELECT a.date, a.sid, CAST(5 AS INTEGER) AS steps,
        {_r('coalesce((SELECT w.s FROM sums w WHERE w.sid = a.sid AND w.td = a.td - 4), 0)', 'oldest_sum')},
        {_r('coalesce((SELECT w.s FROM sums w WHERE w.sid = a.sid AND w.td = a.td), 0)', 'newest_sum')},
        {_r('a.y_ret', 'y_ret')}, a.y_mom, a.ret_mask, a.mom_mask, a.both_mask
-FROM sampled a WHERE a.td >= 4""")
+FROM filled a WHERE a.td >= 4""")
     sql["view_report"] = _with(*ENCODED_PARTS, """
 days AS (SELECT c.date, count(*) FILTER (WHERE v.present) AS present, count(*) FILTER (WHERE v.ret_mask) AS ret_valid,
                 count(*) FILTER (WHERE v.mom_mask) AS mom_valid, count(*) FILTER (WHERE v.both_mask) AS both_valid

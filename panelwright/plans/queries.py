@@ -26,8 +26,8 @@ SPLIT_DATES = {
     "valid_start": "1999-01-01", "valid_end": "2000-07-01",
     "test_start": "2000-07-01", "test_end": "2002-01-01",
 }
-LOOKBACK = 5
-SAMPLE_K = 40
+LOOKBACK = 5  # the events span 30 days
+SAMPLE_K = 512
 N_CLASSES = 5
 
 
@@ -463,15 +463,16 @@ def dense_cube_cells(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def daily_sample_k(spark: SparkSession, sf: str) -> DataFrame:
-    _, view, _ = _event_encoded(spark, sf)
-    return xs.sample_per_day(view.select("date", "sid", "present"), SAMPLE_K, "present").select("date", "sid", "present", F.col("sample_pos").cast("int").alias("sample_pos"))
+    t, view, _ = _event_encoded(spark, sf)
+    return xs.sample_per_day(view.select("date", "sid", "present"), SAMPLE_K, "present", instruments=t.master).select("date", "sid", "present", F.col("sample_pos").cast("int").alias("sample_pos"))
 
 
 @query
 def lookback_window_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of sampled rows, reduced to what a SQL engine can recompute: step count, sum and first value per window."""
-    _, view, width = _event_encoded(spark, sf)
-    sampled = xs.sample_per_day(view.select("date", "sid", "present"), SAMPLE_K, "present")
+    t, view, width = _event_encoded(spark, sf)
+    sampled = xs.sample_per_day(view.select("date", "sid", "present"), SAMPLE_K, "present", instruments=t.master)
+    sampled = sampled.join(xs.per_day(t.calendar.select("date", "td_idx")), "date")
     windows = views.lookback_windows(view, sampled, LOOKBACK, width)
     steps = F.transform("window", lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")))
     return rounded(windows.select(

@@ -120,6 +120,24 @@ def test_sampling_prefers_present_and_is_reproducible(spark):
     assert {r["sid"] for r in xs.sample_per_day(df, 15, "present", seed=1).collect()} != {r["sid"] for r in first}
 
 
+def test_short_days_are_filled_from_absent_instruments(spark):
+    rows = [(DAYS[0], f"s{i}", i % 2 == 0) for i in range(4)] + [(DAYS[1], f"s{i}", True) for i in range(30)]
+    df = spark.createDataFrame(rows, "date date, sid string, present boolean")
+    instruments = spark.createDataFrame([(f"s{i}",) for i in range(60)], "sid string")
+    got = xs.sample_per_day(df, 12, "present", instruments=instruments).collect()
+    again = xs.sample_per_day(df, 12, "present", instruments=instruments.repartition(5)).collect()
+    assert {(r["date"], r["sid"], r["sample_pos"]) for r in got} == {(r["date"], r["sid"], r["sample_pos"]) for r in again}
+    for day, held in ((DAYS[0], {f"s{i}" for i in range(4)}), (DAYS[1], {f"s{i}" for i in range(30)})):
+        chosen = [r for r in got if r["date"] == day]
+        assert sorted(r["sample_pos"] for r in chosen) == list(range(12)) and len({r["sid"] for r in chosen}) == 12
+        if day == DAYS[0]:
+            assert held <= {r["sid"] for r in chosen} and sum(r["present"] for r in chosen) == 2
+        else:
+            assert {r["sid"] for r in chosen} <= held
+    few = xs.sample_per_day(df, 100, "present", instruments=instruments).groupBy("date").count().collect()
+    assert [r["count"] for r in few] == [60, 60]  # all instruments, if fewer than k exist
+
+
 def all_pairs(rows, k, sigma=1.0):
     """(sum, pairs, dcg, idcg) straight from the definition."""
     order = sorted(rows, key=lambda r: (-r["s"], hashlib.md5(r["sid"].encode()).hexdigest()))

@@ -59,10 +59,9 @@ def test_digits_keep_order(spark):
 
 
 @pytest.mark.parametrize("descending", [False, True])
-@pytest.mark.parametrize("cell_rows", [3, 1_000_000])
-def test_ordinal_positions(spark, descending, cell_rows):
+def test_ordinal_positions(spark, descending):
     df, pdf = frame(spark, "ties")
-    got = ranks.ordinal_positions(df, ["date"], "x", "pos", descending, tie_cell_rows=cell_rows)
+    got = ranks.ordinal_positions(df, ["date"], "x", "pos", descending)
     got = {r["sid"]: r["pos"] for r in got.collect()}
     pdf["h"] = [hashlib.md5(s.encode()).hexdigest() for s in pdf.sid]
     for _, day in pdf.groupby("date"):
@@ -72,7 +71,7 @@ def test_ordinal_positions(spark, descending, cell_rows):
 
 def test_ordinal_positions_leave_missing_out(spark):
     df, pdf = frame(spark, "gappy")
-    got = {r["sid"]: r["pos"] for r in ranks.ordinal_positions(df, ["date"], "x", "pos", tie_cell_rows=2).collect()}
+    got = {r["sid"]: r["pos"] for r in ranks.ordinal_positions(df, ["date"], "x", "pos").collect()}
     finite = pdf[np.isfinite(pdf.x)]
     assert all(got[s] is None for s in set(pdf.sid) - set(finite.sid))
     for _, day in finite.groupby("date"):
@@ -105,6 +104,15 @@ def test_dense_codes(spark):
     assert got == {t: i for i, t in enumerate(sorted(texts, key=lambda t: t.encode()))}
 
 
+def test_dense_codes_behind_a_long_prefix(spark):
+    """Identifiers that share their first characters are dealt over tasks like any others."""
+    df = spark.range(20000).select(F.concat(F.lit("a-long-common-prefix-"), F.lpad("id", 6, "0")).alias("sid"), "id")
+    got = ranks.dense_codes(df, "sid", "code")
+    assert got.join(df, "sid").where("code <> id").count() == 0 and got.count() == 20000
+    dealt = df.select("sid").distinct().repartitionByRange("sid").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert dealt < 20000 / 2
+
+
 def test_one_day_holding_most_rows_is_not_one_task(spark):
     """No shuffle of a rank is keyed on the day alone, except for the small digit counts."""
     df = spark.range(20000).select(

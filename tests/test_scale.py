@@ -87,7 +87,7 @@ def test_hot_value_is_split_by_adaptive_execution(spark):
 
 def test_hot_ties_are_numbered_in_cells(spark):
     df = skewed(spark, 6000)
-    out = ranks.ordinal_positions(df, ["date"], "x", "pos", tie_cell_rows=100)
+    out = ranks.ordinal_positions(df, ["date"], "x", "pos")
     placed = out.where("x is not null").select("pos").orderBy("pos").collect()
     assert [r["pos"] for r in placed] == list(range(4000))
     assert out.where("x = 0").agg(F.max("pos")).first()[0] == 1999

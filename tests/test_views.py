@@ -75,6 +75,15 @@ def test_lookback_windows(spark, lookback):
         assert [list(x) for x in window] == [known.get((sid, u), [0.0] * 5) for u in range(t - lookback + 1, t + 1)]
 
 
+def test_lookback_of_an_absent_instrument_has_masks_off(spark):
+    data, p = small_panel(spark)
+    view = views.encoded_view(p, target(p, 0.5), None)
+    sampled = spark.createDataFrame([(DAYS[6], "nobody", 6), (DAYS[6], "a", 6)], "date date, sid string, td_idx int")
+    got = {r["sid"]: r for r in views.lookback_windows(view, sampled, 3, 5).collect()}
+    assert set(got) == {"nobody", "a"} and [list(x) for x in got["nobody"]["window"]] == [[0.0] * 5] * 3
+    assert not any(got["nobody"][m] for m in ("present", "ret_mask", "mom_mask", "both_mask")) and got["nobody"]["y_mom"] == -1
+
+
 def test_tabular_view_and_subset(spark):
     data, p = small_panel(spark)
     view = views.tabular_view(p, None, exclude="f1$")
