@@ -14,7 +14,8 @@ smoothed sums, the gradient's direction with the step of iterative scaling.
 Two words that share a 64-bit hash count as one word; among a billion words that is expected less than once in thirty corpora.
 
 Defined cases: a null text is empty and has the end token only; a null id is never trained on and not held out; rows may repeat, each is
-scored (and counted) by itself; an empty training set gives base and model the uniform distribution over unknown words; other columns are left out.
+scored (and counted) by itself; an empty training set gives base and model the uniform distribution over unknown words; other columns are carried along, and a column
+of the result whose name one of them has is named apart by underscores.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from panelwright.llm.common import END, long_array, mix, slices, stage, words
+from panelwright.llm.common import END, fresh, long_array, mix, slices, stage, words
 
 CLASSES = 32
 MEMBERS = 32
@@ -264,6 +265,9 @@ def train(texts: DataFrame, key: Column, rounds: int = ROUNDS) -> tuple[Model, D
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text") -> DataFrame:
     """docs without its text, and n_tokens, n_known, base_score and score: log10 probabilities of the whole text under the token shares and the model."""
     kept = [c for c in docs.columns if c != text]
+    row, more_known, more_logs, n_known, base_score, final, *names = fresh(
+        docs, "row", "more_known", "more_logs", "n_known", "base_score", "score", "n_tokens", "head_known", "own", "head_logs", "rare", "times")
+    n_tokens, head_known, own_logs, head_logs, rare_words, rare_times = names
     shift = max(1, 64 - 21)
     begin = np.searchsorted(model.head, np.arange(1 << 21, dtype=np.uint64) << np.uint64(shift)).astype(np.int32)
 
@@ -297,16 +301,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text")
                         long_array(rare[first], bounds), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(times.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *names])
 
-    names = ["n_tokens", "head_known", "own", "head_logs", "rare", "times"]
-    if clash := [c for c in kept if c.lower() in {*names, "row", "base_score", "score", "n_known"}]:
-        raise ValueError(f"rename the columns {clash} first")
     kinds = (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType()))
     fields = [*[f for f in docs.schema.fields if f.name != text], *[T.StructField(n, k) for n, k in zip(names, kinds)]]
-    rows = stage(docs.mapInArrow(work, T.StructType(fields)).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    words_of = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    rows = stage(docs.mapInArrow(work, T.StructType(fields)).withColumn(row, F.monotonically_increasing_id()), "lm-rows")
+    pairs = rows.select(F.col(row).alias("row"), F.explode(F.arrays_zip(F.col(rare_words).alias("word"), F.col(rare_times).alias("times"))).alias("x"))
+    words_of = pairs.select("row", "x.word", "x.times")
     rest = counts.filter(F.col("n") < max(1.0, model.n_tokens / HEAD))
-    more = words_of.join(rest, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    done = rows.drop("rare", "times").join(more, "row", "left").na.fill(0, ["more_known", "more_logs"])
-    logs = F.col("head_logs") + F.col("more_logs")
-    return done.select(*kept, "n_tokens", (F.col("head_known") + F.col("more_known")).cast("long").alias("n_known"),
-                       (logs - F.col("n_tokens") * F.lit(model.unit)).alias("base_score"), (logs + F.col("own")).alias("score"))
+    more = words_of.join(rest, "word").groupBy(F.col("row").alias(row)).agg(
+        F.sum("times").alias(more_known), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias(more_logs))
+    done = rows.drop(rare_words, rare_times).join(more, row, "left").na.fill(0, [more_known, more_logs])
+    logs = F.col(head_logs) + F.col(more_logs)
+    return done.select(*kept, n_tokens, (F.col(head_known) + F.col(more_known)).cast("long").alias(n_known),
+                       (logs - F.col(n_tokens) * F.lit(model.unit)).alias(base_score), (logs + F.col(own_logs)).alias(final))

@@ -230,6 +230,11 @@ def test_model_is_a_distribution_and_odd_rows_are_scored(spark):
         total += logs[b] * (n + 1) / 10 ** model.size[b]
     total += sum(p / 10 ** model.size[b] for b, p in logs.items())
     assert total == pytest.approx(1, abs=1e-4)
+    extra = docs.select("doc_id", "text", F.lit("kept").alias("Score"), F.lit(1).alias("row"), F.lit(2).alias("more_logs"), F.lit(3).alias("word"), F.lit(4).alias("times"))
+    clashing = maxent_lm.score(extra, model, counts)
+    assert clashing.columns == ["doc_id", "Score", "row", "more_logs", "word", "times", "n_tokens", "n_known", "base_score", "score_"]
+    assert sorted(r.score_ for r in clashing.collect()) == pytest.approx(sorted(r.score for r in out))
+    assert {(r.Score, r.row, r.more_logs, r.word, r.times) for r in clashing.collect()} == {("kept", 1, 2, 3, 4)}
     empty = docs.limit(0)
     none, no_counts = maxent_lm.train(empty, F.col("doc_id"))
     assert none.n_tokens == 0 and maxent_lm.score(empty, none, no_counts).count() == 0 and maxent_lm.score(docs, none, no_counts).count() == 2 * len(ODD) + 2
