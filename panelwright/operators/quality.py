@@ -79,6 +79,7 @@ def validate_panel(df: DataFrame) -> None:
     bad = forbidden_panel_columns(df)
     if bad:
         raise SchemaError(f"panel: labels or predictions do not belong in it: {bad}")
+    require_unique(df, ["date", "sid"], "panel")
 
 
 def validate_target(df: DataFrame, label: str = "label") -> None:

@@ -1,11 +1,13 @@
 """A cross-sectional ranker on Spark ML boosted trees: fit, predict, refit, save.
 
 Trees see the encoded features (missing as 0 plus a flag), because MLlib trees take no NaN.
-The loss is squared error on the relevance label; ranking quality is judged by the rank IC.
+The loss is squared error on the relevance label; ranking quality is judged by the rank IC,
+which also chooses the number of trees.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import array_to_vector
@@ -13,6 +15,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from panelwright.operators.cross_section import rank_ic_daily, rank_ic_summary, ranking_rows
+from panelwright.operators.screening import align_features, feature_profile, kept_features
 from panelwright.operators.staging import stage
 from panelwright.operators.views import encode_features
 
@@ -27,6 +30,8 @@ class RankerParams:
     relevance_bins: int = 10
     min_group_size: int = 30
     clip_y_abs: float = 0.0
+    missing_drop_thresh: float = 0.98
+    exclude: str | None = None
     seed: int = 42
 
 
@@ -50,35 +55,63 @@ def _trees(params: RankerParams, max_iter: int) -> GBTRegressor:
     )
 
 
-def fit(rows: DataFrame, params: RankerParams, valid_flag: str | None = None) -> GBTRegressionModel:
-    """Fit on `relevance`; with `valid_flag`, stop when the flagged rows no longer improve."""
-    trees = _trees(params, params.max_iter)
-    return (trees.setValidationIndicatorCol(valid_flag) if valid_flag else trees).fit(rows)
+def fit(rows: DataFrame, params: RankerParams, n_trees: int | None = None) -> GBTRegressionModel:
+    """Fit on `relevance`, with as many trees as the parameters or the caller say."""
+    return _trees(params, n_trees or params.max_iter).fit(rows)
 
 
-def refit(rows: DataFrame, params: RankerParams, selected: GBTRegressionModel) -> GBTRegressionModel:
-    """Train on all the given rows for the number of trees the selection run settled on."""
-    return _trees(params, selected.getNumTrees).fit(rows)
+def rank_ic_by_trees(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
+    """The rank IC summary of the first 1, 2, ... trees of a model (n_trees), each row scored by every tree once."""
+    scored, running = rows.select("date", "sid", "y_raw", "x"), []
+    for i, (tree, weight) in enumerate(zip(model.trees, model.treeWeights)):
+        scored = tree.setFeaturesCol("x").setPredictionCol(f"_tree{i}").transform(scored)
+        term = F.col(f"_tree{i}") * F.lit(float(weight))
+        running.append(running[-1] + term if running else term)
+    scored = scored.select("date", "sid", "y_raw", F.posexplode(F.array(*running)).alias("_before", "pred"))
+    scored = scored.select("date", "sid", "y_raw", (F.col("_before") + 1).alias("n_trees"), "pred")
+    return rank_ic_summary(rank_ic_daily(scored, by=["n_trees", "date"]), ["n_trees"])
+
+
+def best_tree_count(model: GBTRegressionModel, valid: DataFrame) -> int:
+    """The number of trees with the greatest mean rank IC, the fewest if several; all where no day can be judged."""
+    best = rank_ic_by_trees(model, valid).where("rank_ic_mean is not null").orderBy(F.desc("rank_ic_mean"), "n_trees").first()
+    return best["n_trees"] if best else model.getNumTrees
 
 
 def predict(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select("date", "sid", "y_raw", "pred")
 
 
-def run(view: DataFrame, params: RankerParams, refit_before_test: bool = False) -> tuple[GBTRegressionModel, DataFrame, DataFrame]:
-    """Select on train/valid, optionally refit on both, predict all three splits.
+@dataclass(frozen=True)
+class RankerRun:
+    """`features` the model was fitted on, in order; `predictions` tagged by split;
+    `metrics` (split, rank_ic_mean, rank_ic_std, rank_ic_n_days, rank_ic_ir)."""
+
+    model: GBTRegressionModel
+    features: list[str]
+    predictions: DataFrame
+    metrics: DataFrame
+
+
+def run(view: DataFrame, names: Sequence[str], params: RankerParams, refit_before_test: bool = False) -> RankerRun:
+    """Screen features on train, choose the number of trees on valid, optionally refit on both, predict all splits.
 
-    `view` is a tabular view with a `split` column. Returns the model, predictions tagged
-    by split, and (split, rank_ic_mean, rank_ic_std, rank_ic_n_days, rank_ic_ir).
+    `view` is a tabular view with a `split` column, `names` its features in order. Every split sees the features kept on train, in their order.
     """
+    features = kept_features(feature_profile(view.where("split = 'train'"), names, params.missing_drop_thresh, params.exclude))
+    if not features:
+        raise ValueError("screening leaves no feature to train on")
     # Boosting reads its input many times, so the training table is written once.
-    rows = stage(model_rows(view, params))
-    fitting = rows.where(F.col("split").isin("train", "valid")).withColumn("_valid", F.col("split") == "valid")
-    model = fit(fitting, params, "_valid")
+    rows = stage(model_rows(align_features(view, names, features), params))
+    train, valid = rows.where("split = 'train'"), rows.where("split = 'valid'")
+    model = fit(train, params)
+    best = best_tree_count(model, valid)
     if refit_before_test:
-        model = refit(fitting.drop("_valid"), params, model)
+        model = fit(train.unionByName(valid), params, best)
+    elif best < model.getNumTrees:
+        model = fit(train, params, best)
     predictions = stage(model.transform(rows).select("date", "sid", "split", "y_raw", "pred"))
-    return model, predictions, rank_ic_summary(rank_ic_daily(predictions, by=["split", "date"]), ["split"])
+    return RankerRun(model, features, predictions, rank_ic_summary(rank_ic_daily(predictions, by=["split", "date"]), ["split"]))
 
 
 def save(model: GBTRegressionModel, path: str) -> None:

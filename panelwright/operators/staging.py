@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark import StorageLevel
@@ -23,6 +24,16 @@ def staging_dir(spark: SparkSession) -> str | None:
     return configured.rstrip("/") if configured else None
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; on a local master without one, in this machine's temporary folder."""
+    folder = staging_dir(spark)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="panelwright-")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
     """Repartition small rows that are about to be expanded.
 

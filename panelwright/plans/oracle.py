@@ -687,4 +687,26 @@ SELECT CASE WHEN date < DATE '2024-01-16' THEN 'first' ELSE 'second' END AS spli
     sql["eval_rollup"] = _with(*MODEL_PARTS, IC, _rollup(MSE_DAYS), select=f"SELECT split, {ROLLUP_COLUMNS} FROM rolled")
     sql["eval_rollup_lambdarank"] = _with(*MODEL_PARTS, RELEVANCE, PAIRWISE, IC, _rollup(
         "SELECT date, pair_loss / (n_pairs + 1e-8) AS ret_loss FROM pair_days"), select=f"SELECT split, {ROLLUP_COLUMNS} FROM rolled")
+
+    # ranker, sources, sinks and contracts
+    sql["gbt_rank_checks"] = _with(*SUPPLIER_VIEW_PARTS, """
+keep AS (SELECT date, sid, split, y, count(*) OVER (PARTITION BY date) AS size_ FROM tab WHERE y_valid AND usable AND split IS NOT NULL)
+""", select="""
+SELECT split, count(*) AS n_rows, count(DISTINCT date) AS n_days, count(DISTINCT sid) AS n_sids, round(sum(CAST(y AS DOUBLE)), 3) AS y_sum,
+       count(*) AS n_finite FROM keep WHERE size_ >= 3 GROUP BY split""")
+    sql["panel_store_range"] = _with(EVENTS, select=f"""
+SELECT date, sid, td AS td_idx, {_r('"close"', '"close"')}, sample_state FROM panel WHERE date >= DATE '2024-01-10' AND date < DATE '2024-01-20'""")
+    sql["calendar_csv"] = """
+SELECT DISTINCT CAST(l_shipdate AS DATE) AS date, true AS is_open FROM lineitem
+WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'"""
+    sql["target_store"] = _with(EVENTS, _return("return_c0c1"), select=f"SELECT date, sid, {LABEL_COLUMNS} FROM return_c0c1")
+    sql["predictions_csv"] = _with(*MODEL_PARTS, select=f"SELECT date, sid, {_r('y_ret', 'y_raw')}, {_r('pred_ret', 'pred')} FROM model_rows")
+    sql["run_metrics_store"] = _with(*SUPPLIER_VIEW_PARTS, RANK_IC, select="""
+SELECT r.run_id, s.split, 'rank_ic_n_days' AS metric, CAST(s.n AS DOUBLE) AS value
+FROM (SELECT split, count(*) AS n FROM ric_days GROUP BY split) s CROSS JOIN (SELECT unnest(['first', 'second']) AS run_id) r""")
+    sql["contracts_hold"] = _with(EVENTS, RAW_BARS, select="""
+SELECT 'raw bars' AS table_name, count(*) AS n_rows FROM firsts UNION ALL SELECT 'raw factors', count(*) FROM fac
+UNION ALL SELECT 'daily bars', count(*) FROM bars UNION ALL SELECT 'factor values', count(*) FROM fac
+UNION ALL SELECT 'instrument master', count(*) FROM master UNION ALL SELECT 'trading calendar', count(*) FROM cal
+UNION ALL SELECT 'panel', count(*) FROM panel""")
     return sql

@@ -12,9 +12,9 @@ from panelwright.functions.schema import (
 )
 from panelwright.operators import assets, cross_section as xs, labels, losses, panel as panels, profiles, quality, ranker
 from panelwright.operators import ranks, screening, splits, views
-from panelwright.operators.staging import stage, tune
+from panelwright.operators.staging import scratch_dir, stage, tune
 from panelwright.plans.fixtures import (
-    PanelTables, event_tables, supplier_bars, supplier_tables, table,
+    PanelTables, event_factors, event_tables, supplier_bars, supplier_tables, table,
 )
 from panelwright.sources import feeds, tables as files
 
@@ -650,18 +650,101 @@ def eval_rollup_lambdarank(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- ranker (rows-only) --------------------------------------------------------------------
 
-RANKER = ranker.RankerParams(max_iter=4, max_depth=3, min_group_size=3, relevance_bins=5)
+# The operator's own parameters, but for the least size of a day: the fixture has about 20 suppliers a day.
+RANKER = ranker.RankerParams(min_group_size=3)
+
+
+def _ranker_run(spark: SparkSession, sf: str, refit: bool) -> ranker.RankerRun:
+    t, view = _supplier_view(spark, sf)
+    names = select_features(feature_names(t.panel), exclude="(?i)scratch", fundamentals=["fund__top_price"])
+    return ranker.run(stage(view.where("y_valid and usable")), names, RANKER, refit_before_test=refit)
 
 
 @query
 def gbt_rank_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    _, view = _supplier_view(spark, sf)
-    _, predictions, _ = ranker.run(stage(view.where("y_valid and usable")), RANKER)
-    return predictions
+    return _ranker_run(spark, sf, refit=False).predictions
+
+
+@query
+def gbt_rank_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Which rows a ranker predicts: per split the rows, days, instruments and labels, and that every prediction is a number."""
+    finite = F.count_if(F.col("pred").isNotNull() & ~F.isnan("pred") & (F.abs("pred") < float("inf")))
+    return _ranker_run(spark, sf, refit=False).predictions.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("date").alias("n_days"), F.count_distinct("sid").alias("n_sids"),
+        F.round(F.sum(F.col("y_raw").cast("double")), 3).alias("y_sum"), finite.alias("n_finite"))
 
 
 @query
 def gbt_rank_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    _, view = _supplier_view(spark, sf)
-    _, _, metrics = ranker.run(stage(view.where("y_valid and usable")), RANKER, refit_before_test=True)
-    return metrics
+    return _ranker_run(spark, sf, refit=True).metrics
+
+
+# --- sources, sinks and contracts ------------------------------------------------------------
+
+
+@query
+def panel_store_range(spark: SparkSession, sf: str) -> DataFrame:
+    """A panel written by year and read back for a range of days, three columns of it."""
+    path = scratch_dir(spark, "panel")
+    files.write_panel(event_tables(spark, sf).panel, path)
+    df = files.read_date_range(spark, path, "2024-01-10", "2024-01-20", ["date", "sid", "td_idx", "market.close", "status.sample_state"])
+    return rounded(df)
+
+
+@query
+def calendar_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Ship dates as a CSV calendar with repeated days, read back for a range."""
+    path = scratch_dir(spark, "calendar")
+    days = table(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy/MM/dd").alias("trade_date"), "l_linenumber").distinct()
+    days.write.option("header", True).csv(path)
+    return files.read_calendar_csv(spark, path, "1995-01-01", "1998-12-31")
+
+
+@query
+def target_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A target table written and read back."""
+    t = event_tables(spark, sf)
+    path = scratch_dir(spark, "target")
+    labels.build_target(t.panel, t.calendar, "return_c0c1").write.parquet(path)
+    return opened(files.read_target(spark, path))
+
+
+@query
+def predictions_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions written as CSV with a header and read back."""
+    path = scratch_dir(spark, "predictions")
+    files.write_predictions(_model_rows(spark, sf).select("date", "sid", r6("y_ret").alias("y_raw"), r6("pred_ret").alias("pred")), path)
+    return rounded(spark.read.csv(path, header=True, schema="date date, sid string, y_raw double, pred double"))
+
+
+@query
+def run_metrics_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Days of the rank IC per split, appended for two runs to one table."""
+    path = scratch_dir(spark, "metrics")
+    summary = stage(xs.rank_ic_summary(xs.rank_ic_daily(_supplier_predictions(spark, sf), by=["split", "date"]), ["split"]))
+    rows = summary.select("split", F.lit("rank_ic_n_days").alias("metric"), F.col("rank_ic_n_days").cast("double").alias("value"))
+    for run_id in ("first", "second"):
+        files.append_run_metrics(rows, run_id, path)
+    return spark.read.parquet(path)
+
+
+@query
+def contracts_hold(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of every table whose contract was checked; a broken contract raises."""
+    t = event_tables(spark, sf)
+    bars = feeds.normalise_bars(_raw_bars(spark, sf), order=["l_orderkey", "l_linenumber", "l_partkey"])
+    checked = [
+        ("raw bars", quality.validate_raw_bars, stage(bars)),
+        ("raw factors", quality.validate_raw_factors, stage(event_factors(spark, sf))),
+        ("daily bars", quality.validate_daily_bars, t.daily),
+        ("factor values", quality.validate_factor_values, t.factors),
+        ("instrument master", quality.validate_instrument_master, t.master),
+        ("trading calendar", quality.validate_trading_calendar, t.calendar),
+        ("panel", quality.validate_panel, stage(t.panel)),
+    ]
+    out = None
+    for name, validate, df in checked:
+        validate(df)
+        rows = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -125,14 +125,20 @@ def test_ranker_end_to_end(spark, tmp_path):
     for t, day in enumerate(DAYS):
         for i in range(40):
             f = rng.gauss(0, 1)
-            data.append((day, f"s{i}", [f, rng.gauss(0, 1)], f + rng.gauss(0, 0.3), True, True, "train" if t < 7 else "valid" if t < 9 else "test"))
+            data.append((day, f"s{i}", [f, rng.gauss(0, 1), 7.0], f + rng.gauss(0, 0.3), True, True, "train" if t < 7 else "valid" if t < 9 else "test"))
     view = spark.createDataFrame(data, "date date, sid string, features array<float>, y float, y_valid boolean, usable boolean, split string")
     params = ranker.RankerParams(max_iter=4, max_depth=3, min_group_size=5, step_size=0.5)
-    model, predictions, metrics = ranker.run(view, params, refit_before_test=True)
-    got = {r["split"]: r for r in metrics.collect()}
+    done = ranker.run(view, ["signal", "noise", "constant"], params, refit_before_test=True)
+    model, predictions = done.model, done.predictions
+    assert done.features == ["noise", "signal"] and 1 <= model.getNumTrees <= 4
+    got = {r["split"]: r for r in done.metrics.collect()}
     assert got["test"]["rank_ic_mean"] > 0.7 and got["test"]["rank_ic_n_days"] == 3 and predictions.count() == len(data)
     ranker.save(model, str(tmp_path / "m"))
-    rows = ranker.model_rows(view, params)
+    aligned = screening.align_features(view, ["signal", "noise", "constant"], done.features)
+    rows = ranker.model_rows(aligned, params)
+    by_trees = {r["n_trees"]: r["rank_ic_mean"] for r in ranker.rank_ic_by_trees(model, rows).collect()}
+    whole = ranker.rank_ic_summary(ranker.rank_ic_daily(ranker.predict(model, rows))).first()["rank_ic_mean"]
+    assert sorted(by_trees) == list(range(1, model.getNumTrees + 1)) and by_trees[model.getNumTrees] == pytest.approx(whole)
     again = ranker.predict(ranker.load(str(tmp_path / "m")), rows)
     assert again.columns == ["date", "sid", "y_raw", "pred"]
     joined = again.join(predictions.withColumnRenamed("pred", "p2"), ["date", "sid"])
