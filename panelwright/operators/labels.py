@@ -275,16 +275,12 @@ register_target(
 
 def requested_targets(config: dict, only: str | None = None) -> list[tuple[str, dict]]:
     """(name, params) pairs from a config: a `targets` list, a single `target`, or the default 5-day return."""
-    listed = config.get("targets", [])
-    single = config.get("target", {})
-    if only:
-        for t in [*listed, single]:
-            if t.get("name") == only:
-                return [(only, t.get("params", {}))]
-        return [(only, {})]
-    if "targets" in config:
-        return [(t["name"], t.get("params", {})) for t in listed]
-    return [(single.get("name", "return_5d"), single.get("params", {}))]
+    single = {"name": "return_5d", "params": {}} | config.get("target", {})
+    wanted = [(t["name"], t.get("params", {})) for t in config.get("targets", [single])]
+    if only is None:
+        return wanted
+    known = [p for p in [*wanted, (single["name"], single["params"])] if p[0] == only]
+    return [*known, (only, {})][:1]
 
 
 def with_trading_day(panel: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -30,11 +30,15 @@ def active_session_index(master: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
-def status_struct(features: list[str]) -> Column:
-    """The status fields from a row that has `market` and `feature` left-joined (NULL struct = no record)."""
+def missing_ratio(features: list[str]) -> Column:
+    """Share of a row's features that are missing; 1 without a factor record."""
     listed = ", ".join(f"feature.`{n}`" for n in features)
     absent = f"size(filter(array({listed}), x -> isnull(x) OR isnan(x))) / {len(features)}D" if features else "1D"
-    ratio = f"CAST(CASE WHEN feature IS NULL THEN 1D ELSE {absent} END AS FLOAT)"
+    return F.expr(f"CAST(CASE WHEN feature IS NULL THEN 1D ELSE {absent} END AS FLOAT)")
+
+
+def status_struct(ratio: str) -> Column:
+    """The status fields from a row that has `market` and `feature` left-joined (NULL struct = no record) and the missing ratio as a column."""
     no_bar, no_factor = "market IS NULL", "feature IS NULL"
     bar_missing = f"({no_bar} OR market.close IS NULL OR isnan(market.close))"
     fields = {
@@ -61,6 +65,8 @@ def assemble_panel(index: DataFrame, daily: DataFrame, factors: DataFrame) -> Da
     """Left-join both feeds onto the index; only the narrow index needs shuffling when the
     feeds come out of an aggregation on the same keys."""
     joined = index.join(daily, ["date", "sid"], "left").join(factors, ["date", "sid"], "left")
+    # A column of its own, because several status fields read it.
+    joined = joined.withColumn("_ratio", missing_ratio(struct_fields(factors, "feature")))
     return joined.select(
         "date",
         "sid",
@@ -68,7 +74,7 @@ def assemble_panel(index: DataFrame, daily: DataFrame, factors: DataFrame) -> Da
         "market",
         "feature",
         F.struct("symbol", "list_date", "delist_date").alias("meta"),
-        status_struct(struct_fields(factors, "feature")).alias("status"),
+        status_struct("_ratio").alias("status"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwright.functions.missing import is_missing
 from panelwright.operators.staging import spread
@@ -121,26 +121,25 @@ def dense_cells(view: DataFrame, calendar: DataFrame, width: int) -> DataFrame:
 
 
 def lookback_windows(view: DataFrame, sampled: DataFrame, lookback: int, width: int) -> DataFrame:
-    """For each sampled (date, sid): the `lookback` encoded rows ending that day, oldest first.
+    """For each sampled (date, sid), given once: the `lookback` encoded rows ending that day, oldest first.
 
     Days without a panel row are zero vectors; the first lookback - 1 days yield nothing. Where `sampled` carries td_idx,
     a sampled instrument without a panel row that day yields a window too, with its masks off.
-    Features shuffle once, by instrument; a frame never holds more than `lookback` rows.
+    Sampled keys open into their days, and only vectors of those days are joined to them, so the work follows the sample.
+    A group holds `lookback` rows.
     """
-    frame = W.partitionBy("sid").orderBy("td_idx").rangeBetween(-(lookback - 1), 0)
-    day = F.col("td_idx") if "td_idx" in sampled.columns else F.lit(None).cast("int")
-    keys = sampled.select("date", "sid", day.alias("_td_idx"), F.lit(True).alias("_sampled"))
-    marked = view.join(keys, ["date", "sid"], "full").withColumns({
-        "td_idx": F.coalesce("td_idx", "_td_idx"),
-        "present": F.coalesce("present", F.lit(False)),
-        "y_ret": F.coalesce("y_ret", F.lit(0.0).cast("float")),
-        "y_mom": F.coalesce("y_mom", F.lit(-1).cast("byte")),
-        **{m: F.coalesce(m, F.lit(False)) for m in ("ret_mask", "mom_mask", "both_mask")},
-    })
-    recent = F.collect_list(F.when(F.col("x").isNotNull(), F.struct("td_idx", "x"))).over(frame)
-    rows = marked.withColumn("_recent", recent).where(F.col("_sampled") & (F.col("td_idx") >= lookback - 1))
+    if "td_idx" not in sampled.columns:
+        sampled = sampled.select("date", "sid").join(view.select("date", "sid", "td_idx"), ["date", "sid"])
+    ends = sampled.where(F.col("td_idx") >= lookback - 1).select("date", "sid", F.col("td_idx").alias("_end"))
+    steps = ends.withColumn("td_idx", F.explode(F.sequence(F.col("_end") - (lookback - 1), "_end")))
+    own = F.col("td_idx") == F.col("_end")
+    absent = {"present": F.lit(False), "y_ret": F.lit(0.0).cast("float"), "y_mom": F.lit(-1).cast("byte"),
+              "ret_mask": F.lit(False), "mom_mask": F.lit(False), "both_mask": F.lit(False)}
+    windows = steps.join(view.select("sid", "td_idx", "x", *absent), ["sid", "td_idx"], "left").groupBy("date", "sid", F.col("_end").alias("td_idx")).agg(
+        F.collect_list(F.when(F.col("x").isNotNull(), F.struct(F.col("td_idx").alias("day"), "x"))).alias("_recent"),
+        *[F.coalesce(F.max(F.when(own, F.col(c))), none).alias(c) for c, none in absent.items()])
     by_day = F.map_from_entries("_recent")
     zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
     days = F.sequence(F.col("td_idx") - (lookback - 1), F.col("td_idx"))
     window = F.transform(days, lambda d: F.coalesce(F.try_element_at(by_day, d), zeros))
-    return rows.withColumn("window", window).drop("_recent", "_sampled", "_td_idx", "x")
+    return windows.withColumn("window", window).drop("_recent")

@@ -6,7 +6,7 @@ Identifiers are normalised before aggregating, so the aggregate's partitioning b
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -54,13 +54,17 @@ def event_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw
 
 
+# Order, line and part of a line as one number of 18, 2 and 18 digits. Unlike a struct it is a value that hash aggregates can keep in their buffers.
+LINE_ORDER = "CAST(l_orderkey AS DECIMAL(38, 0)) * 100000000000000000000BD + CAST(l_linenumber AS DECIMAL(38, 0)) * 1000000000000000000BD + l_partkey"
+
+
 def _priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     return line.select(
         F.to_date("l_shipdate").alias("date"),
         normalise_symbol(F.col("l_suppkey")).alias("sid"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
+        F.expr(LINE_ORDER).alias("seq"),
         "l_quantity",
         "l_discount",
         "l_tax",
@@ -91,6 +95,12 @@ def supplier_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw
 
 
+def wide_factors(spark: SparkSession, sf_dir: str, width: int = 200) -> DataFrame:
+    """As many factors per supplier and day as real feeds have; those whose number divides the day's largest quantity are missing."""
+    most = _priced_lines(spark, sf_dir).groupBy("date", "sid").agg(F.max("l_quantity").alias("most"))
+    return most.select("date", "sid", *[F.when(F.col("most") % (k + 2) != 0, F.col("most") * k).alias(f"w{k}") for k in range(width)])
+
+
 @dataclass(frozen=True)
 class PanelTables:
     bars: DataFrame
@@ -113,5 +123,14 @@ def event_tables(spark: SparkSession, sf_dir: str) -> PanelTables:
     return _tables(event_bars(spark, sf_dir), event_factors(spark, sf_dir), grace_days=EVENT_GRACE_DAYS)
 
 
+def wide_tables(spark: SparkSession, sf_dir: str) -> PanelTables:
+    return _tables(supplier_bars(spark, sf_dir), wide_factors(spark, sf_dir))
+
+
+def stored(tables: PanelTables) -> PanelTables:
+    """The panel written once, for queries that read it more than once."""
+    return replace(tables, panel=stage(tables.panel))
+
+
 def supplier_tables(spark: SparkSession, sf_dir: str) -> PanelTables:
     return _tables(supplier_bars(spark, sf_dir), supplier_factors(spark, sf_dir))

@@ -155,6 +155,7 @@ def _target(name: str) -> str:
 
 
 TARGETS = (*FORMULAS, "momentum_cls")
+FORMULAS["c0c3"] = ("close", 0, "close", 3)
 LABEL_COLUMNS = f"{_r('value', 'label')}, valid AS label_valid, reason AS label_reason"
 
 
@@ -319,6 +320,18 @@ firsts AS (
                  FROM raw WHERE date IS NOT NULL AND sid IS NOT NULL) WHERE rn = 1)
 """
 
+YEARLY = """
+lines AS (SELECT CAST(l_shipdate AS DATE) AS date, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') || '.SZ' AS sid, year(l_shipdate) % 3 AS layout, * FROM lineitem),
+firsts AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date, sid ORDER BY l_orderkey, l_linenumber, l_partkey) AS rn FROM lines) WHERE rn = 1)
+"""
+
+WIDE_FEATURES = tuple(f"w{k}" for k in range(200))
+WIDE = SUPPLIER_FEEDS.strip().replace("fac AS (", "narrow AS (") + f""",
+most AS (SELECT date, sid, max(l_quantity) AS most FROM line GROUP BY date, sid),
+fac AS (SELECT date, sid, {", ".join(f"CAST(CASE WHEN most % {k + 2} <> 0 THEN most * {k} END AS FLOAT) AS w{k}" for k in range(200))} FROM most),
+""" + _panel(90, WIDE_FEATURES).strip()
+
 FLAGS = (
     "is_listed", "is_suspended", "has_market_record", "has_factor_record",
     "bar_missing", "factor_row_missing", "feature_all_missing", "sample_usable_for_feature",
@@ -443,6 +456,13 @@ FROM c"""
 SELECT date, sid, {_r('l_extendedprice', '"open"')}, {_r('l_extendedprice * 2', 'high')}, {_r('l_extendedprice / 2', 'low')},
        {_r('l_extendedprice - l_quantity', '"close"')}, {_r('l_quantity', 'volume')}, {_r('l_tax', 'amount')},
        CAST(1.0 AS DOUBLE) AS adj_factor FROM firsts""")
+    sql["yearly_bars_mixed"] = _with(YEARLY, select=f"""
+SELECT date, sid, {_r('l_extendedprice', '"open"')}, {_r('l_extendedprice * 2', 'high')}, {_r('l_extendedprice / 2', 'low')},
+       {_r('l_extendedprice - l_quantity', '"close"')}, {_r('CASE layout WHEN 0 THEN trunc(l_quantity) ELSE l_quantity END', 'volume')},
+       {_r('CASE layout WHEN 1 THEN l_tax END', 'amount')}, CAST(1.0 AS DOUBLE) AS adj_factor FROM firsts""")
+    sql["yearly_factors_mixed"] = _with(YEARLY, select=f"""
+SELECT date, sid, {_r('CAST(l_quantity AS FLOAT)', 'quantity')}, {_r('CASE WHEN layout <> 1 THEN CAST(l_discount AS FLOAT) END', 'discount')},
+       {_r('CASE layout WHEN 1 THEN CAST(l_tax AS FLOAT) END', 'tax')} FROM firsts""")
     sql["source_drop_counts"] = """
 SELECT count(*) AS n_rows, count(*) FILTER (bad_date) AS no_date, count(*) FILTER (NOT bad_date AND no_id) AS no_sid,
        count(*) FILTER (NOT bad_date AND NOT no_id) - count(DISTINCT CASE WHEN NOT bad_date AND NOT no_id THEN (CAST(l_shipdate AS DATE), l_suppkey) END) AS repeated
@@ -482,6 +502,8 @@ FROM orders o LEFT JOIN c ON c.date = CAST(o.o_orderdate AS DATE)"""
     status = ("is_listed, is_suspended, has_market_record, has_factor_record, market_state, factor_state, bar_missing, "
               f"factor_row_missing, {_r('factor_missing_ratio', 'factor_missing_ratio')}, feature_all_missing, sample_state, sample_usable_for_feature")
     sql["panel_base_status"] = _with(EVENTS, select=f"SELECT date, sid, {status} FROM panel")
+    sql["panel_status_wide"] = _with(WIDE, select=f"""
+SELECT date, sid, factor_state, {_r('factor_missing_ratio', 'factor_missing_ratio')}, feature_all_missing, sample_state, sample_usable_for_feature FROM panel""")
     market = ", ".join(_r(c, f"market_{c}") for c in ("open", "high", "low", "close", "volume"))
     sql["panel_base_values"] = _with(EVENTS, select=f"""
 SELECT date, sid, {market}, CAST(NULL AS DOUBLE) AS market_amount, CASE WHEN hm THEN CAST(1.0 AS DOUBLE) END AS market_adj_factor,
@@ -499,6 +521,8 @@ SELECT {_r('min(ratio)', 'min_ratio')}, {_r('max(ratio)', 'max_ratio')}, count(D
     sql["panel_sanity_findings"] = _sanity()
     sql["panel_date_slice"] = _with(EVENTS, select=f"""
 SELECT date, sid, {_r('"close"', '"close"')}, sample_state FROM panel WHERE date >= DATE '2024-01-10' AND date < DATE '2024-01-20'""")
+    sql["panel_day_slice"] = _with(EVENTS, select="SELECT date, sid, td AS td_idx FROM panel WHERE td BETWEEN 5 AND 12")
+    sql["feature_matrix"] = _with(EVENTS, select=f"SELECT date, sid, {', '.join(_r(f, f) for f in EVENT_FEATURES)} FROM panel")
     schema_rows = [("date", "date"), ("sid", "string")]
     schema_rows += [(f"market.{c}", "double") for c in ("open", "high", "low", "close", "volume", "amount", "adj_factor")]
     schema_rows += [(f"feature.{c}", "float") for c in EVENT_FEATURES]
@@ -512,6 +536,11 @@ SELECT date, sid, CAST(dense_rank() OVER (ORDER BY date) - 1 AS INTEGER) AS t, C
         sql[name] = _with(EVENTS, _target(name), select=f"SELECT date, sid, {LABEL_COLUMNS} FROM {name}")
     sql["targets_together"] = _with(SUPPLIERS, *[_target(t) for t in TARGETS], select="\nUNION ALL ".join(
         f"SELECT '{t}' AS target, reason, count(*) AS n FROM {t} GROUP BY reason" for t in TARGETS))
+    sql["custom_target"] = _with(EVENTS, select=f"""
+SELECT date, sid, {_r('CASE WHEN high > 0 AND low > 0 THEN CAST(high / low - 1 AS FLOAT) END', 'label')}, coalesce(high > 0 AND low > 0, false) AS label_valid,
+       CASE WHEN high > 0 AND low > 0 THEN '' ELSE 'missing_price' END AS label_reason FROM panel""")
+    sql["configured_targets"] = _with(EVENTS, _return("c0c3"), _return("return_c1c2"), select=f"""
+SELECT date, sid, 'return_5d' AS target, {LABEL_COLUMNS} FROM c0c3 UNION ALL SELECT date, sid, 'return_c1c2', {LABEL_COLUMNS} FROM return_c1c2""")
     sql["return_forward_filled"] = _with(EVENTS, f"""
 ff AS (
   SELECT p.date, p.sid, p.close AS pe, x.close AS exact, p.td + 3 < (SELECT count(*) FROM cal) AS inside,
@@ -597,6 +626,7 @@ SELECT p.date, p.sid, {_r('p.f1', 'f1')}, {_r('p.f2', 'f2')}, {_r('t.value', 'y'
 FROM panel p JOIN return_c1c2 t ON t.date = p.date AND t.sid = p.sid""")
     sql["tabular_view_without_target"] = _with(EVENTS, select=f"""
 SELECT date, sid, {_r('f2', 'f2')}, {_r('f3', 'f3')}, CAST(0 AS DOUBLE) AS y, false AS y_valid, sample_usable_for_feature AS usable FROM panel""")
+    sql["aligned_features"] = _with(EVENTS, select=f"SELECT date, sid, {_r('f3', 'first')}, {_r('f1', 'second')} FROM panel")
     sql["view_metadata"] = _with(EVENTS, select="""
 SELECT count(*) AS num_rows, count(DISTINCT date) AS n_days, count(DISTINCT sid) AS n_sids, min(date) AS first_date, max(date) AS last_date,
        CAST(3 AS INTEGER) AS n_features, 'f1,f2,f3' AS feature_order, 'return_c1c2' AS label_name FROM panel""")

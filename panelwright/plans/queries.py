@@ -14,7 +14,7 @@ from panelwright.operators import assets, cross_section as xs, labels, losses, p
 from panelwright.operators import ranks, screening, splits, views
 from panelwright.operators.staging import scratch_dir, stage, tune
 from panelwright.plans.fixtures import (
-    PanelTables, event_factors, event_tables, supplier_bars, supplier_tables, table,
+    PanelTables, event_factors, event_tables, stored, supplier_bars, supplier_tables, table, wide_tables,
 )
 from panelwright.sources import feeds, tables as files
 
@@ -100,6 +100,44 @@ def bars_dedup_first(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(feeds.normalise_bars(_raw_bars(spark, sf), order=["l_orderkey", "l_linenumber", "l_partkey"]))
 
 
+def _write_years(spark: SparkSession, sf: str, path: str, layouts: list[list[Column]]) -> None:
+    """Order lines as a yearly feed whose layout changes from year to year; lines of a day and supplier stay in order."""
+    lines = table(spark, sf, "lineitem").withColumn("day", F.to_date("l_shipdate"))
+    first, last = lines.agg(F.year(F.min("day")), F.year(F.max("day"))).first()
+    for year in range(first, last + 1):
+        own = lines.where(F.year("day") == year).repartition("day", "l_suppkey")
+        own = own.sortWithinPartitions("day", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+        own.select(*layouts[year % len(layouts)]).write.parquet(f"{path}/year={year}.parquet")
+
+
+@query
+def yearly_bars_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Yearly bars with other names, types and date forms each year, read as one feed."""
+    code = F.lpad(F.col("l_suppkey").cast("string"), 6, "0")
+    price, quantity = F.col("l_extendedprice"), F.col("l_quantity")
+    prices = [price.alias("open"), (price * 2).alias("high"), (price / 2).alias("low"), (price - quantity).alias("close")]
+    path = scratch_dir(spark, "bars")
+    _write_years(spark, sf, path, [
+        [F.date_format("day", "yyyyMMdd").alias("trade_date"), F.concat(code, F.lit(".XSHE")).alias("order_book_id"), *prices, quantity.cast("long").alias("volume")],
+        [F.col("day").alias("date"), F.concat(F.lit("SZ"), code).alias("symbol"), *prices, quantity.alias("volume"), F.col("l_tax").alias("money")],
+        [F.date_format("day", "yyyy/MM/dd").alias("datetime"), F.concat(code, F.lit(".sz")).alias("ts_code"), *prices, quantity.alias("volume")],
+    ])
+    return rounded(feeds.read_bars(spark, path))
+
+
+@query
+def yearly_factors_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Yearly factors of which some exist in some years only, and one column that is left out."""
+    code, quantity = F.lpad(F.col("l_suppkey").cast("string"), 6, "0"), F.col("l_quantity").alias("quantity")
+    path = scratch_dir(spark, "factors")
+    _write_years(spark, sf, path, [
+        [F.date_format("day", "yyyy-MM-dd").alias("datetime"), F.concat(code, F.lit(".XSHE")).alias("order_book_id"), quantity.cast("float"), F.col("l_discount").alias("discount")],
+        [F.col("day").alias("date"), F.concat(F.lit("SZ"), code).alias("instrument"), quantity, F.col("l_tax").alias("tax"), F.col("l_tax").alias("scratch")],
+        [F.date_format("day", "yyyyMMdd").alias("trade_date"), F.concat(code, F.lit(".SZ")).alias("ts_code"), quantity, F.col("l_discount").alias("discount")],
+    ])
+    return rounded(feeds.read_factors(spark, path, exclude=["scratch"]))
+
+
 @query
 def source_drop_counts(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.drop_counts(_raw_bars(spark, sf))
@@ -182,6 +220,13 @@ def panel_base_status(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(event_tables(spark, sf).panel.select("date", "sid", *[f"status.{f}" for f in STATUS_FIELDS]))
 
 
+@query
+def panel_status_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Status of rows with two hundred factors."""
+    fields = ("factor_state", "factor_missing_ratio", "feature_all_missing", "sample_state", "sample_usable_for_feature")
+    return rounded(wide_tables(spark, sf).panel.select("date", "sid", *[f"status.{f}" for f in fields]))
+
+
 @query
 def panel_base_values(spark: SparkSession, sf: str) -> DataFrame:
     p = event_tables(spark, sf).panel
@@ -229,6 +274,17 @@ def panel_date_slice(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(p.select("date", "sid", F.col("market.close").alias("close"), F.col("status.sample_state").alias("sample_state")))
 
 
+@query
+def panel_day_slice(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.day_slice(event_tables(spark, sf).panel, 5, 12).select("date", "sid", "td_idx")
+
+
+@query
+def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    rows = files.read_feature_rows(event_tables(spark, sf).panel)
+    return rounded(rows.select("date", "sid", *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(("f1", "f2", "f3"))]))
+
+
 @query
 def panel_schema(spark: SparkSession, sf: str) -> DataFrame:
     return files.table_profile(event_tables(spark, sf).panel.select("date", "sid", "market", "feature"))
@@ -285,6 +341,42 @@ def return_forward_filled(spark: SparkSession, sf: str) -> DataFrame:
     return opened(labels.build_targets(t.panel, t.calendar, [recipe]), "filled")
 
 
+class DayRangeRecipe(labels.Recipe):
+    """The day's own range, high over low less one: a label of the user's making."""
+
+    name = "day_range"
+
+    def required_columns(self) -> list[str]:
+        return ["market.high", "market.low"]
+
+    def offsets(self) -> list[tuple[str, int]]:
+        return [(c, 0) for c in self.required_columns()]
+
+    def reason(self, at: labels.PriceAt, position: labels.CalendarPosition) -> Column:
+        usable = [F.coalesce(at(c, 0) > 0, F.lit(False)) for c in self.required_columns()]
+        return F.when(~position.known(), "not_in_calendar").when(~(usable[0] & usable[1]), "missing_price").otherwise("")
+
+    def value(self, at: labels.PriceAt) -> Column:
+        return F.try_divide(at("market.high", 0), at("market.low", 0)) - 1
+
+
+@query
+def custom_target(spark: SparkSession, sf: str) -> DataFrame:
+    t = event_tables(spark, sf)
+    return opened(labels.build_targets(t.panel, t.calendar, [DayRangeRecipe()]), "day_range")
+
+
+@query
+def configured_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets as a configuration names them, one with its own formula."""
+    t = event_tables(spark, sf)
+    wanted = labels.requested_targets({"targets": [{"name": "return_5d", "params": {"formula": "c0c3"}}, {"name": "return_c1c2"}]})
+    blocks = labels.build_targets(t.panel, t.calendar, [labels.make_recipe(n, **params) for n, params in wanted])
+    items = [F.struct(F.lit(n).alias("target"), r6(f"{n}.value").alias("label"), F.col(f"{n}.valid").alias("label_valid"), F.col(f"{n}.reason").alias("label_reason"))
+             for n, _ in wanted]
+    return blocks.select("date", "sid", F.inline(F.array(*items)))
+
+
 @query
 def label_guards(spark: SparkSession, sf: str) -> DataFrame:
     t = event_tables(spark, sf)
@@ -307,9 +399,9 @@ def joint_train_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    t = event_tables(spark, sf)
-    blocks = {n: labels.build_target(t.panel, t.calendar, n) for n in ("return_c0c1", "momentum_cls")}
-    return t.panel, labels.label_panel(t.panel, blocks)
+    t, names = stored(event_tables(spark, sf)), ("return_c0c1", "momentum_cls")
+    blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe(n) for n in names]))
+    return t.panel, labels.label_panel(t.panel, {n: blocks.select("date", "sid", F.col(n).alias("label")) for n in names})
 
 
 @query
@@ -391,7 +483,7 @@ def time_split_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _supplier_view(spark: SparkSession, sf: str, label: str = "return_c0c1") -> tuple[PanelTables, DataFrame]:
-    t = supplier_tables(spark, sf)
+    t = stored(supplier_tables(spark, sf))
     view = views.tabular_view(t.panel, labels.build_target(t.panel, t.calendar, label), exclude="(?i)scratch", fundamentals=["fund__top_price"])
     return t, splits.with_split(view, t.calendar, splits.split_ranges(t.calendar, SPLIT_DATES))
 
@@ -405,7 +497,7 @@ def feature_screen(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tabular_view(spark: SparkSession, sf: str) -> DataFrame:
-    t = event_tables(spark, sf)
+    t = stored(event_tables(spark, sf))
     view = views.tabular_view(t.panel, labels.build_target(t.panel, t.calendar, "return_c1c2"), include="f[12]$")
     return rounded(view.select("date", "sid", *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(("f1", "f2"))], "y", "y_valid", "usable"))
 
@@ -417,6 +509,14 @@ def tabular_view_without_target(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(view.select("date", "sid", F.get("features", F.lit(0)).alias("f2"), F.get("features", F.lit(1)).alias("f3"), "y", "y_valid", "usable"))
 
 
+@query
+def aligned_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Features in the number and order that a model was fitted with."""
+    p = event_tables(spark, sf).panel
+    view = screening.align_features(views.tabular_view(p, None), feature_names(p), ["f3", "f1"])
+    return rounded(view.select("date", "sid", F.get("features", F.lit(0)).alias("first"), F.get("features", F.lit(1)).alias("second")))
+
+
 @query
 def view_metadata(spark: SparkSession, sf: str) -> DataFrame:
     p = event_tables(spark, sf).panel
@@ -424,7 +524,7 @@ def view_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_encoded(spark: SparkSession, sf: str) -> tuple[PanelTables, DataFrame, int]:
-    t = event_tables(spark, sf)
+    t = stored(event_tables(spark, sf))
     # Both labels come from one stored block, as a pipeline would keep it.
     blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")]))
     ret, mom = (blocks.select("date", "sid", F.col(n).alias("label")) for n in ("return_c0c1", "momentum_cls"))
@@ -493,7 +593,7 @@ def view_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def view_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    t = supplier_tables(spark, sf)
+    t = stored(supplier_tables(spark, sf))
     # Both labels come from one stored block, as a pipeline would keep it.
     blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")]))
     ret, mom = (blocks.select("date", "sid", F.col(n).alias("label")) for n in ("return_c0c1", "momentum_cls"))
@@ -504,7 +604,7 @@ def view_by_year(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_labelled_rows(spark: SparkSession, sf: str) -> DataFrame:
-    t = event_tables(spark, sf)
+    t = stored(event_tables(spark, sf))
     view = views.tabular_view(t.panel, labels.build_target(t.panel, t.calendar, "return_c0c1"))
     return view.where("y_valid and usable")
 
