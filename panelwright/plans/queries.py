@@ -14,7 +14,7 @@ from panelwright.operators import assets, cross_section as xs, labels, losses, p
 from panelwright.operators import ranks, screening, splits, views
 from panelwright.operators.staging import scratch_dir, stage, tune
 from panelwright.plans.fixtures import (
-    PanelTables, event_factors, event_tables, stored, supplier_bars, supplier_tables, table, wide_tables,
+    PanelTables, event_factors, event_tables, supplier_bars, supplier_tables, table, wide_tables,
 )
 from panelwright.sources import feeds, tables as files
 
@@ -399,7 +399,7 @@ def joint_train_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    t, names = stored(event_tables(spark, sf)), ("return_c0c1", "momentum_cls")
+    t, names = event_tables(spark, sf), ("return_c0c1", "momentum_cls")
     blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe(n) for n in names]))
     return t.panel, labels.label_panel(t.panel, {n: blocks.select("date", "sid", F.col(n).alias("label")) for n in names})
 
@@ -483,7 +483,7 @@ def time_split_days(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _supplier_view(spark: SparkSession, sf: str, label: str = "return_c0c1") -> tuple[PanelTables, DataFrame]:
-    t = stored(supplier_tables(spark, sf))
+    t = supplier_tables(spark, sf)
     view = views.tabular_view(t.panel, labels.build_target(t.panel, t.calendar, label), exclude="(?i)scratch", fundamentals=["fund__top_price"])
     return t, splits.with_split(view, t.calendar, splits.split_ranges(t.calendar, SPLIT_DATES))
 
@@ -497,7 +497,7 @@ def feature_screen(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def tabular_view(spark: SparkSession, sf: str) -> DataFrame:
-    t = stored(event_tables(spark, sf))
+    t = event_tables(spark, sf)
     view = views.tabular_view(t.panel, labels.build_target(t.panel, t.calendar, "return_c1c2"), include="f[12]$")
     return rounded(view.select("date", "sid", *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(("f1", "f2"))], "y", "y_valid", "usable"))
 
@@ -524,7 +524,7 @@ def view_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_encoded(spark: SparkSession, sf: str) -> tuple[PanelTables, DataFrame, int]:
-    t = stored(event_tables(spark, sf))
+    t = event_tables(spark, sf)
     # Both labels come from one stored block, as a pipeline would keep it.
     blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")]))
     ret, mom = (blocks.select("date", "sid", F.col(n).alias("label")) for n in ("return_c0c1", "momentum_cls"))
@@ -593,7 +593,7 @@ def view_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def view_by_year(spark: SparkSession, sf: str) -> DataFrame:
-    t = stored(supplier_tables(spark, sf))
+    t = supplier_tables(spark, sf)
     # Both labels come from one stored block, as a pipeline would keep it.
     blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")]))
     ret, mom = (blocks.select("date", "sid", F.col(n).alias("label")) for n in ("return_c0c1", "momentum_cls"))
@@ -604,7 +604,7 @@ def view_by_year(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _event_labelled_rows(spark: SparkSession, sf: str) -> DataFrame:
-    t = stored(event_tables(spark, sf))
+    t = event_tables(spark, sf)
     view = views.tabular_view(t.panel, labels.build_target(t.panel, t.calendar, "return_c0c1"))
     return view.where("y_valid and usable")
 

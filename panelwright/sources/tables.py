@@ -84,7 +84,7 @@ def read_date_range(spark: SparkSession, path: str, start: str, end: str, column
 def write_panel(df: DataFrame, path: str, schema: T.StructType | None = None, mode: str = "overwrite", files_per_year: int = 16) -> None:
     """Write a keyed table partitioned by year, each file ordered by (date, sid).
 
-    A year's instruments are dealt over `files_per_year` cells by a hash, and a cell is one task and one file whatever the size of a day.
+    A year's instruments are dealt over `files_per_year` cells by a hash, and a cell is one file at most, whatever the size of a day (adaptive execution merges small ones).
     Unlike range bounds, which sample their input first, this computes the table once.
     """
     if schema is not None:

@@ -119,6 +119,28 @@ def test_years_with_other_names_types_and_dates(spark, tmp_path):
     assert tables.read_yearly(spark, str(tmp_path)).count() == len(layouts)
 
 
+def test_years_may_be_folders(spark, tmp_path):
+    schema = "symbol string, open double, high double, low double, close double, volume double"
+    bar = ("600000", 1.0, 1.0, 1.0, 1.0, 1.0)
+    old = spark.createDataFrame([("20190102", *bar), ("20190103", *bar)], f"trade_date string, {schema}")
+    old.repartition(2, "trade_date").write.parquet(str(tmp_path / "year=2019.parquet"))
+    spark.createDataFrame([("2020-01-02", *bar)], f"date string, {schema}").toPandas().to_parquet(tmp_path / "year=2020.parquet", index=False)
+    (tmp_path / "other").mkdir()
+    old.write.parquet(str(tmp_path / "other" / "part"))
+    assert [p[-17:] for p in tables.yearly_paths(spark, str(tmp_path))] == ["year=2019.parquet", "year=2020.parquet"]
+    assert sorted(str(r["date"]) for r in feeds.read_bars(spark, str(tmp_path)).collect()) == ["2019-01-02", "2019-01-03", "2020-01-02"]
+    places = {r["_file"].split("/")[0] for r in tables.read_yearly(spark, str(tmp_path)).select("_file").collect()}
+    assert places == {"year=2019.parquet", "year=2020.parquet"}
+
+
+def test_a_panel_year_has_a_file_for_each_cell_at_most(spark, tmp_path):
+    df = spark.range(4_000).select(F.date_add(F.lit("2023-06-01").cast("date"), (F.col("id") % 400).cast("int")).alias("date"), F.col("id").cast("string").alias("sid"))
+    tables.write_panel(df, str(tmp_path / "p"), files_per_year=3)
+    assert all(1 <= len(list(d.glob("part-*"))) <= 3 for d in (tmp_path / "p").glob("year=*")) and len(list((tmp_path / "p").glob("year=*"))) == 2
+    got = spark.read.parquet(str(tmp_path / "p"))
+    assert got.drop("year").exceptAll(df).count() == 0 and got.count() == 4_000
+
+
 def test_dropped_rows_are_counted(spark):
     raw = spark.createDataFrame([("20240102", "1"), ("2024/01/02", "1"), ("bad", "1"), ("bad", None), ("2024-01-02", None), ("2024-01-03", "1")], "date string, symbol string")
     assert tuple(feeds.drop_counts(raw).first()) == (6, 2, 1, 1)

@@ -152,6 +152,8 @@ def test_requested_targets():
     assert labels.requested_targets(cfg) == [("return_5d", {}), ("momentum_cls", {"gap": 3})]
     assert labels.requested_targets(cfg, "momentum_cls") == [("momentum_cls", {"gap": 3})]
     assert labels.requested_targets({"target": {"name": "return_20d", "params": {"window": 3}}}) == [("return_20d", {"window": 3})]
+    both = {**cfg, "target": {"name": "return_20d", "params": {"window": 3}}}
+    assert labels.requested_targets(both) == labels.requested_targets(cfg) and labels.requested_targets(both, "return_20d") == [("return_20d", {"window": 3})]
     assert labels.requested_targets({}) == [("return_5d", {})]
     assert labels.requested_targets({}, "return_c0c1") == [("return_c0c1", {})]
 

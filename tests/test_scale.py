@@ -7,7 +7,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from panelwright.operators import cross_section as xs, ranks
+from panelwright.operators import cross_section as xs, ranks, views
 from panelwright.operators.staging import stage, staging_dir
 from panelwright.plans import fixtures
 from panelwright.sources import feeds
@@ -50,6 +50,23 @@ def test_keep_first_combines_before_shuffling(spark):
     assert "partial_min_by" in plan and "Window" not in plan
 
 
+def test_open_and_close_are_hash_aggregates(spark):
+    plan = plan_of(fixtures.supplier_bars(spark, "/root/testdata/sf0.001"))
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
+def test_lookback_reads_vectors_of_sampled_days_only(spark):
+    cells = spark.range(4_000).select(
+        F.expr("date_add(DATE'2024-01-01', CAST(id % 40 AS INT))").alias("date"), F.floor(F.col("id") / 40).cast("string").alias("sid"), (F.col("id") % 40).cast("int").alias("td_idx"),
+        F.array(F.col("id").cast("float")).alias("x"), F.lit(True).alias("present"), F.lit(0.5).cast("float").alias("y_ret"), F.lit(1).cast("byte").alias("y_mom"),
+        *[F.lit(True).alias(m) for m in ("ret_mask", "mom_mask", "both_mask")])
+    sampled = cells.where("sid = '7' and td_idx >= 30").select("date", "sid", "td_idx")
+    windows = views.lookback_windows(cells, sampled, 5, 1)
+    assert "Window" not in plan_of(windows)
+    got = {r["td_idx"]: [x[0] for x in r["window"]] for r in windows.collect()}
+    assert got == {t: [float(280 + u) for u in range(t - 4, t + 1)] for t in range(30, 40)}
+
+
 def test_top_k_prunes_in_map_tasks(spark):
     df = stage(spark.range(1000).select(F.lit(DAY).alias("date"), F.col("id").cast("string").alias("sid"), F.rand(1).alias("x")))
     plan = plan_of(ranks.top_k(df, ["date"], [F.col("x").desc()], 20))
