@@ -23,7 +23,7 @@ from panelwright.llm.common import fresh, shared_dir, slices, stage
 BASE_KINDS = ("assign", "access", "hex")
 EXTRA_KINDS = ("jwt", "pem", "prefixed")
 KINDS = BASE_KINDS + EXTRA_KINDS
-RULES_VERSION = "2"
+RULES_VERSION = "3"
 
 #: kind: (pattern, group whose length counts, least length, characters of which one must occur)
 _RULES = {
@@ -38,11 +38,25 @@ _COMPILED = {
     kind: (re.compile(pattern, re.ASCII | (re.IGNORECASE if kind == "assign" else 0)), group, least, need)
     for kind, (pattern, group, least, need) in _RULES.items()
 }
+# A private key's span runs from its BEGIN marker to the next END marker of one, unless another block begins before it. Without an END marker it runs over
+# the base64 that follows: header lines, runs of 16 characters or more between line ends (real or escaped), quotes and comment signs, and a shorter last run.
+_BLOCK = "-----BEGIN "
+_KEY_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+_GAP = r"(?:\\[nrt]|[^A-Za-z0-9+/=-]|(?:\+|//)\s)"
+_KEY_BODY = re.compile(rf"(?:{_GAP}*[A-Z][A-Za-z0-9-]*:\x20[^\n\\]*)*(?:{_GAP}*[A-Za-z0-9+/=]{{16,}})+(?:{_GAP}+[A-Za-z0-9+/=]+)?")
 _FINDING = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _SCANNED = pa.schema([("blob", pa.binary()), ("findings", pa.list_(_FINDING))])
 LEDGER = "blob binary, rules string, findings array<struct<kind:string,start:bigint,end:bigint>>"
 
 
+def _key_end(text: str, at: int) -> int:
+    """Where the private key ends whose BEGIN marker ends at `at`."""
+    stop = text.find(_BLOCK, at)
+    stop = len(text) if stop < 0 else stop
+    m = _KEY_END.search(text, at, stop) or _KEY_BODY.match(text, at, stop)
+    return m.end() if m else at
+
+
 def scan_text(text: str) -> list[dict]:
     """All findings of one text: leftmost, non-overlapping per kind, those too short dropped after matching."""
     found = []
@@ -50,7 +64,7 @@ def scan_text(text: str) -> list[dict]:
         if any(c in text for c in need):
             for m in pattern.finditer(text):
                 if m.end(group) - m.start(group) >= least:
-                    found.append({"kind": kind, "start": m.start(), "end": m.end()})
+                    found.append({"kind": kind, "start": m.start(), "end": _key_end(text, m.end()) if kind == "pem" else m.end()})
     return found
 
 

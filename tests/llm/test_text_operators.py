@@ -102,6 +102,23 @@ def test_redaction_blanks_every_span(spark):
     assert [v for k, v in out.items() if k and k[0] == "é"] == ["é [assign], [access] end"]
 
 
+KEY = [f"{i}MIIEvQ+/" + "aB3x" * 14 for i in range(4)] + ["Zz9k3Q=="]
+
+
+def test_no_key_body_survives_redaction(spark):
+    begins, texts = ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"], []
+    for begin in begins:
+        for between in ("\n", "\r\n", "\\n", " ", "\n# ", "\n    // ", '" +\n  "'):
+            for closed in (True, False):
+                header = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B2C"] if between == "\n" else []
+                key = between.join([begin, *header, *KEY] + [begin.replace("BEGIN", "END")] * closed)
+                texts.append(f"é before\n{key}\nafter it stays\n{begin}\n{KEY[0]}\n-----BEGIN CERTIFICATE-----\nmine\n{begin} is a marker only")
+    found = secret_ledger.scan(spark.createDataFrame([(t,) for t in texts], "text string"), keep_text=True)
+    for text, out in found.select("text", secret_ledger.redact(F.col("text"), F.col(found.columns[-1]))).collect():
+        assert not any(line in out for line in KEY) and "DEK-Info" not in out and "PRIVATE KEY" not in out, text
+        assert re.fullmatch(r"é before\n\[pem\]\nafter it stays\n\[pem\]\n-----BEGIN CERTIFICATE-----\nmine\n\[pem\] is a marker only", out), (text, out)
+
+
 # --- near duplicates -----------------------------------------------------------------------------
 
 def shingles(text: str | None) -> frozenset:
