@@ -7,7 +7,9 @@ be confirmed by its family's template: enough of the template's word pairs must
 
 A prediction that no template confirms does not stand, so paragraphs that share no word pair with any template are not scored; the answer is the same.
 
-Defined cases: null and empty texts have no licence; a paragraph that fits two families equally goes to the first by name; ids may be null or repeat;
+A paragraph may hold several licences; each is found with its place.
+
+Defined cases: null and empty texts have no licence; a window that fits two families equally, by the same words, goes to the first by name; ids may be null or repeat;
 an empty table gives an empty result; without texts to sample the templates alone train the model; other columns are carried along.
 """
 
@@ -202,6 +204,12 @@ for _i, (_, _own) in enumerate(_TEMPLATE_PAIRS):
         _PAIR_TEMPLATES.setdefault(_pair, []).append(_i)
 
 
+_GNU = frozenset({"agpl", "gpl", "lgpl"})
+# Pairs of one family's templates alone. Notices of the other GNU licences have most of gpl's, so its own are those with its name.
+_ONLY = {pair: next(iter(found)) for pair, found in ((p, {_TEMPLATE_PAIRS[i][0] for i in at}) for p, at in _PAIR_TEMPLATES.items()) if len(found) == 1}
+_ONLY = {pair: family for pair, family in _ONLY.items() if family != "gpl" or any(w == "gnu" or w.startswith("gpl") for w in pair)}
+
+
 def similarities(words: list[str]) -> dict[str, float]:
     """By family the best overlap of word pairs with a template: the share of the shorter side, so that parts and additions count in full."""
     own = _pairs(words)
@@ -216,25 +224,62 @@ def similarities(words: list[str]) -> dict[str, float]:
     return best
 
 
-def classify(model: Classifier, words: list[str]) -> tuple[str, float, float]:
-    """(family, probability, similarity) of a paragraph. A long one is judged by its best window of FRAGMENT words.
+def _without(part: list[str], family: str, shown: set[str]) -> list[str]:
+    """The words with those blanked that show another of the families and not this one."""
+    own, other = set(), set()
+    for i, pair in enumerate(zip(part, part[1:])):
+        only = _ONLY.get(pair)
+        if only in shown:
+            (own if only == family else other).update((i, i + 1))
+    return ["" if i in other and i not in own else w for i, w in enumerate(part)]
+
 
-    A prediction needs a template that confirms it, so windows that no template resembles are not scored.
+def families_of(model: Classifier, part: list[str]) -> list[tuple[str, float, float, bool]]:
+    """(family, probability, similarity, whether a pair of words shows it alone) of every licence in a window.
+
+    Where word pairs show several families, each that a template confirms is also judged without the words that show the others. A prediction
+    needs a template that confirms it, so windows that no template resembles are not scored.
     """
-    best = (UNKNOWN, 0.0, 0.0)
-    for at in range(0, max(1, len(words) - FRAGMENT // 2), FRAGMENT // 2):
-        part = words[at:at + FRAGMENT]
-        near = similarities(part)
-        if not near or max(near.values()) < SIMILARITY:
-            continue
-        scores = model.scores([model.positions(part)])
+    near = similarities(part)
+    if max(near.values(), default=0.0) < SIMILARITY:
+        return []
+    shown = {_ONLY[pair] for pair in zip(part, part[1:]) if pair in _ONLY}
+    several = sorted(f for f in shown if near[f] >= SIMILARITY)
+    best: dict[str, tuple[float, float, bool]] = {}
+    for wanted in [None, *(several if len(shown) > 1 else [])]:
+        scores = model.scores([model.positions(part if wanted is None else _without(part, wanted, shown))])
         probability = float(1 / (1 + np.exp(-np.clip(model.slope * _margin(scores)[0] + model.offset, -30, 30))))
         family = model.families[int(scores[0, :-1].argmax())]
         confirmed = near.get(family, 0.0)
         alone = len(_pairs(part)) < 2 and confirmed < 1  # a single common pair proves nothing
-        if probability >= PROBABILITY and confirmed >= SIMILARITY and not alone and probability > best[1]:
-            best = (family, probability, confirmed)
-    return best
+        if wanted in (None, family) and probability >= PROBABILITY and confirmed >= SIMILARITY and not alone and probability > best.get(family, (0.0,))[0]:
+            best[family] = (probability, confirmed, family in shown)
+    return [(family, *found) for family, found in best.items()]
+
+
+def passages(model: Classifier, words: list[str]) -> list[tuple[str, float, float, int, int]]:
+    """(family, probability, similarity, first word, end) of every licence in a paragraph, in the order of their places.
+
+    A long paragraph is judged by windows of FRAGMENT words; windows of one family that overlap or touch are one passage. What no word pair shows to
+    be of its family alone is left to one that is shown, or else surer, in a window over the same words; what all GNU licences share to the one that is named.
+    """
+    found = []
+    for at in range(0, max(1, len(words) - FRAGMENT // 2), FRAGMENT // 2):
+        part = words[at:at + FRAGMENT]
+        found += [(*one, at, at + len(part)) for one in families_of(model, part)]
+    merged: list[tuple[str, float, float, int, int]] = []
+    for family in sorted({x[0] for x in found}):
+        for _, probability, near, shown, at, end in (x for x in found if x[0] == family):
+            if not shown and any(x[0] != family and (x[3] and {family, x[0]} <= _GNU or (x[3], x[1]) > (shown, probability) and x[4] < end and at < x[5])
+                                 for x in found):
+                continue
+            last = merged[-1] if merged else None
+            if last and last[0] == family and at <= last[4]:
+                surest = max((last[1], last[2]), (probability, near))
+                merged[-1] = (family, *surest, last[3], end)
+            else:
+                merged.append((family, probability, near, at, end))
+    return sorted(merged, key=lambda x: (x[3], x[0]))
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Classifier:
@@ -259,14 +304,17 @@ _FOUND = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int64()), ("end"
 
 
 def scan_text(model: Classifier, text: str | None) -> list[dict]:
-    """Paragraphs of a text that hold a licence: line (from 0), code points, family, probability, similarity."""
+    """Passages of a text that hold a licence: line (from 0), code points, family, probability, similarity. A line may have several."""
     out, at = [], 0
     for number, line in enumerate((text or "").split("\n")):
         words = paragraph_words(line)
         if any(pair in _PAIR_TEMPLATES for pair in zip(words, words[1:])):
-            family, probability, near = classify(model, words)
-            if family != UNKNOWN:
-                out.append({"line": number, "start": at, "end": at + len(line), "family": family, "probability": probability, "similarity": near})
+            found = passages(model, words)
+            spans = [m.span() for m in _WORD.finditer(line)] if found and len(words) > FRAGMENT else []
+            for family, probability, near, first, end in found:
+                start = spans[first][0] if first and len(spans) == len(words) else 0
+                stop = spans[end - 1][1] if end < len(words) and len(spans) == len(words) else len(line)
+                out.append({"line": number, "start": at + start, "end": at + stop, "family": family, "probability": probability, "similarity": near})
         at += len(line) + 1
     return out
 

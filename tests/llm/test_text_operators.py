@@ -408,3 +408,20 @@ def test_licence_variations_and_odd_texts(spark):
     found = [r.licences_ for r in out.collect() if r.licences_]
     assert sorted([(x.line, x.family) for x in f] for f in found) == [[(0, "mit")], [(2, "mit")]]
     assert license_scan.train(df.limit(0)).families
+
+
+def test_every_licence_of_one_line_is_found():
+    model = license_scan.fit([["a", "text", "about", "the", "weather"], ["free", "software", "is", "nice"]])
+    mit, gpl = license_scan.TEMPLATES["mit"][0], license_scan.TEMPLATES["gpl"][0]
+    text = "z\n" + "z " * 500 + mit + " q" * 500 + " " + gpl + " q" * 100
+    found = license_scan.scan_text(model, text)
+    assert [(x["line"], x["family"]) for x in found] == [(1, "mit"), (1, "gpl")]
+    assert all(x["start"] <= text.index(notice) + 40 and x["end"] >= text.index(notice) + len(notice) - 60 and x["end"] - x["start"] < 2 * len(notice)
+               for x, notice in zip(found, (mit, gpl)))
+    both = {"Licensed under the MIT License or the Apache License, Version 2.0": ["apache", "mit"],
+            "Dual licensed under the MIT License and the GNU General Public License, version 3.": ["gpl", "mit"]}
+    for line, families in both.items():
+        assert [x["family"] for x in license_scan.scan_text(model, line)] == families, line
+    rest = "; either version {} of the License, or (at your option) any later version. This {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"
+    for family, version, what in (("agpl", "3", "program"), ("lgpl", "2.1", "library")):
+        assert [x["family"] for x in license_scan.scan_text(model, license_scan.TEMPLATES[family][0] + rest.format(version, what))] == [family]
