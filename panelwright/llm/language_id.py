@@ -5,7 +5,7 @@ characters is one space). The models of all languages are merged: each order is
 of full interpolated log probabilities, a column for each language, and one sorted array of contexts with their back-off weights.
 A text is scored position by position against the arrays, in slices, whole and never as a prefix; the language with the
 lowest cross-entropy per character wins. Scores are calibrated on texts left out of the counts: a temperature for the probability, and
-for each language a limit of cross-entropy beyond which a text is rejected.
+for each language a limit of cross-entropy beyond which a text is rejected. A language with few texts left out is calibrated by all its texts in turn.
 
 Defined cases: null texts and texts without a letter give `und`, score 0, rejected; with no labelled texts every text is `und`; ties go to the first
 language by name; a null id never enters the sample; other columns are carried along, helper columns are named apart from them.
@@ -13,6 +13,7 @@ language by name; a null id never enters the sample; other columns are carried a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ SAMPLE_DOCS = 1_500  # labelled texts of a language at most
 SAMPLE_CHARS = 3_000_000  # no further text is added once a language's sample has so many characters
 MAX_LANGUAGES = 1_000
 CALIBRATION = 5  # every fifth text of the sample calibrates and is not counted
+RARE = 5  # a language with fewer calibration texts is calibrated by all its texts, each scored by a model of the others
 SPACE = 32
 UND = "und"
 _OTHER_PLANES = 0xE000  # letters beyond the 16-bit plane share its private codes
@@ -158,11 +160,11 @@ def _language_tables(counts: list[tuple[np.ndarray, np.ndarray]]) -> list[dict[s
     return out
 
 
-def merge(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Model:
-    """Evaluate every language's interpolated model on the n-grams that any language has seen."""
+def merge(counts: dict[str, list[tuple[np.ndarray, np.ndarray]]], alphabet: int = 0) -> Model:
+    """Evaluate every language's interpolated model on the n-grams that any language has seen; alphabet: its size where more languages count."""
     languages = sorted(counts)
     tables = {lang: _language_tables(counts[lang]) for lang in languages}
-    alphabet = len(np.unique(np.concatenate([counts[lang][0][0] for lang in languages]))) + 1
+    alphabet = alphabet or len(np.unique(np.concatenate([counts[lang][0][0] for lang in languages]))) + 1
     union = [np.unique(np.concatenate([counts[lang][n][0] for lang in languages])) for n in range(ORDER)]
     logs = [np.empty((len(u), len(languages))) for u in union]
     contexts = [np.unique(u >> np.uint64(16)) for u in union[1:]]
@@ -260,28 +262,66 @@ def _confidence(entropy: np.ndarray, n: np.ndarray, temperature: float) -> np.nd
     return 1 / np.exp(z).sum(axis=1)
 
 
-def calibrate(model: Model, langs: list[str], n: np.ndarray, entropy: np.ndarray) -> None:
-    """Set the temperature of least log loss and the limit of rejection from scored texts that gave no counts."""
+def calibrate(model: Model, langs: list[str], n: np.ndarray, entropy: np.ndarray) -> list[str]:
+    """Set the temperature of least log loss and the limit of rejection from scored texts that gave no counts.
+
+    Returns the languages with fewer than RARE rightly predicted ones; calibrate_rare() sets their centre and spread.
+    """
     own = np.array([model.languages.index(x) if x in model.languages else -1 for x in langs], int)
     use = (n > 0) & (own >= 0)
     n, entropy, own = n[use], entropy[use], own[use]
-    model.centre, model.spread = np.full(len(model.languages), np.inf), np.ones(len(model.languages))
-    if not len(n):
-        return
-    best, right = entropy.min(axis=1), entropy.argmin(axis=1) == own
-    losses = []
-    for t in np.geomspace(0.5, 200, 40):
-        p = np.clip(_confidence(entropy, n, t), 1e-6, 1 - 1e-6)
-        losses.append((-np.where(right, np.log(p), np.log(1 - p)).sum(), t))
-    model.temperature = float(min(losses)[1])
+    model.centre, model.spread = np.full(len(model.languages), np.nan), np.full(len(model.languages), np.nan)
     z = np.zeros(len(n))
-    for i in range(len(model.languages)):
-        mine = (own == i) & right
-        if mine.sum() >= 5:
-            model.centre[i] = np.median(best[mine])
-            model.spread[i] = max(0.02, 1.4826 * np.median(np.abs(best[mine] - model.centre[i])))
-            z[mine] = (best[mine] - model.centre[i]) / (model.spread[i] * _spread(n[mine]))
-    model.limit = 1.5 * max(8.0, float(z.max()))  # no text of the calibration set is near it
+    if len(n):
+        best, right = entropy.min(axis=1), entropy.argmin(axis=1) == own
+        losses = []
+        for t in np.geomspace(0.5, 200, 40):
+            p = np.clip(_confidence(entropy, n, t), 1e-6, 1 - 1e-6)
+            losses.append((-np.where(right, np.log(p), np.log(1 - p)).sum(), t))
+        model.temperature = float(min(losses)[1])
+        for i in range(len(model.languages)):
+            mine = (own == i) & right
+            if mine.sum() >= RARE:
+                model.centre[i] = np.median(best[mine])
+                model.spread[i] = max(0.02, 1.4826 * np.median(np.abs(best[mine] - model.centre[i])))
+                z[mine] = (best[mine] - model.centre[i]) / (model.spread[i] * _spread(n[mine]))
+    model.limit = 1.5 * max(8.0, float(z.max(initial=0.0)))  # no text of the calibration set is near it
+    return [x for x, c in zip(model.languages, model.centre) if np.isnan(c)]
+
+
+def cross_entropies(texts: list[str], alphabet: int, folds: int = CALIBRATION) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and cross-entropy of one language's texts, each scored by a model of the others, in at most `folds` parts.
+
+    A single text is cut into halves that score each other.
+    """
+    texts = [t for t in texts if (normalise([t])[0] != SPACE).any()]
+    if len(texts) == 1:
+        half = len(texts[0]) // 2
+        texts = [t for t in (texts[0][:half], texts[0][half:]) if (normalise([t])[0] != SPACE).any()]
+    if len(texts) < 2:
+        return np.zeros(0, np.int64), np.zeros(0)
+    sizes, found = [], []
+    for fold in range(min(folds, len(texts))):
+        others = [t for i, t in enumerate(texts) if i % folds != fold]
+        n, entropy = entropies(merge({"": count_language(others)}, alphabet), texts[fold::folds])
+        sizes.append(n)
+        found.append(entropy[:, 0])
+    return np.concatenate(sizes), np.concatenate(found)
+
+
+def calibrate_rare(model: Model, scored: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+    """Centre and spread of languages with few calibration texts, from cross_entropies() of all their texts.
+
+    With fewer than RARE of them the spread is that of the other languages at least. Where there is none, the centre is pooled too.
+    """
+    known = ~np.isnan(model.centre)
+    centre = float(np.median(model.centre[known])) if known.any() else math.log10(len(model.keys[0]) + 1) / 2
+    spread = float(np.median(model.spread[known])) if known.any() else 0.02
+    for i in np.flatnonzero(~known):
+        n, entropy = scored.get(model.languages[i], (np.zeros(0), np.zeros(0)))
+        model.centre[i] = np.median(entropy) if len(n) else centre
+        scatter = 1.4826 * np.median(np.abs(entropy - model.centre[i]) / _spread(n)) if len(n) else 0.0
+        model.spread[i] = max(0.02, scatter, spread if len(n) < RARE else 0.0)
 
 
 def train(docs: DataFrame, id_column: str, text: str, lang: str, allowed: Column) -> Model | None:
@@ -314,8 +354,20 @@ def train(docs: DataFrame, id_column: str, text: str, lang: str, allowed: Column
                                              ["lang", "n", "entropy"])
 
     scored = left_out.mapInArrow(score, "lang string, n long, entropy array<double>").collect()
-    calibrate(model, [r.lang for r in scored], np.array([r.n for r in scored], np.int64),
-              np.array([r.entropy for r in scored], float).reshape(len(scored), len(model.languages)))
+    rare = calibrate(model, [r.lang for r in scored], np.array([r.n for r in scored], np.int64),
+                     np.array([r.entropy for r in scored], float).reshape(len(scored), len(model.languages)))
+    if rare:
+        alphabet = len(model.keys[0]) + 1
+
+        def cross(pdf: pd.DataFrame) -> pd.DataFrame:
+            n, entropy = cross_entropies(pdf.sort_values(["id", "text"])["text"].tolist(), alphabet)
+            return pd.DataFrame({"lang": pdf["lang"].iloc[0], "n": n, "entropy": entropy})
+
+        few = chosen.filter(F.col("lang").isin(rare)).groupBy("lang").applyInPandas(cross, "lang string, n long, entropy double").collect()
+        by_lang: dict[str, list[tuple[int, float]]] = {}
+        for r in few:
+            by_lang.setdefault(r.lang, []).append((r.n, r.entropy))
+        calibrate_rare(model, {x: tuple(np.array(sorted(v), float).T) for x, v in by_lang.items()})
     return model
 
 

@@ -333,6 +333,25 @@ def test_texts_without_letters_are_undetermined(spark):
     assert language_id.entropies(model, ["der und " * 9_000], chunk=1_000)[1] == pytest.approx(language_id.entropies(model, ["der und " * 9_000])[1])
 
 
+def test_a_rare_language_rejects_what_is_foreign(spark):
+    rng = random.Random(4)
+    de, en, fr = "der und nicht das ein mit".split(), "the and not with from this".split(), "le vous nous être avec pour".split()
+    text = lambda of: " ".join(rng.choice(of) for _ in range(60))
+    foreign = ["".join(chr(rng.randrange(low, low + 40)) for _ in range(200)) for low in (0x4E00, 0x0430, 0x05D0, 0x3041)]
+    foreign += ["".join(rng.choice("qxzjkvwp") for _ in range(200)) for _ in range(3)]
+    for labelled in (0, 60):  # others with enough texts, or rare languages alone
+        for texts in ([text(fr) for _ in range(3)], [" ".join(text(fr) for _ in range(20))]):
+            rows = [(i, t, "fr") for i, t in enumerate(texts)]
+            rows += [(100 + i, text((de, en)[i % 2]), ("de", "en")[i % 2]) for i in range(labelled)]
+            own = [(1_000 + i, text(fr), None) for i in range(10)]
+            df = spark.createDataFrame(rows + own + [(2_000 + i, t, None) for i, t in enumerate(foreign)], "doc_id long, text string, lang string")
+            model = language_id.train(df, "doc_id", "text", "lang", F.lit(True))
+            assert np.isfinite(model.centre).all() and np.isfinite(model.spread).all()
+            found = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+            assert all(found[2_000 + i].rejected for i in range(len(foreign)))
+            assert all(found[k].lang_pred == "fr" and not found[k].rejected for k in [r[0] for r in rows + own if r[2] != "de" and r[2] != "en"])
+
+
 # --- lines ---------------------------------------------------------------------------------------
 
 def brute_counts(text: str | None) -> tuple:
