@@ -7,7 +7,8 @@ be confirmed by its family's template: enough of the template's word pairs must
 
 A prediction that no template confirms does not stand, so paragraphs that share no word pair with any template are not scored; the answer is the same.
 
-A paragraph may hold several licences; each is found with its place.
+A paragraph may hold several licences; each is found with its place. What reads like a notice (fixed phrases that name terms of use) but has no
+family that is sure and confirmed is given as `unknown`.
 
 Defined cases: null and empty texts have no licence; a window that fits two families equally, by the same words, goes to the first by name; ids may be null or repeat;
 an empty table gives an empty result; without texts to sample the templates alone train the model; other columns are carried along.
@@ -224,6 +225,26 @@ def similarities(words: list[str]) -> dict[str, float]:
     return best
 
 
+# Words by which a notice names terms of use, whatever licence they are.
+_NOTICE = re.compile(
+    r"SPDX-License-Identifier:\s*\S+"
+    r"|\b(?:licen[sc]ed|released|distributed|available|provided|published|covered|governed|redistributed|used)\s+(?:only\s+)?under\s+(?:\S+\s+){0,8}?\S*licen[sc]e\b"
+    r"|\blicen[sc]ed\s+(?:only\s+)?under\s+\S"
+    r"|\b(?:under|to|accept|with)\s+the\s+(?:terms|conditions)\s+(?:and\s+conditions\s+)?of\s+(?:\S+\s+){0,8}?\S*licen[sc]e\b"
+    r"|\bpermission\s+(?:is\s+(?:hereby\s+)?granted|to\s+(?:use|copy|modify|distribute))\b"
+    r"|\bredistribution\s+and\s+use\b"
+    r"|\b(?:software|work|program|library|file|code)\b.{0,40}\b(?:released\s+into|in)\s+the\s+public\s+domain\b"
+    r"|\b(?:software|program|library|file|code)\s+is\s+provided\s+\W?as[\s-]is\b"
+    r"|\ball\s+rights\s+reserved\b", re.IGNORECASE)
+_CUES = ("licen", "public", "permission", "redistribution", "provided", "rights")
+
+
+def notices(line: str) -> list[tuple[int, int]]:
+    """Where a paragraph reads like a licence notice, as code points."""
+    low = line.lower()
+    return [m.span() for m in _NOTICE.finditer(line)] if any(c in low for c in _CUES) else []
+
+
 def _without(part: list[str], family: str, shown: set[str]) -> list[str]:
     """The words with those blanked that show another of the families and not this one."""
     own, other = set(), set()
@@ -257,6 +278,13 @@ def families_of(model: Classifier, part: list[str]) -> list[tuple[str, float, fl
     return [(family, *found) for family, found in best.items()]
 
 
+def nearest(model: Classifier, words: list[str]) -> tuple[float, float]:
+    """Probability and similarity of the family that a notice comes nearest to."""
+    scores = model.scores([model.positions(words)])
+    probability = float(1 / (1 + np.exp(-np.clip(model.slope * _margin(scores)[0] + model.offset, -30, 30))))
+    return probability, similarities(words).get(model.families[int(scores[0, :-1].argmax())], 0.0)
+
+
 def passages(model: Classifier, words: list[str]) -> list[tuple[str, float, float, int, int]]:
     """(family, probability, similarity, first word, end) of every licence in a paragraph, in the order of their places.
 
@@ -304,17 +332,31 @@ _FOUND = pa.list_(pa.struct([("line", pa.int32()), ("start", pa.int64()), ("end"
 
 
 def scan_text(model: Classifier, text: str | None) -> list[dict]:
-    """Passages of a text that hold a licence: line (from 0), code points, family, probability, similarity. A line may have several."""
+    """Passages of a text that hold a licence: line (from 0), code points, family, probability, similarity. A line may have several.
+
+    A notice outside all passages of a known family is `unknown`, with the probability and similarity of the family that comes nearest.
+    """
     out, at = [], 0
     for number, line in enumerate((text or "").split("\n")):
-        words = paragraph_words(line)
+        words, found, spans = paragraph_words(line), [], []
         if any(pair in _PAIR_TEMPLATES for pair in zip(words, words[1:])):
-            found = passages(model, words)
-            spans = [m.span() for m in _WORD.finditer(line)] if found and len(words) > FRAGMENT else []
-            for family, probability, near, first, end in found:
-                start = spans[first][0] if first and len(spans) == len(words) else 0
-                stop = spans[end - 1][1] if end < len(words) and len(spans) == len(words) else len(line)
-                out.append({"line": number, "start": at + start, "end": at + stop, "family": family, "probability": probability, "similarity": near})
+            own = [m.span() for m in _WORD.finditer(line)]
+            spans = own if len(own) == len(words) > FRAGMENT else []
+            for family, probability, near, first, end in passages(model, words):
+                shown = any(_ONLY.get(pair) == family for pair in zip(words[first:end], words[first + 1:end]))
+                start = spans[first][0] if first and spans else 0
+                stop = spans[end - 1][1] if end < len(words) and spans else len(line)
+                if not shown and any(start < y and x < stop and not model.words.issuperset(paragraph_words(line[x:y])) for x, y in notices(line)):
+                    continue  # the wording is common to many licences and the notice names one that no template has
+                found.append((start, stop, family, probability, near))
+        known = list(found)
+        for start, stop in notices(line):
+            if not any(start < y and x < stop for x, y, *_ in known):
+                if found and found[-1][2] == UNKNOWN and len(paragraph_words(line[found[-1][1]:start])) < FRAGMENT:
+                    start = found.pop()[0]
+                found.append((start, stop, UNKNOWN, *nearest(model, paragraph_words(line[start:stop])[:FRAGMENT])))
+        out += [{"line": number, "start": at + start, "end": at + stop, "family": family, "probability": probability, "similarity": near}
+                for start, stop, family, probability, near in sorted(found)]
         at += len(line) + 1
     return out
 

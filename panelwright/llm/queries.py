@@ -42,10 +42,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licence families of every document, the surest first, with the paragraphs they stand in."""
+    """Licence families of every document, the surest first, with the paragraphs they stand in; `unknown` only where no family is known."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = license_scan.scan(docs, license_scan.train(docs)).drop("text")
-    best = F.array_sort("licences", lambda a, b: F.when(a["probability"] > b["probability"], -1).when(a["probability"] < b["probability"], 1)
+    known = F.filter("licences", lambda x: x["family"] != license_scan.UNKNOWN)
+    best = F.array_sort(F.when(F.size(known) > 0, known).otherwise(F.col("licences")), lambda a, b: F.when(a["probability"] > b["probability"], -1).when(a["probability"] < b["probability"], 1)
                         .otherwise(a["line"] - b["line"]))
     return found.select("doc_id", F.coalesce(F.get(best, F.lit(0))["family"], F.lit(license_scan.NONE)).alias("license"),
                         F.coalesce(F.get(best, F.lit(0))["probability"], F.lit(0.0)).alias("probability"),

@@ -444,3 +444,18 @@ def test_every_licence_of_one_line_is_found():
     rest = "; either version {} of the License, or (at your option) any later version. This {} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"
     for family, version, what in (("agpl", "3", "program"), ("lgpl", "2.1", "library")):
         assert [x["family"] for x in license_scan.scan_text(model, license_scan.TEMPLATES[family][0] + rest.format(version, what))] == [family]
+
+
+def test_notices_of_other_licences_are_unknown(spark, tmp_path):
+    notices = ["Licensed under the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0", "# Distributed under the Boost Software License, Version 1.0.",
+               "This program is made available under the terms of the Artistic License", "This software is released under the zlib license",
+               "z " * 300 + "Licensed under the Eclipse Public License 2.0" + " z" * 300]
+    clean = ["the rights of the people", "He lost his driving license under the new law.", "A license is needed.", "permission was denied", "", None]
+    mixed = ["Released under the MIT License.\nSPDX-License-Identifier: EPL-2.0"]
+    rows = [(i, t) for i, t in enumerate(notices + clean + mixed)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in queries.queries()["op1_license_scan"](spark, str(tmp_path)).collect()}
+    for i, text in rows:
+        expected = ("unknown", "unknown") if text in notices else ("none", "") if text in clean else ("mit", "mit,unknown")
+        assert (out[i].license, out[i].families) == expected, text
+    assert all(out[i].n_paragraphs == 1 and 0 <= out[i].probability <= 1 for i in range(len(notices)))
