@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelwright.llm import chosen_path, language_id, license_scan, line_crf, maxent_lm, mixing, packing, secret_ledger, vector_join, warc
+from panelwright.llm import (byte_bpe, chosen_path, dialogue_repair, language_id, license_scan, line_crf, maxent_lm, mixing, packing, pivotal_grams, secret_ledger,
+                             vector_join, warc)
 from panelwright.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +135,24 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class of near duplicates and its number of links: five-word shingles, Jaccard 0.8 or more."""
     return chosen_path.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The faults of every damaged conversation and its cheapest repair."""
+    damaged = dialogue_repair.damage(table(spark, sf_dir, "conversations"))
+    return dialogue_repair.repair(damaged)
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as ids of a public vocabulary, and its bytes back from the ids."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep_text=False)
+    return byte_bpe.decode(encoded, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word that occurs three times or more, misspelt at a fixed rate, with its commoner form."""
+    return pivotal_grams.variants(pivotal_grams.word_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
