@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -39,3 +42,13 @@ def test_query_matches_sql(spark, con, name):
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["date", "sid", "label", "label_valid", "label_reason"] and df.count() > 0
+
+
+@pytest.mark.parametrize("also", [[], ["corpus_pipeline.py"]])
+def test_the_rest_imports_without_the_optional_subpackage(tmp_path, also):
+    root = os.path.dirname(os.path.abspath(contract.__file__))
+    left_out = shutil.ignore_patterns(".git", "__pycache__", "llm", "spark-warehouse", *also)
+    shutil.copytree(root, tmp_path / "copy", ignore=left_out)
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.registry.queries()), sorted(e.oracle_sql()) == sorted(e.oracle.oracle_sql()))"
+    run = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True, env={**os.environ, "PYTHONPATH": ""})
+    assert run.stdout.split() == ["True", "True"], run.stderr
