@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,12 +54,12 @@ def _gain(relevance: Column) -> Column:
     return F.pow(F.lit(2.0), relevance.cast("double")) - 1
 
 
-def _discount(position: Column) -> Column:
+def discount(position: Column) -> Column:
     return 1 / F.log2(position.cast("double") + 2)
 
 
-def ideal_dcg(df: DataFrame, relevance: str, k: int) -> DataFrame:
-    """IDCG@k per day from counts per relevance level: position p holds the p-th best level.
+def ideal_dcg(df: DataFrame, relevance: str, k: int, by: Sequence[str] = DAY, gain: Callable[[Column], Column] = _gain) -> DataFrame:
+    """IDCG@k per day from counts per relevance level: position p holds the p-th best level. Gains rise with the level.
 
     `discounts[m]` is the sum of the first m discounts, so a level filling positions a..b
     contributes gain * (discounts[b] - discounts[a]). No sort of the day is needed.
@@ -67,16 +68,16 @@ def ideal_dcg(df: DataFrame, relevance: str, k: int) -> DataFrame:
     for p in range(k):
         totals.append(totals[-1] + 1.0 / math.log2(p + 2))
     discounts = F.array(*[F.lit(t) for t in totals])
-    levels = df.groupBy("date", F.col(relevance).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    per = levels.groupBy("date").agg(F.sort_array(F.collect_list(F.struct("level", "n")), asc=False).alias("levels"))
+    levels = df.groupBy(*by, F.col(relevance).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    per = levels.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("level", "n")), asc=False).alias("levels"))
 
     def fill(acc: Column, item: Column) -> Column:
         stop = F.least(acc["p"] + item["n"], F.lit(k).cast("long"))
-        part = _gain(item["level"]) * (F.get(discounts, stop.cast("int")) - F.get(discounts, acc["p"].cast("int")))
+        part = gain(item["level"]) * (F.get(discounts, stop.cast("int")) - F.get(discounts, acc["p"].cast("int")))
         return F.struct(stop.alias("p"), (acc["dcg"] + part).alias("dcg"))
 
     start = F.struct(F.lit(0).cast("long").alias("p"), F.lit(0.0).alias("dcg"))
-    return per.select("date", F.aggregate("levels", start, fill)["dcg"].alias("idcg"))
+    return per.select(*by, F.aggregate("levels", start, fill)["dcg"].alias("idcg"))
 
 
 def _top_scored(df: DataFrame, score: str, k: int) -> DataFrame:
@@ -87,7 +88,7 @@ def ndcg_at_k(df: DataFrame, score: str, relevance: str, k: int) -> DataFrame:
     """DCG@k, IDCG@k and their ratio per day; equal scores in md5 order of the instrument."""
     rows = stage(df.select("date", "sid", score, relevance))
     top = _top_scored(rows, score, k)
-    dcg = top.groupBy("date").agg(F.sum(_gain(F.col(relevance)) * _discount(F.col("top_pos"))).alias("dcg"))
+    dcg = top.groupBy("date").agg(F.sum(_gain(F.col(relevance)) * discount(F.col("top_pos"))).alias("dcg"))
     ideal = ideal_dcg(rows, relevance, k)
     return dcg.join(ideal, "date").select("date", "dcg", "idcg", F.try_divide("dcg", "idcg").alias("ndcg"))
 
@@ -111,7 +112,7 @@ def lambda_rank_daily(df: DataFrame, score: str, relevance: str, mask: str, k: i
                 F.col(score).cast("double").alias("s"),
                 F.col(relevance).cast("double").alias("r"),
                 F.col(mask).alias("m"),
-                _discount(F.col("top_pos")).alias("d"),
+                discount(F.col("top_pos")).alias("d"),
             )
         ).alias("_top")
     )

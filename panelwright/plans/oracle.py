@@ -719,6 +719,35 @@ SELECT CASE WHEN date < DATE '2024-01-16' THEN 'first' ELSE 'second' END AS spli
         "SELECT date, pair_loss / (n_pairs + 1e-8) AS ret_loss FROM pair_days"), select=f"SELECT split, {ROLLUP_COLUMNS} FROM rolled")
 
     # ranker, sources, sinks and contracts
+    sql["rank_gradients_daily"] = _with(*MODEL_PARTS, RELEVANCE, """
+live AS (
+  SELECT date, sid, pred_ret AS s, relevance AS r, row_number() OVER (PARTITION BY date ORDER BY pred_ret DESC, md5(sid)) - 1 AS place,
+         row_number() OVER (PARTITION BY date ORDER BY relevance DESC) - 1 AS ideal,
+         max(pred_ret) OVER (PARTITION BY date) > min(pred_ret) OVER (PARTITION BY date) AS spread FROM relevant WHERE ret_mask),
+faced AS (
+  SELECT *, CASE WHEN place < 20 THEN 1 / log2(place + 2) ELSE 0 END AS d,
+         sum(CASE WHEN ideal < 20 THEN r / log2(ideal + 2) ELSE 0 END) OVER (PARTITION BY date) AS idcg FROM live),
+met AS (
+  SELECT a.date, a.sid AS high, b.sid AS low, 1 / (1 + exp(a.s - b.s)) AS p,
+         (a.r - b.r) * abs(a.d - b.d) / (a.idcg + 1e-8) / (CASE WHEN a.spread THEN 0.01 + abs(a.s - b.s) ELSE 1 END) AS w
+  FROM faced a JOIN faced b ON a.date = b.date AND a.r > b.r),
+sums AS (SELECT date, 2 * sum(w * p) AS total FROM met GROUP BY date),
+parts AS (
+  SELECT date, high AS sid, -w * p AS g, w * p * (1 - p) AS h FROM met UNION ALL SELECT date, low, w * p, w * p * (1 - p) FROM met),
+rowwise AS (SELECT date, sid, sum(g) AS g, sum(h) AS h FROM parts GROUP BY date, sid)
+""", select=f"""
+SELECT f.date, f.sid, {_r("coalesce(CASE WHEN s.total > 0 THEN log2(1 + s.total) / s.total ELSE 1 END * w.g, 0)", "grad")},
+       {_r("coalesce(CASE WHEN s.total > 0 THEN log2(1 + s.total) / s.total ELSE 1 END * w.h, 0)", "hess")}
+FROM faced f LEFT JOIN sums s ON s.date = f.date LEFT JOIN rowwise w ON w.date = f.date AND w.sid = f.sid""")
+    judged = """
+keep AS (SELECT date, sid, split, count(*) OVER (PARTITION BY date) AS size_ FROM tab WHERE y_valid AND usable AND split IS NOT NULL),
+big AS (SELECT * FROM keep WHERE size_ >= 3)
+"""
+    sql["rank_boost_rounds"] = _with(*SUPPLIER_VIEW_PARTS, judged, select="""
+SELECT CAST(r.round AS INTEGER) AS round, v.* FROM (SELECT unnest([1, 2, 3]) AS round) r
+CROSS JOIN (SELECT count(*) AS n_rows, count(DISTINCT date) AS n_days, count(*) AS n_equal FROM big WHERE split = 'valid') v""")
+    sql["rank_boost_store"] = _with(*SUPPLIER_VIEW_PARTS, judged, select="""
+SELECT split, count(*) AS n_rows, count(DISTINCT date) AS n_days, count(DISTINCT sid) AS n_sids, count(*) AS n_equal FROM big GROUP BY split""")
     sql["gbt_rank_checks"] = _with(*SUPPLIER_VIEW_PARTS, """
 keep AS (SELECT date, sid, split, y, count(*) OVER (PARTITION BY date) AS size_ FROM tab WHERE y_valid AND usable AND split IS NOT NULL)
 """, select="""

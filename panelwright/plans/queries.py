@@ -10,7 +10,7 @@ from panelwright.functions.identifiers import normalise_symbol
 from panelwright.functions.schema import (
     MARKET_FIELDS, STATUS_FIELDS, encoded_positions, feature_names, select_features,
 )
-from panelwright.operators import assets, cross_section as xs, labels, losses, panel as panels, profiles, quality, ranker
+from panelwright.operators import assets, boosting, cross_section as xs, labels, losses, panel as panels, profiles, quality, ranker
 from panelwright.operators import ranks, screening, splits, views
 from panelwright.operators.staging import scratch_dir, stage, tune
 from panelwright.plans.fixtures import (
@@ -779,6 +779,57 @@ def gbt_rank_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _ranker_run(spark, sf, refit=True).metrics
 
 
+# --- boosted ranker ------------------------------------------------------------------------
+
+BOOST = boosting.BoostParams(rounds=3, patience=3, learning_rate=0.1, max_depth=4, min_instances=20, k=10)
+
+
+@query
+def rank_gradients_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """First and second derivatives of the ranking objective by each row's score."""
+    rows = stage(_ranked_model_rows(spark, sf).where("ret_mask").select("date", "sid", "relevance", "pred_ret"))
+    return rounded(boosting.rank_gradients(rows, "pred_ret", "relevance", boosting.BoostParams(k=20)).select("date", "sid", "grad", "hess"))
+
+
+def _boosted(spark: SparkSession, sf: str) -> tuple[DataFrame, boosting.BoostState]:
+    """Ranking rows of the three splits and a model boosted on train and judged on valid."""
+    t, view = _supplier_view(spark, sf)
+    names = select_features(feature_names(t.panel), exclude="(?i)scratch", fundamentals=["fund__top_price"])
+    rows = stage(ranker.model_rows(stage(view.where("y_valid and usable")), RANKER))
+    return rows, boosting.boost(spark, boosting.start(rows, names, int(spark.conf.get("spark.sql.shuffle.partitions"))), BOOST)
+
+
+def _equal(a: str, b: str) -> Column:
+    return F.count_if(F.abs(F.col(a) - F.col(b)) <= 1e-9 * (1 + F.abs(F.col(b))))
+
+
+@query
+def rank_boost_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """For every round, the rows and days that the metric judged, and how many margins equal the score of that many trees by themselves."""
+    rows, state = _boosted(spark, sf)
+    carried = boosting.start(rows, state.model.features, state.buckets)
+    out = None
+    for n in range(1, len(state.values) + 1):
+        carried = boosting.boost_round(spark, carried, BOOST)
+        scored = boosting.scoring_pipeline(state.model.first(n)).transform(rows.where("split = 'valid'").select("date", "sid", "x"))
+        both = boosting.margins(spark, carried).join(scored, ["date", "sid"]).where("split = 'valid'")
+        found = both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("date").alias("n_days"), _equal("margin", "pred").alias("n_equal")).select(F.lit(n).alias("round"), "*")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query
+def rank_boost_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A model saved, loaded and applied to the view: per split the rows it scores, and how many scores equal those of training."""
+    rows, state = _boosted(spark, sf)
+    path = scratch_dir(spark, "model")
+    boosting.save(spark, state.model, path)
+    scored = boosting.load(spark, path).score(rows.select("split", "date", "sid", "features", "usable"), state.model.features)
+    both = scored.join(boosting.margins(spark, state), state.keys)
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("date").alias("n_days"), F.count_distinct("sid").alias("n_sids"),
+                                     _equal("margin", "pred").alias("n_equal"))
+
+
 # --- sources, sinks and contracts ------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable
 from urllib.parse import unquote
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from panelwright.functions.identifiers import normalise_date
 from panelwright.functions.schema import feature_names, struct_fields
+from panelwright.operators.staging import scratch_dir
 
 # Names under which a calendar file may hold its dates, in order of preference.
 CALENDAR_DATE_NAMES = ("date", "trade_date", "datetime", "calendar_date")
@@ -99,6 +101,16 @@ def write_panel(df: DataFrame, path: str, schema: T.StructType | None = None, mo
     )
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int) -> str:
+    """Store a table in buckets of its keys, each one sorted file, and return its name. Tables with the same keys and number of buckets
+    join on all of them without an exchange. Keys that a row holds once spread over the buckets evenly."""
+    spark = df.sparkSession
+    name = f"panelwright_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *keys).sortWithinPartitions(*keys)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", scratch_dir(spark, "buckets")).saveAsTable(name)
+    return name
+
+
 def read_calendar_csv(spark: SparkSession, path: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Distinct open dates of a CSV, inclusive range; rows that hold no date are dropped."""
     raw = spark.read.csv(path, header=True)
