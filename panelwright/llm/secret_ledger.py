@@ -30,7 +30,6 @@ _RULES = {
     "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, ":="),
     "access": (r"AKIA[A-Z0-9]+", 0, 20, "K"),
     "hex": (r"[0-9a-f]{24,}", 0, 24, "0123456789abcdef"),
-    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, "J"),
     "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, "-"),
     "prefixed": (r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 1, "_-"),
 }
@@ -42,19 +41,59 @@ _COMPILED = {
 # the base64 that follows: header lines, runs of 16 characters or more between line ends (real or escaped), quotes and comment signs, and a shorter last run.
 _BLOCK = "-----BEGIN "
 _KEY_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
-_GAP = r"(?:\\[nrt]|[^A-Za-z0-9+/=-]|(?:\+|//)\s)"
-_KEY_BODY = re.compile(rf"(?:{_GAP}*[A-Z][A-Za-z0-9-]*:\x20[^\n\\]*)*(?:{_GAP}*[A-Za-z0-9+/=]{{16,}})+(?:{_GAP}+[A-Za-z0-9+/=]+)?")
+_GAPS = re.compile(r"(?:\\[nrt]|[^A-Za-z0-9+/=-]|(?:\+|//)\s)*+")
+_HEADER = re.compile(r"[A-Z][A-Za-z0-9-]*+:\x20[^\n\\]*+")
+_BASE64 = re.compile(r"[A-Za-z0-9+/=]++")
+_LONG_BASE64 = re.compile(r"[A-Za-z0-9+/=]{16,}+")
+# A web token: three runs joined by dots, the first two of which begin with "eyJ" (the first run may have more in front).
+_TOKEN_LEAST = 30
+_TOKEN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+_TOKEN_REST = re.compile(r"\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++", re.ASCII)
 _FINDING = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 _SCANNED = pa.schema([("blob", pa.binary()), ("findings", pa.list_(_FINDING))])
 LEDGER = "blob binary, rules string, findings array<struct<kind:string,start:bigint,end:bigint>>"
 
 
+def _body_end(text: str, at: int, stop: int) -> int:
+    """Where the key's base64 ends that begins at `at`, read forward once; `at` if there is none."""
+    end, headers = at, True
+    while at < stop:
+        at = _GAPS.match(text, at, stop).end()
+        header = _HEADER.match(text, at, stop) if headers else None
+        if header:  # long runs in it count if nothing follows
+            begin, at = at, header.end()
+            for run in _LONG_BASE64.finditer(text, begin, at):
+                end = run.end()
+            continue
+        run = _BASE64.match(text, at, stop)
+        if run and run.end() - at >= 16:
+            headers, end, at = False, run.end(), run.end()
+            continue
+        return run.end() if run and not headers else end
+    return end
+
+
 def _key_end(text: str, at: int) -> int:
     """Where the private key ends whose BEGIN marker ends at `at`."""
     stop = text.find(_BLOCK, at)
     stop = len(text) if stop < 0 else stop
-    m = _KEY_END.search(text, at, stop) or _KEY_BODY.match(text, at, stop)
-    return m.end() if m else at
+    m = _KEY_END.search(text, at, stop)
+    return m.end() if m else _body_end(text, at, stop)
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of web tokens, the leftmost first, none overlapping. Each run of characters is read a bounded number of times."""
+    done, dot = 0, text.find(".eyJ")
+    while dot >= 0:
+        start = dot
+        while start > done and text[start - 1] in _TOKEN_CHARS:
+            start -= 1
+        start = text.find("eyJ", start, dot - 1)  # a character at least between "eyJ" and the dot
+        rest = _TOKEN_REST.match(text, dot) if start >= 0 else None
+        if rest:
+            done = rest.end()
+            yield start, done
+        dot = text.find(".eyJ", max(done, dot + 1))
 
 
 def scan_text(text: str) -> list[dict]:
@@ -65,6 +104,8 @@ def scan_text(text: str) -> list[dict]:
             for m in pattern.finditer(text):
                 if m.end(group) - m.start(group) >= least:
                     found.append({"kind": kind, "start": m.start(), "end": _key_end(text, m.end()) if kind == "pem" else m.end()})
+    if ".eyJ" in text:
+        found += [{"kind": "jwt", "start": a, "end": b} for a, b in _tokens(text) if b - a >= _TOKEN_LEAST]
     return found
 
 
@@ -134,16 +175,22 @@ def count_of(found: Column, kind: str) -> Column:
     return F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long")
 
 
+def redacted(text: str, spans: list[dict]) -> str:
+    """The text with every span replaced by its kind in brackets; overlapping spans become one, named by the first."""
+    pieces, at = [], 0
+    for start, end, kind in sorted((s["start"], s["end"], s["kind"]) for s in spans):
+        if start >= at:
+            pieces += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*pieces, text[at:]])
+
+
 def redact(text: Column, found: Column) -> Column:
-    """The text with every found span replaced by its kind in brackets; overlapping spans become one, named by the first."""
-    spans = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(state: Column, x: Column) -> Column:
-        head = F.concat(state["out"], text.substr((state["at"] + 1).cast("int"), F.greatest(x["start"] - state["at"], F.lit(0)).cast("int")),
-                        F.concat(F.lit("["), x["kind"], F.lit("]")))
-        return F.struct(F.when(x["start"] >= state["at"], head).otherwise(state["out"]).alias("out"),
-                        F.greatest(state["at"], x["end"]).alias("at"))
-
-    done = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], text.substr((s["at"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(found) > 0, done).otherwise(text)
+    """redacted() as a column; texts without findings stay in the JVM."""
+
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else redacted(t, s) for t, s in zip(texts.to_pylist(), spans.to_pylist())], pa.string())
+
+    hit = F.size(found) > 0
+    return F.coalesce(F.when(hit, run(F.when(hit, text), F.when(hit, found))), text)
