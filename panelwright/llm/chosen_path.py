@@ -34,7 +34,8 @@ RECALL = 0.9995
 DEPTH = 3
 HASHES = 32
 LEAF = 1_024  # members of a bucket that is compared without a further split
-TILE = 4_096  # members of a tile
+TILE = 4_096  # members of a tile at most; a bucket of over a quarter of them is cut in PARTS tiles, of an eighth at least, so that no task gets much more than others
+PARTS = 24
 TILE_TOKENS = 2_000_000
 DENSE = 0.5  # a bucket whose largest part keeps this share is not split
 COLUMNS = 2_048  # shingles of one product
@@ -182,7 +183,7 @@ def buckets(classes: DataFrame, sketches: DataFrame, threshold: float, picks: in
 def _tiles(members: DataFrame, tile: int, tile_tokens: int) -> DataFrame:
     """path, low, high, side, node, earlier: a row for each tile pair that a member takes part in. earlier: the node's buckets of better rank.
 
-    Buckets that fit in a tile have the pair (0, 0). In others members who share their first bucket, if they are many, form a
+    Buckets that make one tile have the pair (0, 0). In others members who share their first bucket, if they are many, form a
     group of tiles that is not paired with itself: that bucket has compared them.
     """
     rank = F.struct((-F.col("size")).alias("less"), "path")
@@ -192,7 +193,7 @@ def _tiles(members: DataFrame, tile: int, tile_tokens: int) -> DataFrame:
     members = stage(members.withColumn("earlier", F.transform(F.filter("all", lambda x: x < own), lambda x: x["path"]))
                     .withColumn("first", F.col("all")[0]["path"]).drop("all"), "bucket-ranks")
     weight = stage(members.groupBy("path").agg(F.sum(F.col("n").cast("long")).alias("tokens"), F.count(F.lit(1)).alias("count")), "bucket-weights")
-    wide = (F.col("tokens") > tile_tokens) | (F.col("count") > tile)
+    wide = (F.col("tokens") > tile_tokens) | (F.col("count") > tile / 4)
     single = members.join(weight.filter(wide).select("path"), "path", "left_anti").select(
         "path", F.lit(0).alias("low"), F.lit(0).alias("high"), F.lit(0).alias("side"), "node", "earlier")
     large = weight.filter(wide).select("path")
@@ -202,7 +203,8 @@ def _tiles(members: DataFrame, tile: int, tile_tokens: int) -> DataFrame:
     firsts = stage(many.groupBy("path", "first").agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("n").cast("long")).alias("tokens")), "bucket-firsts")
     group = F.when((F.col("first") != F.col("path")) & (F.col("count") >= tile / 4), F.col("first")).otherwise(F.col("path"))
     groups = firsts.withColumn("group", group).groupBy("path", "group").agg(F.sum("count").alias("count"), F.sum("tokens").alias("tokens"))
-    parts = F.greatest(F.ceil(F.col("count") / tile), F.ceil(F.col("tokens") / tile_tokens)).cast("int")
+    held = F.least(F.lit(float(tile)), F.greatest(F.lit(tile / 8), F.col("count") / PARTS))
+    parts = F.greatest(F.ceil(F.col("count") / held), F.ceil(F.col("tokens") / tile_tokens)).cast("int")
     layout = groups.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("group", parts.alias("parts")))).alias("layout"))
     index = F.flatten(F.transform("layout", lambda x: F.transform(F.sequence(F.lit(0), x["parts"] - 1), lambda i: F.struct(x["group"].alias("group"), i.alias("part")))))
     layout = stage(layout.select("path", index.alias("layout")), "bucket-layout")
@@ -228,12 +230,17 @@ def _incidence(row: np.ndarray, column: np.ndarray, shape: tuple[int, int]) -> n
 
 
 def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Number of values that each left set has in common with each right set."""
+    """Number of values that each left set has in common with each right set. Of a tile with itself the diagonal is not meant: values
+    of one member only, which near copies have many of, are left out."""
     out = np.zeros((len(left), len(right)), np.float32)
     a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right))
     if not len(a) or not len(b):
         return out
-    common = np.intersect1d(a, b)
+    if left is right:
+        common, times = np.unique(a, return_counts=True)
+        common = common[times > 1]
+    else:
+        common = np.intersect1d(a, b)
     rows = []
     for flat, sets in ((a, left), (b, right)):
         at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
