@@ -16,10 +16,13 @@ own; an empty table gives an empty result; other columns are carried along and k
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
+import sys
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cached_property
+from types import ModuleType
 
 import ahocorasick
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from panelwright.llm.common import fresh, slices
 
-HELD_PIECES = 400_000
+HELD_PIECES = 300_000
 HELD_PAIRS = 1_000_000
 HELD_POINTS = 64  # longer pieces aren't kept
 
@@ -160,18 +163,21 @@ class Prefixes:
 
 
 class Pieces(dict):
-    """Packed ids (little-endian, 32 bits) of pieces of text; short pieces are kept."""
+    """Packed ids (little-endian, 32 bits) of pieces of text. Short pieces are kept; when there are too many, those not asked for since the last time go."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.before = vocabulary, {}
 
     def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.vocabulary.rank.get(data)
-        out = pack(Prefixes(self.vocabulary, data).ids() if whole is None else [whole])
+        out = self.before.get(piece)
+        if out is None:
+            data = piece.encode()
+            whole = self.vocabulary.rank.get(data)
+            out = pack(Prefixes(self.vocabulary, data).ids() if whole is None else [whole])
         if len(piece) <= HELD_POINTS:
             if len(self) >= HELD_PIECES:
+                self.before = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -233,16 +239,24 @@ class Encoded:
         return done
 
 
+def _pieces(ranks: bytes) -> Pieces:
+    """The pieces that this Python worker knows. Functions are shipped to tasks by value, so a store of their own would end with the task."""
+    store = sys.modules.setdefault("_panelwright_byte_bpe", ModuleType("_panelwright_byte_bpe")).__dict__
+    key = hashlib.sha256(ranks).hexdigest()
+    if store.get("key") != key:
+        store.update(key=key, pieces=Pieces(Vocabulary(ranks)))
+    return store["pieces"]
+
+
 def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with `ids`, the text's token ids as little-endian unsigned 32-bit integers, and `n_tokens`. Special tokens are ordinary text."""
     held = docs.sparkSession.sparkContext.broadcast(ranks)
     ids, n_tokens = fresh(docs, "ids", "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, split = Pieces(Vocabulary(held.value)), regex.compile(pattern)
-        one = pieces.__getitem__
+        one, split = _pieces(held.value).__getitem__, regex.compile(pattern)
         for batch in slices(batches, text):
-            packed = [b"".join([one(p) for p in split.findall(t)]) if t else b"" for t in batch.column(text).to_pylist()]
+            packed = [b"".join(map(one, split.findall(t))) if t else b"" for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(packed, pa.binary())], [*kept, ids])
 
     kept = [c for c in docs.columns if keep_text or c != text]
