@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -119,6 +120,38 @@ def test_no_key_body_survives_redaction(spark):
         assert re.fullmatch(r"é before\n\[pem\]\nafter it stays\n\[pem\]\n-----BEGIN CERTIFICATE-----\nmine\n\[pem\] is a marker only", out), (text, out)
 
 
+ADVERSE = {
+    "headers": "-----BEGIN RSA PRIVATE KEY-----" + "A: b " * 200_000, "header lines": "-----BEGIN RSA PRIVATE KEY-----" + "A: b\n" * 200_000, "one run": "eyJ" * 350_000,
+    "runs": "eyJa." * 200_000, "short runs": ".eyJ" * 250_000, "markers": "-----BEGIN RSA PRIVATE KEY-----" * 30_000, "open marker": "-----BEGIN " + "A " * 500_000,
+    "gaps": "-----BEGIN PRIVATE KEY-----" + "\\n" * 500_000, "names": "-----BEGIN PRIVATE KEY-----" + "Ab-" * 300_000, "signs": "+ " * 500_000, "spaces": "token" + " " * 1_000_000,
+    "values": "password=abcdefg\n" * 60_000}
+
+
+@pytest.mark.parametrize("name", ADVERSE)
+def test_no_text_holds_a_scan_up(name):
+    text = ADVERSE[name]
+    start = time.process_time()
+    found = secret_ledger.scan_text(text)
+    out = secret_ledger.redacted(text, found)
+    assert time.process_time() - start < 5  # a second or less on an idle machine; the forms it replaces would take hours
+    assert len(found) == (60_000 if name == "values" else 30_000 if name == "markers" else 1 if "PRIVATE KEY" in text else 0)
+    assert name != "values" or out == "[assign]\n" * 60_000
+
+
+def test_web_tokens_are_those_of_the_pattern():
+    rng = random.Random(12)
+    pattern = re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+    for _ in range(20_000):
+        text = "".join(rng.choice(["eyJ", "eyJhbGciOiJI", ".", "abc", "-", "_", " ", "é", "A" * 20]) for _ in range(rng.randrange(12)))
+        want = [m.span() for m in pattern.finditer(text) if m.end() - m.start() >= 30]
+        assert [(f["start"], f["end"]) for f in secret_ledger.scan_text(text) if f["kind"] == "jwt"] == want, text
+
+
+def test_overlapping_spans_become_one():
+    spans = [{"start": a, "end": b, "kind": k} for a, b, k in [(2, 5, "x"), (4, 8, "y"), (8, 9, "z"), (6, 7, "w")]]
+    assert secret_ledger.redacted("0123456789", spans) == "01[x][z]9"
+
+
 # --- near duplicates -----------------------------------------------------------------------------
 
 def shingles(text: str | None) -> frozenset:
@@ -150,6 +183,16 @@ def brute_links(docs: list[tuple]) -> list[tuple]:
     return sorted(((doc, t, least[find(i)], links[i]) for i, (doc, t) in enumerate(docs)), key=str)
 
 
+def test_a_tile_with_itself_counts_what_is_shared():
+    rng = np.random.RandomState(5)
+    sets = [np.unique(rng.randint(0, 200, 40).astype(np.uint32)) for _ in range(50)]
+    got = chosen_path._shared(sets, sets)
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    off = ~np.eye(len(sets), dtype=bool)
+    assert (got[off] == want[off]).all()
+    assert (chosen_path._shared(sets[:20], sets[20:]) == want[:20, 20:]).all()
+
+
 def family(rng: random.Random, n: int, size: int, changes: int) -> list[str]:
     base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
     out = []
