@@ -120,26 +120,48 @@ def dense_cells(view: DataFrame, calendar: DataFrame, width: int) -> DataFrame:
     )
 
 
-def lookback_windows(view: DataFrame, sampled: DataFrame, lookback: int, width: int) -> DataFrame:
+def halo_rows(view: DataFrame, lookback: int, span: int) -> DataFrame:
+    """Rows dealt into blocks of `span` days by `_block`. The last lookback - 1 days of a block also go to the next one, so that every window
+    lies within the block of its last day: a row is there twice at most."""
+    if span < lookback - 1:
+        raise ValueError("a block must be as long as the days that the next one looks back on")
+    block, late = F.floor(F.col("td_idx") / span).cast("int"), F.pmod(F.col("td_idx"), F.lit(span)) >= span - (lookback - 1)
+    return view.withColumn("_block", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))))
+
+
+def lookback_windows(view: DataFrame, sampled: DataFrame, lookback: int, width: int, span: int | None = None) -> DataFrame:
     """For each sampled (date, sid), given once: the `lookback` encoded rows ending that day, oldest first.
 
     Days without a panel row are zero vectors; the first lookback - 1 days yield nothing. Where `sampled` carries td_idx,
     a sampled instrument without a panel row that day yields a window too, with its masks off.
-    Sampled keys open into their days, and only vectors of those days are joined to them, so the work follows the sample.
-    A group holds `lookback` rows.
+    An instrument's days are cut into blocks of `span` days (by default `lookback`) with a halo of the lookback - 1 days before. Only blocks with a sampled day are
+    moved, each vector twice at most whatever the lookback, and all windows of a block are cut from one array.
     """
+    span = span or max(lookback, 1)
     if "td_idx" not in sampled.columns:
         sampled = sampled.select("date", "sid").join(view.select("date", "sid", "td_idx"), ["date", "sid"])
-    ends = sampled.where(F.col("td_idx") >= lookback - 1).select("date", "sid", F.col("td_idx").alias("_end"))
-    steps = ends.withColumn("td_idx", F.explode(F.sequence(F.col("_end") - (lookback - 1), "_end")))
-    own = F.col("td_idx") == F.col("_end")
+    key = ["sid", "_block"]
+    ends = sampled.where(F.col("td_idx") >= lookback - 1).select("sid", F.floor(F.col("td_idx") / span).cast("int").alias("_block"), "date", F.col("td_idx").alias("end"))
+    ends = ends.groupBy(*key).agg(F.collect_list(F.struct("date", "end")).alias("_ends"))
     absent = {"present": F.lit(False), "y_ret": F.lit(0.0).cast("float"), "y_mom": F.lit(-1).cast("byte"),
               "ret_mask": F.lit(False), "mom_mask": F.lit(False), "both_mask": F.lit(False)}
-    windows = steps.join(view.select("sid", "td_idx", "x", *absent), ["sid", "td_idx"], "left").groupBy("date", "sid", F.col("_end").alias("td_idx")).agg(
-        F.collect_list(F.when(F.col("x").isNotNull(), F.struct(F.col("td_idx").alias("day"), "x"))).alias("_recent"),
-        *[F.coalesce(F.max(F.when(own, F.col(c))), none).alias(c) for c, none in absent.items()])
-    by_day = F.map_from_entries("_recent")
+    rows = halo_rows(view.select("sid", "td_idx", "x", *absent), lookback, span).join(ends.select(*key), key, "left_semi")
+    held = rows.groupBy(*key).agg(F.collect_list(F.struct("td_idx", F.struct("x", *absent).alias("row"))).alias("_rows"))
+    # The block's days from the first of the halo on, empty where there is no panel row.
+    days = F.sequence(F.col("_block") * span - (lookback - 1), (F.col("_block") + 1) * span - 1)
+    by_day = F.map_from_entries(F.coalesce("_rows", F.array().cast(held.schema["_rows"].dataType)))
     zeros = F.array_repeat(F.lit(0.0).cast("float"), width)
-    days = F.sequence(F.col("td_idx") - (lookback - 1), F.col("td_idx"))
-    window = F.transform(days, lambda d: F.coalesce(F.try_element_at(by_day, d), zeros))
-    return windows.withColumn("window", window).drop("_recent")
+
+    def cut(block: Column) -> Column:
+        def one(e: Column) -> Column:
+            start = e["end"] - F.col("_block") * span
+            own = F.get(block, start + (lookback - 1))
+            window = F.transform(F.slice(block, start + 1, lookback), lambda r: F.coalesce(r["x"], zeros))
+            return F.struct(e["date"].alias("date"), e["end"].alias("td_idx"), *[F.coalesce(own[c], none).alias(c) for c, none in absent.items()], window.alias("window"))
+
+        return F.transform("_ends", one)
+
+    # The block goes in as the one item of an array, so that it is put together once and not once a window.
+    block = F.get(F.transform(F.array(by_day), lambda m: F.transform(days, lambda d: F.try_element_at(m, d))), F.lit(0))
+    cuts = F.get(F.transform(F.array(block), cut), F.lit(0))
+    return ends.join(held, key, "left").select("sid", F.inline(cuts)).select("date", "sid", "td_idx", *absent, "window")

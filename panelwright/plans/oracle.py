@@ -639,6 +639,17 @@ SELECT c.date, s.sid, c.td AS td_idx, {", ".join(_r(f'coalesce(v.x{i}, 0)', f'x{
        coalesce(v.present, false) AS present, {_r('coalesce(v.y_ret, 0)', 'y_ret')}, coalesce(v.y_mom, -1) AS y_mom,
        coalesce(v.ret_mask, false) AS ret_mask, coalesce(v.mom_mask, false) AS mom_mask, coalesce(v.both_mask, false) AS both_mask
 FROM cal c CROSS JOIN (SELECT DISTINCT sid FROM view_rows) s LEFT JOIN view_rows v ON v.date = c.date AND v.sid = s.sid""")
+    sql["cube_cells"] = _with(*ENCODED_PARTS, select=f"""
+SELECT date, sid, td AS td_idx, {CELL_COLUMNS}, present, {_r('y_ret', 'y_ret')}, y_mom, {MASK_COLUMNS} FROM view_rows""")
+    sql["cube_slice"] = _with(*ENCODED_PARTS, select=f"""
+SELECT c.date, s.sid, c.td AS td_idx, {", ".join(_r(f'coalesce(v.x{i}, 0)', f'x{i}') for i in range(7))},
+       coalesce(v.present, false) AS present, {_r('coalesce(v.y_ret, 0)', 'y_ret')}, coalesce(v.y_mom, -1) AS y_mom,
+       coalesce(v.ret_mask, false) AS ret_mask, coalesce(v.mom_mask, false) AS mom_mask, coalesce(v.both_mask, false) AS both_mask
+FROM cal c CROSS JOIN (SELECT DISTINCT v.sid FROM view_rows v JOIN master m ON m.sid = v.sid WHERE m.delist_date IS NULL) s
+LEFT JOIN view_rows v ON v.date = c.date AND v.sid = s.sid WHERE c.td BETWEEN 5 AND 12""")
+    sql["cube_coverage"] = _with(*ENCODED_PARTS, select="""
+SELECT 'day' AS axis, CAST(c.date AS VARCHAR) AS key, count(v.sid) AS n_cells FROM cal c LEFT JOIN view_rows v ON v.date = c.date GROUP BY c.date
+UNION ALL SELECT 'instrument', sid, count(*) FROM view_rows GROUP BY sid""")
     sql["daily_sample_k"] = _with(*ENCODED_PARTS, SAMPLE, select="SELECT date, sid, present, sample_pos FROM filled")
     total = " + ".join(f"coalesce(CAST(x{i} AS DOUBLE), 0)" for i in range(7))
     sql["lookback_window_stats"] = _with(*ENCODED_PARTS, SAMPLE, f"sums AS (SELECT sid, td, x6, {total} AS s FROM view_rows)", select=f"""
@@ -648,6 +659,19 @@ SELECT a.date, a.sid, CAST(5 AS INTEGER) AS steps,
        {_r('coalesce((SELECT w.s FROM sums w WHERE w.sid = a.sid AND w.td = a.td), 0)', 'newest_sum')},
        {_r('a.y_ret', 'y_ret')}, a.y_mom, a.ret_mask, a.mom_mask, a.both_mask
 FROM filled a WHERE a.td >= 4""")
+    flat = " + ".join(f"coalesce(CAST(p.{f} AS DOUBLE), 0) + CAST(p.{f} IS NULL AS INTEGER)" for f in SUPPLIER_FEATURES)
+    sql["lookback_supplier_windows"] = _with(SUPPLIERS, _return("return_c0c1"), _momentum(), f"""
+cells AS (
+  SELECT p.date, p.sid, p.td, CAST(p.sample_usable_for_feature AS INTEGER) AS here, {flat} + CAST(p.sample_usable_for_feature AS INTEGER) AS s,
+         coalesce(r.value, 0) AS y_ret, CASE WHEN m.valid THEN CAST(m.value AS INTEGER) ELSE -1 END AS y_mom, r.valid AS ret_mask, m.valid AS mom_mask
+  FROM panel p JOIN return_c0c1 r ON r.date = p.date AND r.sid = p.sid JOIN momentum_cls m ON m.date = p.date AND m.sid = p.sid),
+drawn AS (
+  SELECT *, row_number() OVER (PARTITION BY date ORDER BY here DESC, md5('42|' || CAST(date AS VARCHAR) || '|' || sid), sid) AS place,
+         sum(here) OVER (PARTITION BY sid ORDER BY td RANGE BETWEEN 59 PRECEDING AND CURRENT ROW) AS present_steps FROM cells)
+""", select=f"""
+SELECT a.date, a.sid, CAST(60 AS INTEGER) AS steps, {_r('a.present_steps', 'present_steps')}, {_r('coalesce(o.s, 0)', 'oldest_sum')}, {_r('a.s', 'newest_sum')},
+       {_r('a.y_ret', 'y_ret')}, a.y_mom, a.ret_mask, a.mom_mask, a.ret_mask AND a.mom_mask AS both_mask
+FROM drawn a LEFT JOIN cells o ON o.sid = a.sid AND o.td = a.td - 59 WHERE a.place <= 512 AND a.td >= 59""")
     sql["view_report"] = _with(*ENCODED_PARTS, """
 days AS (SELECT c.date, count(*) FILTER (WHERE v.present) AS present, count(*) FILTER (WHERE v.ret_mask) AS ret_valid,
                 count(*) FILTER (WHERE v.mom_mask) AS mom_valid, count(*) FILTER (WHERE v.both_mask) AS both_valid

@@ -10,7 +10,7 @@ from panelwright.functions.identifiers import normalise_symbol
 from panelwright.functions.schema import (
     MARKET_FIELDS, STATUS_FIELDS, encoded_positions, feature_names, select_features,
 )
-from panelwright.operators import assets, boosting, cross_section as xs, labels, losses, panel as panels, profiles, quality, ranker
+from panelwright.operators import assets, boosting, cross_section as xs, cube, labels, losses, panel as panels, profiles, quality, ranker
 from panelwright.operators import ranks, screening, splits, views
 from panelwright.operators.staging import scratch_dir, stage, tune
 from panelwright.plans.fixtures import (
@@ -561,12 +561,51 @@ def dense_cube_cells(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(cells.select("date", "sid", "td_idx", *_cells(cells, width), "present", "y_ret", F.col("y_mom").cast("int").alias("y_mom"), *MASKS))
 
 
+def _event_cube(spark: SparkSession, sf: str) -> cube.Cube:
+    t, view, width = _event_encoded(spark, sf)
+    return cube.write_cube(stage(view), t.calendar, scratch_dir(spark, "cube"), width)
+
+
+@query
+def cube_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """Every cell that exists, read back from the tiles of a stored cube."""
+    held = _event_cube(spark, sf)
+    return rounded(cube.read_cells(held).select("date", "sid", "td_idx", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(held.width)], "present", "y_ret", F.col("y_mom").cast("int").alias("y_mom"), *MASKS))
+
+
+@query
+def cube_slice(spark: SparkSession, sf: str) -> DataFrame:
+    """Days 5 to 12 of a stored cube for the instruments without a delisting date, absent cells included."""
+    held = _event_cube(spark, sf)
+    listed = event_tables(spark, sf).master.where("delist_date is null")
+    cells = cube.read_cells(held, 5, 12, listed, absent=True)
+    return rounded(cells.select("date", "sid", "td_idx", *[F.get("x", F.lit(i)).alias(f"x{i}") for i in range(held.width)], "present", "y_ret", F.col("y_mom").cast("int").alias("y_mom"), *MASKS))
+
+
+@query
+def cube_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that exist on each day and for each instrument, counted on the maps of a stored cube."""
+    held = _event_cube(spark, sf)
+    days = cube.coverage_by_day(held).select(F.lit("day").alias("axis"), F.col("date").cast("string").alias("key"), "n_cells")
+    return days.unionByName(cube.coverage_by_instrument(held).select(F.lit("instrument").alias("axis"), F.col("sid").alias("key"), "n_cells"))
+
+
 @query
 def daily_sample_k(spark: SparkSession, sf: str) -> DataFrame:
     t, view, _ = _event_encoded(spark, sf)
     return xs.sample_per_day(view.select("date", "sid", "present"), SAMPLE_K, "present", instruments=t.master).select("date", "sid", "present", F.col("sample_pos").cast("int").alias("sample_pos"))
 
 
+def _window_stats(width: int, lookback: int) -> list[Column]:
+    """What a SQL engine can recompute of a window."""
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double"))
+
+    flags = F.transform("window", lambda x: F.get(x, F.lit(width - 1)))
+    return [F.size("window").alias("steps"), total(flags).alias("present_steps"), total(F.get("window", F.lit(0))).alias("oldest_sum"),
+            total(F.get("window", F.lit(lookback - 1))).alias("newest_sum")]
+
+
 @query
 def lookback_window_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of sampled rows, reduced to what a SQL engine can recompute: step count, sum and first value per window."""
@@ -574,15 +613,19 @@ def lookback_window_stats(spark: SparkSession, sf: str) -> DataFrame:
     sampled = xs.sample_per_day(view.select("date", "sid", "present"), SAMPLE_K, "present", instruments=t.master)
     sampled = sampled.join(xs.per_day(t.calendar.select("date", "td_idx")), "date")
     windows = views.lookback_windows(view, sampled, LOOKBACK, width)
-    steps = F.transform("window", lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double")))
-    return rounded(windows.select(
-        "date", "sid",
-        F.size("window").alias("steps"),
-        F.aggregate(F.transform("window", lambda x: F.get(x, F.lit(width - 1)).cast("double")), F.lit(0.0), lambda a, v: a + v).alias("present_steps"),
-        F.get(steps, F.lit(0)).alias("oldest_sum"),
-        F.get(steps, F.lit(LOOKBACK - 1)).alias("newest_sum"),
-        "y_ret", F.col("y_mom").cast("int").alias("y_mom"), *MASKS,
-    ))
+    return rounded(windows.select("date", "sid", *_window_stats(width, LOOKBACK), "y_ret", F.col("y_mom").cast("int").alias("y_mom"), *MASKS))
+
+
+@query
+def lookback_supplier_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of 60 days over the suppliers' years, reduced as above."""
+    t = supplier_tables(spark, sf)
+    blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")]))
+    ret, mom = (blocks.select("date", "sid", F.col(n).alias("label")) for n in ("return_c0c1", "momentum_cls"))
+    view, width = stage(views.encoded_view(t.panel, ret, mom)), 2 * len(feature_names(t.panel)) + 1
+    sampled = xs.sample_per_day(view.select("date", "sid", "td_idx", "present"), SAMPLE_K, "present")
+    windows = views.lookback_windows(view, sampled.select("date", "sid", "td_idx"), 60, width)
+    return rounded(windows.select("date", "sid", *_window_stats(width, 60), "y_ret", F.col("y_mom").cast("int").alias("y_mom"), *MASKS))
 
 
 @query

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators import cross_section as xs, ranks, views
@@ -67,6 +68,17 @@ def test_lookback_reads_vectors_of_sampled_days_only(spark):
     assert got == {t: [float(280 + u) for u in range(t - 4, t + 1)] for t in range(30, 40)}
 
 
+def test_lookback_moves_a_vector_twice_at_most(spark):
+    cells = spark.range(4_000).select((F.col("id") % 400).cast("int").alias("td_idx"), F.floor(F.col("id") / 400).cast("string").alias("sid"))
+    for lookback, span in ((60, 60), (60, 240), (5, 4), (1, 1)):
+        dealt = views.halo_rows(cells, lookback, span)
+        assert dealt.count() <= 4_000 * (1 + (lookback - 1) / span) + 10 * lookback <= 2 * 4_000 + 10 * lookback
+        # Every window of the last days of a block lies in it.
+        assert dealt.groupBy("sid", "_block").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] <= span + lookback - 1
+    with pytest.raises(ValueError):
+        views.halo_rows(cells, 60, 30)
+
+
 def test_top_k_prunes_in_map_tasks(spark):
     df = stage(spark.range(1000).select(F.lit(DAY).alias("date"), F.col("id").cast("string").alias("sid"), F.rand(1).alias("x")))
     plan = plan_of(ranks.top_k(df, ["date"], [F.col("x").desc()], 20))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.operators import assets, ranker, screening, splits, views
+from panelwright.operators import assets, cube, ranker, screening, splits, views
 
 DAYS = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(12)]
 
@@ -61,12 +61,46 @@ def test_dense_cells_fill_the_grid(spark):
         assert c["ret_mask"] == ((c["date"], c["sid"]) in known) and c["y_mom"] == -1
 
 
-@pytest.mark.parametrize("lookback", [1, 4])
-def test_lookback_windows(spark, lookback):
+def grid(spark, n_days, n_sids, share):
+    """Cells of which about `share` exist, with values that hardly compress."""
+    keep = F.pmod(F.xxhash64("t", "n"), F.lit(1000)) < share * 1000
+    days = spark.range(n_days).select(F.col("id").cast("int").alias("t"))
+    cells = days.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(n_sids - 1)))).where(keep)
+    return cells.select(F.expr("date_add(DATE'2024-01-01', t)").alias("date"), F.format_string("s%05d", "n").alias("sid"), F.col("t").alias("td_idx"),
+                        F.array(*[(F.pmod(F.xxhash64("t", "n", F.lit(i)), F.lit(10**6)) / 7).cast("float") for i in range(6)]).alias("x"), (F.col("n") % 2 == 0).alias("present"),
+                        F.col("t").cast("float").alias("y_ret"), (F.col("n") % 5 - 1).cast("byte").alias("y_mom"), (F.col("t") % 2 == 0).alias("ret_mask"),
+                        (F.col("n") % 3 == 0).alias("mom_mask"), ((F.col("t") % 2 == 0) & (F.col("n") % 3 == 0)).alias("both_mask"))
+
+
+def test_cube_gives_its_cells_back_and_stores_only_those(spark, tmp_path):
+    days = spark.range(50).select(F.expr("date_add(DATE'2024-01-01', CAST(id AS INT))").alias("date"), F.col("id").cast("int").alias("td_idx"))
+    sizes = {}
+    for share in (1.0, 0.05):
+        view = grid(spark, 50, 200, share).cache()
+        held = cube.write_cube(view, days, str(tmp_path / f"c{share}"), 6)
+        sizes[share] = sum(p.stat().st_size for p in (tmp_path / f"c{share}" / "tiles").glob("*.parquet")) / view.count()
+        key = lambda r: (r["date"], r["sid"])
+        got = sorted((r.asDict() for r in cube.read_cells(held).collect()), key=key)
+        assert got == sorted((r.asDict() for r in view.select(*got[0]).collect()), key=key)
+        part = cube.read_cells(held, 15, 17, view.select("sid").where("sid between 's00060' and 's00070'"))
+        assert part.count() == view.where("td_idx between 15 and 17 and sid between 's00060' and 's00070'").count() > 0
+        full = cube.read_cells(held, 15, 17, absent=True)
+        assert full.count() == 3 * view.select("sid").distinct().count() and full.where("y_mom = -1 and not present and x[0] = 0").count() >= full.count() - view.where("td_idx between 15 and 17").count()
+        assert {(r.td_idx, r.n_cells) for r in cube.coverage_by_day(held).collect()} == {(r.td_idx, r["count"]) for r in view.groupBy("td_idx").count().collect()}
+        assert {tuple(r) for r in cube.coverage_by_instrument(held).collect()} == {tuple(r) for r in view.groupBy("sid").count().collect()}
+        scan = cube.read_cells(held, 40, 45)._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(tile_t,2)" in scan and "LessThanOrEqual(tile_t,2)" in scan
+        narrow = cube.coverage_by_day(held)._jdf.queryExecution().executedPlan().toString()
+        assert "struct<tile_t:int,map:array<bigint>>" in narrow.replace(" ", "") or "ReadSchema: struct<tile_t:int,map:array<bigint>>" in narrow
+    assert sizes[0.05] < 2.5 * sizes[1.0]  # bytes a cell that exists; written out densely it would be twenty times as many
+
+
+@pytest.mark.parametrize(("lookback", "span"), [(1, None), (4, None), (4, 3), (4, 7), (12, None)])
+def test_lookback_windows(spark, lookback, span):
     data, p = small_panel(spark)
     view = views.encoded_view(p, target(p, 0.5), None)
     sampled = p.select("date", "sid").where("sid <> 'b' or date > '2024-01-05'")
-    got = {(r["date"], r["sid"]): r["window"] for r in views.lookback_windows(view, sampled, lookback, 5).collect()}
+    got = {(r["date"], r["sid"]): r["window"] for r in views.lookback_windows(view, sampled, lookback, 5, span).collect()}
     known = {(r[1], r[2]): encoded(r) for r in data}
     want = {(r[0], r[1]) for r in data if r[2] >= lookback - 1 and (r[1] != "b" or r[2] > 4)}
     assert set(got) == want
