@@ -88,7 +88,7 @@ def _tokens(text: str) -> Iterator[tuple[int, int]]:
         start = dot
         while start > done and text[start - 1] in _TOKEN_CHARS:
             start -= 1
-        start = text.find("eyJ", start, dot - 1)  # a character at least between "eyJ" and the dot
+        start = text.find("eyJ", start, max(dot - 1, 0))  # a character at least between "eyJ" and the dot
         rest = _TOKEN_REST.match(text, dot) if start >= 0 else None
         if rest:
             done = rest.end()
