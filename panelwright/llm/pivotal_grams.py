@@ -4,11 +4,11 @@ Bigrams are ordered from rare to common over all words. A word's prefix is its t
 one edit changes at most two bigrams, so two words one edit apart share a bigram of their prefixes. Its pivots are two of them that don't
 overlap, chosen by dynamic programming for the least total frequency: one edit spoils one of them at most. Of two words the one whose prefix
 ends with the rarer bigram looks up its pivots in the other's prefix. The position limit is exact: if the edit lies behind
-the pivot, both words are the same up to the pivot's end, else from its start on; so the index is by that head or tail and by length. All
-that meets there is verified by edit distance.
+the pivot, both words are the same up to the pivot's end, else from its start on. Of what is left the edit can't spoil both halves, so the
+index is by place, length and head or tail with the half that is the same. All that meets there is verified by edit distance.
 
-Lists are joined as shuffled rows, never gathered: a list is no larger than the words that share a head or tail and a length within one, and
-adaptive execution splits the largest. A word of n code points has at most 2 * 90 * (n + 1) near words, so grouping pairs by word is bounded. The
+Lists are joined as shuffled rows, never gathered: a list is no larger than the words of one length that share a bigram, its place and half of
+the other letters, and adaptive execution splits the largest. A word of n code points has at most 2 * 90 * (n + 1) near words, so grouping pairs by word is bounded. The
 table of bigrams holds at most 90 * 90 = 8,100 of them, whatever the input.
 
 Defined cases: a null text has no words; a null id counts as an empty one; repeated rows count as often as they occur; a text of any length is read
@@ -135,14 +135,22 @@ def near_pairs(words: DataFrame) -> DataFrame:
     size = F.char_length("word")
 
     def keys(places: str, lengths: list[Column]) -> Column:
-        def of(i: Column) -> Column:
-            head, tail = F.substring("word", F.lit(1), i + 2), F.substring("word", i + 1, size)
-            return F.flatten(F.array(*[F.array(F.xxhash64(F.lit("head"), n, head), F.xxhash64(F.lit("tail"), n, tail)) for n in lengths]))
-
-        return F.explode(F.array_distinct(F.flatten(F.transform(places, of)))).alias("key")
-
-    asks = signed.select(keys("pivots", [size]), F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("last").alias("last_x"))
-    index = signed.select(keys("prefix", [size - 1, size, size + 1]), F.col("word").alias("y"), F.col("n").alias("n_y"), F.col("last").alias("last_y"))
+        """Keys of the places, for a word of the index of each given length: kind, length, place, and what both words have in common."""
+        def of(i: Column, length: Column) -> Column:
+            rest, behind = length - i - 2, size - i
+            front = length - behind
+            k, j = F.floor(rest / 2).cast("int"), F.floor(front / 2).cast("int")
+            return F.array(
+                F.when(rest >= 0, F.xxhash64(F.lit("head"), length, i, F.substring("word", F.lit(1), i + 2 + k))),
+                F.when(k > 0, F.xxhash64(F.lit("head, end"), length, i, F.substring("word", F.lit(1), i + 2), F.right("word", rest - k))),
+                F.when(front >= 0, F.xxhash64(F.lit("tail"), length, behind, F.right("word", behind + j))),
+                F.when(j > 0, F.xxhash64(F.lit("start, tail"), length, behind, F.substring("word", F.lit(1), front - j), F.right("word", behind))))
+
+        every = F.flatten(F.transform(places, lambda i: F.flatten(F.array(*[of(i, n) for n in lengths]))))
+        return F.explode(F.array_distinct(F.array_compact(every))).alias("key")
+
+    asks = signed.select(keys("pivots", [size - 1, size, size + 1]), F.col("word").alias("x"), F.col("n").alias("n_x"), F.col("last").alias("last_x"))
+    index = signed.select(keys("prefix", [size]), F.col("word").alias("y"), F.col("n").alias("n_y"), F.col("last").alias("last_y"))
     met = asks.join(index, "key").filter((F.col("last_x") <= F.col("last_y")) & (F.col("x") != F.col("y")) & (F.levenshtein("x", "y", EDITS) == EDITS))
     x, y = F.struct(F.col("x").alias("w"), F.col("n_x").alias("n")), F.struct(F.col("y").alias("w"), F.col("n_y").alias("n"))
     pair = met.select(F.least(x, y).alias("p"), F.greatest(x, y).alias("q"))
