@@ -18,6 +18,8 @@ from panelwright.functions.schema import (
     struct_fields,
 )
 
+STATE_FIELDS = ("sample_state", "market_state", "factor_state")
+
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(key_groups, duplicate_rows): keys that repeat, and rows beyond the first of each key."""
@@ -137,21 +139,22 @@ def missing_ratio_profile(panel: DataFrame) -> DataFrame:
 
 def state_sets(panel: DataFrame) -> DataFrame:
     """(state_column, state): the states that occur. Each column has a handful."""
-    names = ("sample_state", "market_state", "factor_state")
-    items = [F.struct(F.lit(n).alias("state_column"), F.col(f"status.{n}").alias("state")) for n in names]
+    items = [F.struct(F.lit(n).alias("state_column"), F.col(f"status.{n}").alias("state")) for n in STATE_FIELDS]
     return panel.select(F.inline(F.array(*items))).distinct()
 
 
 def sanity_findings(panel: DataFrame) -> DataFrame:
     """(severity, check, message) for every failed distribution check; no rows means all passed."""
     flags = {f: F.count_if(F.col(f"status.{f}")).alias(f) for f in BOOLEAN_STATUS_FIELDS}
-    sets = {
-        s: F.collect_set(f"status.{s}").alias(s) for s in ("sample_state", "market_state", "factor_state")
-    }
+    sets = {s: F.collect_set(f"status.{s}").alias(s) for s in STATE_FIELDS}
     ratio = F.col("status.factor_missing_ratio")
-    facts = panel.agg(
+    return findings_of(panel.agg(
         F.count(F.lit(1)).alias("n"), *flags.values(), *sets.values(), F.min(ratio).alias("lo"), F.max(ratio).alias("hi")
-    )
+    ))
+
+
+def findings_of(facts: DataFrame) -> DataFrame:
+    """The findings from one row of facts: n, the true flags, the states that occur, and the span (lo, hi) of the missing ratio."""
     n = F.col("n")
     findings = [_finding("FAIL", "empty", "panel has no rows", n == 0)]
     some = n > 0

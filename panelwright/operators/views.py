@@ -13,20 +13,27 @@ USABLE = "status.sample_usable_for_feature"
 
 def tabular_view(
     panel: DataFrame,
-    target: DataFrame | None,
+    target: DataFrame | str | None,
     include: str | None = None,
     exclude: str | None = None,
     fundamentals: list[str] | None = None,
 ) -> DataFrame:
-    """(date, sid, td_idx, features, y, y_valid, usable); without a target every label is 0 and invalid."""
+    """(date, sid, td_idx, features, y, y_valid, usable); without a target every label is 0 and invalid.
+
+    The target is a table, joined by key, or the name of a label column of the panel, which then is derived once and joined to nothing.
+    """
     names = select_features(feature_names(panel), include, exclude, fundamentals)
+    own = [F.col(f"{target}.value").alias("y"), F.coalesce(F.col(f"{target}.valid"), F.lit(False)).alias("y_valid")] if isinstance(target, str) else []
     rows = panel.select(
         "date",
         "sid",
         "td_idx",
         F.array(*[F.col(f"feature.`{n}`").cast("float") for n in names]).alias("features"),
         F.col(USABLE).alias("usable"),
+        *own,
     )
+    if own:
+        return rows.select("date", "sid", "td_idx", "features", "usable", "y", "y_valid")
     if target is None:
         return rows.withColumns({"y": F.lit(0.0).cast("float"), "y_valid": F.lit(False)})
     label = target.select("date", "sid", F.col("label.value").alias("y"), F.col("label.valid").alias("y_valid"))
@@ -54,19 +61,25 @@ def encode_features(values: Column, present: Column) -> Column:
 
 
 def encoded_view(
-    panel: DataFrame, regression: DataFrame | None, classification: DataFrame | None,
+    panel: DataFrame, regression: DataFrame | str | None, classification: DataFrame | str | None,
     include: str | None = None, exclude: str | None = None,
 ) -> DataFrame:
-    """(date, sid, td_idx, x, present, y_ret, y_mom, ret_mask, mom_mask, both_mask) for panel rows."""
+    """(date, sid, td_idx, x, present, y_ret, y_mom, ret_mask, mom_mask, both_mask) for panel rows.
+
+    Targets are tables, joined by key, or names of label columns of the panel, as `build_targets` keeps them beside its rows.
+    """
     names = select_features(feature_names(panel), include, exclude)
     values = F.array(*[F.col(f"feature.`{n}`").cast("float") for n in names])
     # A row without a factor record is absent features, each flagged as missing.
     present = F.col(USABLE)
-    rows = panel.select("date", "sid", "td_idx", encode_features(values, present).alias("x"), present.alias("present"))
-    for target, value, mask in ((regression, "_ret", "ret_mask"), (classification, "_mom", "mom_mask")):
+    wanted = ((regression, "_ret", "ret_mask"), (classification, "_mom", "mom_mask"))
+    own = [c for target, value, mask in wanted if isinstance(target, str)
+           for c in (F.col(f"{target}.value").alias(value), F.coalesce(F.col(f"{target}.valid"), F.lit(False)).alias(mask))]
+    rows = panel.select("date", "sid", "td_idx", encode_features(values, present).alias("x"), present.alias("present"), *own)
+    for target, value, mask in wanted:
         if target is None:
             rows = rows.withColumns({value: F.lit(None).cast("float"), mask: F.lit(False)})
-        else:
+        elif not isinstance(target, str):
             block = target.select(
                 "date", "sid", F.col("label.value").alias(value), F.col("label.valid").alias(mask)
             )

@@ -779,6 +779,17 @@ SELECT split, count(*) AS n_rows, count(DISTINCT date) AS n_days, count(DISTINCT
        count(*) AS n_finite FROM keep WHERE size_ >= 3 GROUP BY split""")
     sql["panel_store_range"] = _with(EVENTS, select=f"""
 SELECT date, sid, td AS td_idx, {_r('"close"', '"close"')}, sample_state FROM panel WHERE date >= DATE '2024-01-10' AND date < DATE '2024-01-20'""")
+    sql["sanity_from_years"] = _sanity()
+    sql["histogram_from_years"] = _with(SUPPLIERS, select=hist)
+    sql["target_profile_from_years"] = _profile((SUPPLIERS, _return("return_5d")), "return_5d")
+    sql["panel_year_replaced"] = _with(SUPPLIERS, select=f"""
+SELECT date, sid, td AS td_idx, {_r('volume * CASE WHEN year(date) = 1996 THEN 2 ELSE 1 END', 'volume')}, sample_state FROM panel""")
+    union = "\nUNION ALL ".join(f"""
+SELECT '{f}' AS feature, count(*) AS n_rows, var_pop(CAST({f} AS DOUBLE)) AS variance, avg(CAST({f} IS NULL AS INTEGER)) AS missing_rate, {str(f[:2] == 'w1' and len(f) == 3).lower()} AS out_
+FROM rows_""".strip() for f in WIDE_FEATURES)
+    sql["feature_screen_wide"] = _with(WIDE, _return("return_c0c1"), LABELLED_ROWS, f"prof AS ({union})", select=f"""
+SELECT feature, n_rows, round(variance, 2) AS variance, {_r('missing_rate', 'missing_rate')},
+       coalesce(variance > 0, false) AND missing_rate < 0.02 AND NOT out_ AS kept FROM prof""")
     sql["calendar_csv"] = """
 SELECT DISTINCT CAST(l_shipdate AS DATE) AS date, true AS is_open FROM lineitem
 WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1998-12-31'"""

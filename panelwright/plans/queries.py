@@ -11,7 +11,7 @@ from panelwright.functions.schema import (
     MARKET_FIELDS, STATUS_FIELDS, encoded_positions, feature_names, select_features,
 )
 from panelwright.operators import assets, boosting, cross_section as xs, cube, labels, losses, panel as panels, profiles, quality, ranker
-from panelwright.operators import ranks, screening, splits, views
+from panelwright.operators import ranks, screening, splits, statistics, views
 from panelwright.operators.staging import scratch_dir, stage, tune
 from panelwright.plans.fixtures import (
     PanelTables, event_factors, event_tables, supplier_bars, supplier_tables, table, wide_tables,
@@ -399,9 +399,12 @@ def joint_train_mask(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    t, names = event_tables(spark, sf), ("return_c0c1", "momentum_cls")
-    blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe(n) for n in names]))
-    return t.panel, labels.label_panel(t.panel, {n: blocks.select("date", "sid", F.col(n).alias("label")) for n in names})
+    """The panel and its targets, each stored in buckets of the key: they are joined where they lie."""
+    t, names, keys = event_tables(spark, sf), ("return_c0c1", "momentum_cls"), ["date", "sid"]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    panel = spark.read.table(files.bucketed(t.panel, keys, buckets))
+    blocks = spark.read.table(files.bucketed(labels.build_targets(panel, t.calendar, [labels.make_recipe(n) for n in names]), keys, buckets))
+    return panel, labels.label_panel(panel, {n: blocks.select("date", "sid", F.col(n).alias("label")) for n in names})
 
 
 @query
@@ -482,9 +485,14 @@ def time_split_days(spark: SparkSession, sf: str) -> DataFrame:
     return splits.split_days(calendar, splits.split_ranges(calendar, SPLIT_DATES, lookback=60)).select("date", "td_idx", "split")
 
 
+def _with_labels(t: PanelTables, *names: str) -> DataFrame:
+    """What views need of the panel, with labels beside it: derived once, joined to nothing."""
+    return labels.build_targets(t.panel, t.calendar, [labels.make_recipe(n) for n in names], keep=["td_idx", "feature", "status"])
+
+
 def _supplier_view(spark: SparkSession, sf: str, label: str = "return_c0c1") -> tuple[PanelTables, DataFrame]:
     t = supplier_tables(spark, sf)
-    view = views.tabular_view(t.panel, labels.build_target(t.panel, t.calendar, label), exclude="(?i)scratch", fundamentals=["fund__top_price"])
+    view = views.tabular_view(_with_labels(t, label), label, exclude="(?i)scratch", fundamentals=["fund__top_price"])
     return t, splits.with_split(view, t.calendar, splits.split_ranges(t.calendar, SPLIT_DATES))
 
 
@@ -498,7 +506,7 @@ def feature_screen(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def tabular_view(spark: SparkSession, sf: str) -> DataFrame:
     t = event_tables(spark, sf)
-    view = views.tabular_view(t.panel, labels.build_target(t.panel, t.calendar, "return_c1c2"), include="f[12]$")
+    view = views.tabular_view(_with_labels(t, "return_c1c2"), "return_c1c2", include="f[12]$")
     return rounded(view.select("date", "sid", *[F.get("features", F.lit(i)).alias(n) for i, n in enumerate(("f1", "f2"))], "y", "y_valid", "usable"))
 
 
@@ -525,10 +533,7 @@ def view_metadata(spark: SparkSession, sf: str) -> DataFrame:
 
 def _event_encoded(spark: SparkSession, sf: str) -> tuple[PanelTables, DataFrame, int]:
     t = event_tables(spark, sf)
-    # Both labels come from one stored block, as a pipeline would keep it.
-    blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")]))
-    ret, mom = (blocks.select("date", "sid", F.col(n).alias("label")) for n in ("return_c0c1", "momentum_cls"))
-    return t, views.encoded_view(t.panel, ret, mom), 2 * len(feature_names(t.panel)) + 1
+    return t, views.encoded_view(_with_labels(t, "return_c0c1", "momentum_cls"), "return_c0c1", "momentum_cls"), 2 * len(feature_names(t.panel)) + 1
 
 
 def _cells(df: DataFrame, width: int, x: str = "x") -> list[Column]:
@@ -620,9 +625,7 @@ def lookback_window_stats(spark: SparkSession, sf: str) -> DataFrame:
 def lookback_supplier_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of 60 days over the suppliers' years, reduced as above."""
     t = supplier_tables(spark, sf)
-    blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")]))
-    ret, mom = (blocks.select("date", "sid", F.col(n).alias("label")) for n in ("return_c0c1", "momentum_cls"))
-    view, width = stage(views.encoded_view(t.panel, ret, mom)), 2 * len(feature_names(t.panel)) + 1
+    view, width = stage(views.encoded_view(_with_labels(t, "return_c0c1", "momentum_cls"), "return_c0c1", "momentum_cls")), 2 * len(feature_names(t.panel)) + 1
     sampled = xs.sample_per_day(view.select("date", "sid", "td_idx", "present"), SAMPLE_K, "present")
     windows = views.lookback_windows(view, sampled.select("date", "sid", "td_idx"), 60, width)
     return rounded(windows.select("date", "sid", *_window_stats(width, 60), "y_ret", F.col("y_mom").cast("int").alias("y_mom"), *MASKS))
@@ -637,10 +640,8 @@ def view_report(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def view_by_year(spark: SparkSession, sf: str) -> DataFrame:
     t = supplier_tables(spark, sf)
-    # Both labels come from one stored block, as a pipeline would keep it.
-    blocks = stage(labels.build_targets(t.panel, t.calendar, [labels.make_recipe("return_c0c1"), labels.make_recipe("momentum_cls")]))
-    ret, mom = (blocks.select("date", "sid", F.col(n).alias("label")) for n in ("return_c0c1", "momentum_cls"))
-    return rounded(profiles.view_by_year(views.encoded_view(t.panel, ret, mom), t.calendar))
+    view = views.encoded_view(_with_labels(t, "return_c0c1", "momentum_cls"), "return_c0c1", "momentum_cls")
+    return rounded(profiles.view_by_year(view, t.calendar))
 
 
 # --- cross-section -------------------------------------------------------------------------
@@ -648,8 +649,7 @@ def view_by_year(spark: SparkSession, sf: str) -> DataFrame:
 
 def _event_labelled_rows(spark: SparkSession, sf: str) -> DataFrame:
     t = event_tables(spark, sf)
-    view = views.tabular_view(t.panel, labels.build_target(t.panel, t.calendar, "return_c0c1"))
-    return view.where("y_valid and usable")
+    return views.tabular_view(_with_labels(t, "return_c0c1"), "return_c0c1").where("y_valid and usable")
 
 
 @query
@@ -684,7 +684,9 @@ def relevance_bins_desc(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def ranking_dataset(spark: SparkSession, sf: str) -> DataFrame:
     _, view = _supplier_view(spark, sf)
-    return rounded(xs.ranking_rows(stage(view.where("y_valid and usable")), min_group_size=5, n_bins=10, clip_y_abs=0.5).select("date", "sid", "split", "y_raw", "relevance"))
+    # The rows go out without features, so features are not stored.
+    rows = stage(view.where("y_valid and usable").select("date", "sid", "split", "y", "y_valid", "usable"))
+    return rounded(xs.ranking_rows(rows, min_group_size=5, n_bins=10, clip_y_abs=0.5).select("date", "sid", "split", "y_raw", "relevance"))
 
 
 @query
@@ -885,6 +887,59 @@ def panel_store_range(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df)
 
 
+@query
+def panel_year_replaced(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored panel of which one year is written again, twice, with other volumes and drifted types."""
+    path, t = scratch_dir(spark, "panel"), supplier_tables(spark, sf)
+    rows = t.panel.select("date", "sid", "td_idx", F.col("market.volume").alias("volume"), F.col("status.sample_state").alias("sample_state"))
+    files.write_panel(rows, path)
+    year = stage(spark.read.parquet(path).where("year = 1996").drop("year"))
+    for times in (3, 2):
+        files.replace_years(year.select("date", "sid", F.col("td_idx").cast("long").alias("td_idx"), (F.col("volume") * times).alias("volume"), "sample_state"), path)
+    return rounded(spark.read.parquet(path).drop("year"))
+
+
+@query
+def sanity_from_years(spark: SparkSession, sf: str) -> DataFrame:
+    """Findings on a stored panel from the states of its years, of which the last was added afterwards and one corrected."""
+    path, states = scratch_dir(spark, "panel"), scratch_dir(spark, "states")
+    files.write_panel(supplier_tables(spark, sf).panel, path)
+    panel = spark.read.parquet(path)
+    years = sorted(r["year"] for r in panel.select("year").distinct().collect())
+    for some in (years[:-1], years[-1:], years[:1]):
+        statistics.update_panel_states(panel, states, some)
+    return statistics.merged_findings(spark.read.parquet(states))
+
+
+@query
+def histogram_from_years(spark: SparkSession, sf: str) -> DataFrame:
+    """The sample states of the whole panel from those of its years."""
+    states = scratch_dir(spark, "states")
+    statistics.update_panel_states(supplier_tables(spark, sf).panel, states)
+    return rounded(statistics.merged_histogram(spark.read.parquet(states)))
+
+
+@query
+def target_profile_from_years(spark: SparkSession, sf: str) -> DataFrame:
+    """Profile of a stored target from the states of its years, added in two steps."""
+    path, states = scratch_dir(spark, "target"), scratch_dir(spark, "states")
+    files.write_panel(_supplier_target(spark, sf, "return_5d"), path)
+    target = spark.read.parquet(path)
+    years = sorted(r["year"] for r in target.select("year").distinct().collect())
+    for some in (years[:-1], years[-1:]):
+        statistics.update_target_states(target, states, some)
+    return rounded(statistics.merged_profile(spark, states))
+
+
+@query
+def feature_screen_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Variance and missing rate of two hundred factors, over all rows with a label."""
+    t = wide_tables(spark, sf)
+    view = views.tabular_view(_with_labels(t, "return_c0c1"), "return_c0c1")
+    found = screening.feature_profile(view, feature_names(t.panel), missing_drop_thresh=0.02, exclude="w1[0-9]$")
+    return rounded(found.withColumn("variance", F.round("variance", 2)))
+
+
 @query
 def calendar_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Ship dates as a CSV calendar with repeated days, read back for a range."""

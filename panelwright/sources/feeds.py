@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from panelwright.functions.identifiers import normalise_date, normalise_symbol
 from panelwright.functions.missing import fractional_columns, nan_to_null
 from panelwright.functions.schema import MARKET_FIELDS, REQUIRED_BAR_FIELDS
+from panelwright.operators.staging import stage
 from panelwright.sources.tables import union_all, yearly_groups
 
 # Accepted names of each field, best first.
@@ -44,6 +45,19 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in payload])
 
 
+def keep_first_by_position(df: DataFrame, keys: Sequence[str], position: Sequence[str]) -> DataFrame:
+    """One row per key: the first by `position`, which names each row of the feed once. The position columns are left out.
+
+    Which keys occur more than once, and where first, is found on keys and positions alone. Only those few keys meet the wide rows, which are
+    filtered where they are if the planner sees that the keys are few, and shuffled once if they are not; wide rows are never gathered or sorted by an aggregate.
+    """
+    spot = F.struct(*position)
+    firsts = df.select(*keys, *position).groupBy(*keys).agg(F.min(spot).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    repeated = stage(firsts.where("_n > 1").select(*keys, "_first"))
+    kept = df.join(repeated, list(keys), "left").where(F.col("_first").isNull() | (spot == F.col("_first")))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns if c not in position])
+
+
 def _keyed(df: DataFrame, date: str, sid: str) -> DataFrame:
     """Rows with a readable date and an identifier; tested on the raw identifier, which is cheap to push down."""
     return df.where(F.col(sid).isNotNull() & _date(df, date).isNotNull())
@@ -132,7 +146,8 @@ def read_bars(spark: SparkSession, directory: str, start_year: int | None = None
     """Clean bars of a yearly directory. Files of equal schema are normalised together, each group by its own column names and types.
     Duplicates across files are resolved too, not only within one."""
     order = ["_file", "_row"]
-    return _first_of(union_all([_clean_bars(df, order) for df in yearly_groups(spark, directory, start_year, end_year)]), order)
+    clean = union_all([_clean_bars(df, order) for df in yearly_groups(spark, directory, start_year, end_year)])
+    return keep_first_by_position(clean, ["date", "sid"], ["_o0", "_o1"])
 
 
 def read_factors(
@@ -143,7 +158,8 @@ def read_factors(
     exclude: Iterable[str] = (),
 ) -> DataFrame:
     order = ["_file", "_row"]
-    return _first_of(union_all([_clean_factors(df, order, exclude) for df in yearly_groups(spark, directory, start_year, end_year)]), order)
+    clean = union_all([_clean_factors(df, order, exclude) for df in yearly_groups(spark, directory, start_year, end_year)])
+    return keep_first_by_position(clean, ["date", "sid"], ["_o0", "_o1"])
 
 
 def bar_keys(bars: DataFrame) -> DataFrame:

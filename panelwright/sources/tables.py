@@ -83,8 +83,8 @@ def read_date_range(spark: SparkSession, path: str, start: str, end: str, column
     return df.select(*columns) if columns else df
 
 
-def write_panel(df: DataFrame, path: str, schema: T.StructType | None = None, mode: str = "overwrite", files_per_year: int = 16) -> None:
-    """Write a keyed table partitioned by year, each file ordered by (date, sid).
+def write_panel(df: DataFrame, path: str, schema: T.StructType | None = None, mode: str = "overwrite", files_per_year: int = 16, whole: bool = True) -> None:
+    """Write a keyed table partitioned by year, each file ordered by (date, sid). Without `whole`, overwriting replaces only the years that df holds.
 
     A year's instruments are dealt over `files_per_year` cells by a hash, and a cell is one file at most, whatever the size of a day (adaptive execution merges small ones).
     Unlike range bounds, which sample their input first, this computes the table once.
@@ -96,11 +96,25 @@ def write_panel(df: DataFrame, path: str, schema: T.StructType | None = None, mo
         .repartition("year", F.pmod(F.xxhash64("sid"), F.lit(files_per_year)))
         .sortWithinPartitions("date", "sid")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy("year")
         .parquet(path)
     )
 
 
+def replace_years(df: DataFrame, path: str, files_per_year: int = 16) -> None:
+    """Put the years that df holds in place of those stored by `write_panel`; other years' files are not touched, and years new to the store are added.
+
+    The store's schema is the contract: df must have its columns and no others, and each is cast to the stored type. Rows are written aside and moved in
+    when the job commits, so a failed or repeated job leaves the store with whole years.
+    """
+    spark = df.sparkSession
+    held = spark.read.parquet(path).drop("year").schema
+    if set(df.columns) != set(held.names):
+        raise ValueError(f"the store has the columns {sorted(held.names)}, the rows have {sorted(df.columns)}")
+    write_panel(df, path, held, "overwrite", files_per_year, whole=False)
+
+
 def bucketed(df: DataFrame, keys: list[str], buckets: int) -> str:
     """Store a table in buckets of its keys, each one sorted file, and return its name. Tables with the same keys and number of buckets
     join on all of them without an exchange. Keys that a row holds once spread over the buckets evenly."""
