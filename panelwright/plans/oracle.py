@@ -463,6 +463,9 @@ SELECT date, sid, {_r('l_extendedprice', '"open"')}, {_r('l_extendedprice * 2',
     sql["yearly_factors_mixed"] = _with(YEARLY, select=f"""
 SELECT date, sid, {_r('CAST(l_quantity AS FLOAT)', 'quantity')}, {_r('CASE WHEN layout <> 1 THEN CAST(l_discount AS FLOAT) END', 'discount')},
        {_r('CASE layout WHEN 1 THEN CAST(l_tax AS FLOAT) END', 'tax')} FROM firsts""")
+    sql["yearly_columns"] = f"""
+SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n, {_r('sum(l_quantity)', 'quantity')}, {_r('sum(CASE WHEN year(l_shipdate) % 2 = 0 THEN l_tax END)', 'tax')}
+FROM lineitem WHERE year(l_shipdate) BETWEEN 1994 AND 1996 GROUP BY 1"""
     sql["source_drop_counts"] = """
 SELECT count(*) AS n_rows, count(*) FILTER (bad_date) AS no_date, count(*) FILTER (NOT bad_date AND no_id) AS no_sid,
        count(*) FILTER (NOT bad_date AND NOT no_id) - count(DISTINCT CASE WHEN NOT bad_date AND NOT no_id THEN (CAST(l_shipdate AS DATE), l_suppkey) END) AS repeated
@@ -803,4 +806,14 @@ SELECT 'raw bars' AS table_name, count(*) AS n_rows FROM firsts UNION ALL SELECT
 UNION ALL SELECT 'daily bars', count(*) FROM bars UNION ALL SELECT 'factor values', count(*) FROM fac
 UNION ALL SELECT 'instrument master', count(*) FROM master UNION ALL SELECT 'trading calendar', count(*) FROM cal
 UNION ALL SELECT 'panel', count(*) FROM panel""")
+    screened = "\nUNION ALL ".join(f"""
+SELECT '{name}' AS feature, CAST({i} AS INTEGER) AS position, count(*) AS n_rows, round(var_pop(CAST({col} AS DOUBLE)), 2) AS variance
+FROM tab WHERE split IS NOT NULL AND y_valid AND usable""".strip() for i, (name, col) in enumerate((("discount", "discount"), ("fund__top_price", "top_price"), ("tax", "tax"))))
+    sql["run_features_store"] = _with(*SUPPLIER_VIEW_PARTS, f"kept AS ({screened})", select="""
+SELECT r.run_id, k.position, k.feature, k.n_rows, k.variance FROM kept k CROSS JOIN (SELECT unnest(['first', 'second']) AS run_id) r""")
+    sql["contracts_broken"] = _with(EVENTS, select="\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{f}' AS fault, count(*) AS n_rows, true AS refused FROM {rows}" for t, f, rows in (
+            ("daily bars", "repeated keys", "bars WHERE volume <= 0"), ("factor values", "repeated keys", "fac WHERE f2 IS NULL"), ("factor values", "no features", "fac"),
+            ("instrument master", "no list date", "master WHERE list_date >= DATE '2024-01-01'"), ("trading calendar", "repeated days", "cal"), ("panel", "a label inside", "panel"),
+            ("panel", "repeated keys", "panel WHERE is_suspended"), ("labelled panel", "no such label", "panel"))))
     return sql

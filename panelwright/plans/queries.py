@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwright.functions.identifiers import normalise_symbol
 from panelwright.functions.schema import (
-    MARKET_FIELDS, STATUS_FIELDS, encoded_positions, feature_names, select_features,
+    MARKET_FIELDS, STATUS_FIELDS, SchemaError, encoded_positions, feature_names, select_features,
 )
 from panelwright.operators import assets, boosting, cross_section as xs, cube, labels, losses, panel as panels, profiles, quality, ranker
 from panelwright.operators import ranks, screening, splits, statistics, views
@@ -138,6 +138,17 @@ def yearly_factors_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(feeds.read_factors(spark, path, exclude=["scratch"]))
 
 
+@query
+def yearly_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Two columns of three years of a yearly feed, one of which some years lack, with duplicates in."""
+    path = scratch_dir(spark, "factors")
+    quantity, tax = F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax")
+    _write_years(spark, sf, path, [[F.col("day").alias("date"), quantity, tax], [F.col("day").alias("date"), quantity.cast("float"), F.col("l_discount").alias("discount")]])
+    rows = files.read_yearly(spark, path, 1994, 1996, ["quantity", "tax"])
+    return rounded(rows.groupBy(F.regexp_extract("_file", r"year=(\d+)", 1).cast("int").alias("year")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("quantity"), F.sum("tax").alias("tax")))
+
+
 @query
 def source_drop_counts(spark: SparkSession, sf: str) -> DataFrame:
     return feeds.drop_counts(_raw_bars(spark, sf))
@@ -997,3 +1008,44 @@ def contracts_hold(spark: SparkSession, sf: str) -> DataFrame:
         rows = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@query
+def run_features_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Features that screening keeps, in order, appended for two runs to one table and read back with what they hold."""
+    t, view = _supplier_view(spark, sf)
+    names = select_features(feature_names(t.panel), exclude="(?i)scratch", fundamentals=["fund__top_price"])
+    profile = stage(screening.feature_profile(view, names, exclude="(?i)quantity").withColumn("variance", F.round("variance", 2)))
+    path = scratch_dir(spark, "features")
+    for run_id in ("first", "second"):
+        files.append_run_features(spark, screening.kept_features(profile), run_id, path)
+    return spark.read.parquet(path).join(profile, "feature").select("run_id", "position", "feature", "n_rows", "variance")
+
+
+@query
+def contracts_broken(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables with a fault each: how many rows are at fault, and that the contract refuses the table."""
+    t = event_tables(spark, sf)
+    panel, idle = stage(t.panel), F.col("market.volume") <= 0
+    daily, factors, master = stage(t.daily), stage(t.factors), stage(t.master)
+    late = F.col("list_date") >= "2024-01-01"
+    faults = [
+        ("daily bars", "repeated keys", quality.validate_daily_bars, daily.unionByName(daily.where(idle)), daily.where(idle)),
+        ("factor values", "repeated keys", quality.validate_factor_values, factors.unionByName(factors.where("feature.f2 is null")), factors.where("feature.f2 is null")),
+        ("factor values", "no features", quality.validate_factor_values, factors.select("date", "sid"), factors),
+        ("instrument master", "no list date", quality.validate_instrument_master, master.withColumn("list_date", F.when(~late, F.col("list_date"))), master.where(late)),
+        ("trading calendar", "repeated days", quality.validate_trading_calendar, t.calendar.unionByName(t.calendar), t.calendar),
+        ("panel", "a label inside", quality.validate_panel, panel.withColumn("label", F.col("td_idx")), panel),
+        ("panel", "repeated keys", quality.validate_panel, panel.unionByName(panel.where("status.is_suspended")), panel.where("status.is_suspended")),
+        ("labelled panel", "no such label", lambda df: quality.validate_labels_exist(df, ["return_c0c1"]), panel, panel),
+    ]
+    out = None
+    for name, fault, validate, df, at_fault in faults:
+        try:
+            validate(df)
+            refused = False
+        except SchemaError:
+            refused = True
+        row = at_fault.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), F.lit(fault).alias("fault"), "n_rows", F.lit(refused).alias("refused"))
+        out = row if out is None else out.unionByName(row)
+    return out
