@@ -99,9 +99,11 @@ def sample(docs: DataFrame, id_column: str, text: str, lang: str, allowed: Colum
     rows = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_column).isNotNull()).select(
         F.col(id_column).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     rows = rows.withColumn("order", F.xxhash64("id"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} distinct languages: is {lang} a language column?")
+    # Labels beyond the commonest MAX_LANGUAGES, dirt as a rule, are not learned; all texts are still scored.
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r.lang: r.n for r in common.collect()}
+    if len(counts) == MAX_LANGUAGES:
+        rows = rows.filter(F.col("lang").isin(*counts))
     share = F.lit(1.0)
     for name, n in counts.items():
         if n > 2 * docs_each:
@@ -140,7 +142,7 @@ class Model:
     temperature: float = 1.0
     centre: np.ndarray | None = None
     spread: np.ndarray | None = None
-    limit: float = np.inf
+    limit: np.ndarray | float = np.inf  # for each language
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,7 +287,9 @@ def calibrate(model: Model, langs: list[str], n: np.ndarray, entropy: np.ndarray
                 model.centre[i] = np.median(best[mine])
                 model.spread[i] = max(0.02, 1.4826 * np.median(np.abs(best[mine] - model.centre[i])))
                 z[mine] = (best[mine] - model.centre[i]) / (model.spread[i] * _spread(n[mine]))
-    model.limit = 1.5 * max(8.0, float(z.max(initial=0.0)))  # no text of the calibration set is near it
+    # Half as far again as all but the oddest hundredth of a language's own texts: one odd label moves neither its own limit nor another's.
+    limits = [float(np.quantile(z[own == i], 0.99)) if (own == i).any() else 0.0 for i in range(len(model.languages))]
+    model.limit = 1.5 * np.maximum(8.0, np.array(limits))
     return [x for x, c in zip(model.languages, model.centre) if np.isnan(c)]
 
 
@@ -385,7 +389,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 pick, best = entropy.argmin(axis=1), entropy.min(axis=1)
                 lang = [model.languages[i] if k else UND for i, k in zip(pick.tolist(), n.tolist())]
                 score = np.where(n > 0, _confidence(entropy, n, model.temperature), 0.0)
-                far = (best - model.centre[pick]) / (model.spread[pick] * _spread(n)) > model.limit
+                far = (best - model.centre[pick]) / (model.spread[pick] * _spread(n)) > np.broadcast_to(model.limit, len(model.languages))[pick]
                 rejected, best = (n == 0) | far, np.where(n > 0, best, 0.0)
             extra = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(best, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *names])

@@ -224,9 +224,20 @@ def content_share(chain: Chain, w: Words, lines: Lines, x: np.ndarray) -> np.nda
     return content / np.maximum(w.count, 1)
 
 
+def keep_threshold(good: list[float], bad: list[float], most: float = 0.5, worth: float = 3.0) -> float:
+    """The content share from which a text stays: of the shares up to `most` the one under which the share of good texts lost, `worth` times over, and that of
+    bad texts kept are least in sum, the greatest of equals. A few wrong labels move either share by as little as their number."""
+    if not good:
+        return 0.0
+    tried = np.unique([0.0, most, *[s for s in (*good, *bad) if s < most]])
+    lost, kept = (np.searchsorted(np.sort(x), tried, "left") / max(len(x), 1) for x in (good, bad))
+    price = worth * lost + (1 - kept if bad else 0.0)
+    return float(tried[np.flatnonzero(price <= price.min() + 1e-12)[-1]])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", quality: str = "quality",
           sample_docs: int = SAMPLE_DOCS) -> Chain:
-    """Fit on at most sample_docs labelled texts of each kind, and set the share below which a text goes so that good ones stay."""
+    """Fit on at most sample_docs labelled texts of each kind, and set the share below which a text goes from both kinds."""
     kinds = (labels.filter(F.col(quality).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id"))
              .agg(F.min(quality).alias("least"), F.max(quality).alias("good")).filter("least = good").select("id", "good"))
     chosen = kinds.withColumn("rank", F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("id"), "id"))).filter(F.col("rank") <= sample_docs)
@@ -255,12 +266,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     ys = [np.frombuffer(bytes(r.repeated), bool).astype(np.int64) if r.good else np.ones(len(x), np.int64) for r, x in zip(found, xs)]
     cut = [(x[i:i + CHAIN], y[i:i + CHAIN]) for x, y in zip(xs, ys) for i in range(0, len(x), CHAIN)]
     chain = fit([x for x, _ in cut], [y for _, y in cut])
-    shares = []
+    shares: dict[int, list[float]] = {0: [], 1: []}
     for r, x in zip(found, xs):
         n = np.frombuffer(bytes(r.n), np.int64)
-        if r.good and n.sum() >= MIN_WORDS:
-            shares.append(n[np.array(decode(chain, chain.weights[x].sum(axis=1).tolist())) == 0].sum() / n.sum())
-    chain.threshold = min(0.5, float(np.quantile(shares, 0.005))) if shares else 0.0
+        if n.sum() >= MIN_WORDS:
+            shares[r.good].append(n[np.array(decode(chain, chain.weights[x].sum(axis=1).tolist())) == 0].sum() / n.sum())
+    chain.threshold = keep_threshold(shares[1], shares[0])
     return chain
 
 

@@ -90,9 +90,19 @@ def weights(totals: DataFrame, exponent: float, budget: float | None = None) ->
 def mix(rows: DataFrame, plan: DataFrame, id_column: str, source: str, tokens: str, seed: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """A row per use of an input row: its columns, and weight, epoch (from 0), block and position (from 1) in the block's permutation of that epoch.
 
-    Rows of a block share source and a hash of id and tokens, so rows that repeat an id stay together.
+    Rows of a block share source and a hash of id and tokens. Rows that agree in all three more often than a block holds, null ids for one, are told apart by a
+    number stored with them and spread as well.
     """
     n_sources = plan.count()
+    columns, counted = rows.columns, F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0))
+    alike = fresh(rows, "like_id", "like_source", "like_size", "alike", "number")
+    (like_id, like_source, like_size, many, number), same = alike, F.lit(False)
+    heavy = stage(rows.groupBy(F.col(id_column).alias(like_id), F.col(source).alias(like_source), counted.alias(like_size)).agg(F.count(F.lit(1)).alias(many))
+                  .filter(F.col(many) > block_rows), "mix-alike")
+    if not heavy.isEmpty():
+        rows = stage(rows.withColumn(number, F.monotonically_increasing_id()), "numbered")
+        met = F.col(id_column).eqNullSafe(F.col(like_id)) & F.col(source).eqNullSafe(F.col(like_source)) & (counted == F.col(like_size))
+        rows, same = rows.join(heavy, met, "left").drop(like_id, like_source, like_size), F.col(many).isNotNull()
     names = fresh(rows, "mix_source", "mix_n", "weight", "repeats", "block", "epoch", "position", "size", "order", "upto", "whole", "total")
     key, n, weight, repeats, block, epoch, position, size, order, upto, whole, total = names
     side = plan.select(F.col("source").alias(key), F.col("n").alias(n), F.col("weight").alias(weight), F.col("repeats").alias(repeats))
@@ -100,7 +110,8 @@ def mix(rows: DataFrame, plan: DataFrame, id_column: str, source: str, tokens: s
     df = rows.join(side, F.col(source).eqNullSafe(F.col(key)), "inner")
 
     def shuffled(*parts: Column) -> Column:
-        return F.xxhash64(F.lit(seed), *parts, F.col(id_column).cast("string"), F.col(size))
+        known = [F.lit(seed), *parts, F.col(id_column).cast("string"), F.col(size)]
+        return F.when(same, F.xxhash64(*known, F.col(number))).otherwise(F.xxhash64(*known)) if number in df.columns else F.xxhash64(*known)
 
     df = (df.withColumn(size, F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)))
           .withColumn(block, F.pmod(shuffled(F.lit("block")), F.ceil(F.col(n) / block_rows)))
@@ -114,5 +125,5 @@ def mix(rows: DataFrame, plan: DataFrame, id_column: str, source: str, tokens: s
     df = (df.withColumn(whole, (F.col(whole) + F.when(more, 1).otherwise(0)).cast("int")).filter(F.col(whole) > 0)
           .withColumn(epoch, F.explode(F.sequence(F.lit(0), F.col(whole) - 1))))
     df = df.withColumn(position, F.row_number().over(
-        Window.partitionBy(key, block, epoch).orderBy(F.xxhash64(F.lit(seed), F.lit("epoch"), F.col(epoch), F.col(id_column).cast("string"), F.col(size)), id_column)))
-    return df.select(*rows.columns, weight, epoch, block, position)
+        Window.partitionBy(key, block, epoch).orderBy(shuffled(F.lit("epoch"), F.col(epoch)), id_column)))
+    return df.select(*columns, weight, epoch, block, position)

@@ -2,8 +2,8 @@
 
 A text longer than the largest capacity is cut into pieces, all full but the last; no token is dropped. Pieces
 are dealt evenly over shards of bounded size, without a key, so no source or id can fill a shard. In a shard they are
-placed longest first into the open bin with the least room that holds them. If there is none, the bin size is opened that costs least for
-each token it can still hope to hold, weighing all permitted lengths together. At the end
+placed longest first into the open bin with the least room that holds them; if there is none, a bin is opened. The sizes to open are chosen jointly: whole
+placements under several rules and size tables are priced and the cheapest is kept. At the end
 each bin shrinks to the smallest capacity that holds its contents.
 
 Defined cases: null, zero and negative lengths count as 0 and take a place in a bin without room of their own; ids may be null or repeat,
@@ -13,8 +13,11 @@ every row is placed; an empty table gives an empty result; other columns are not
 from __future__ import annotations
 
 import math
-from bisect import bisect_left, insort
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,6 +27,8 @@ from panelwright.llm.common import WORD, stage
 
 CAPACITIES = (512, 1_024, 2_048, 4_096, 8_192)
 SHARD_PIECES = 32_768
+LOOK_AHEAD = (1, 2, 4, 8)
+KINDS_TRIED = 16  # kinds of length whose size is varied in the search; the others keep the best common size
 _OUT = "piece int, start long, length long, bin_id long, position int, at long, capacity long"
 
 
@@ -37,16 +42,16 @@ def sequence_cost(capacity: int, overhead: float = 64.0, quadratic: float = 16_3
     return overhead + capacity + capacity * capacity / quadratic
 
 
-def best_fit(lengths: Sequence[int], capacities: Sequence[int], cost=sequence_cost) -> tuple[list[int], list[int], list[int]]:
-    """For pieces in falling length: bin and offset of each, and the final capacity of each bin."""
-    sizes = sorted(capacities)
-    price = [cost(c) for c in sizes]
+Rule = Callable[[int, int], int]  # (pieces placed so far, length of the next one) -> capacity of the bin to open for it
+
+
+def place(lengths: Sequence[int], sizes: Sequence[int], rule: Rule) -> tuple[list[int], list[int], list[int], Counter]:
+    """For pieces in falling length and rising sizes: bin and offset of each, the final capacity of each bin, and how often a kind of length opened one."""
     rooms: list[int] = []  # distinct rooms of open bins, rising
     open_bins: dict[int, list[int]] = {}
     used: list[int] = []
-    bins, offsets, left = [], [], sum(lengths)
-    for n in lengths:
-        left -= n
+    bins, offsets, openings = [], [], Counter()
+    for at, n in enumerate(lengths):
         i = bisect_left(rooms, n)
         if i < len(rooms):
             room = rooms[i]
@@ -55,7 +60,8 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], cost=sequence_co
                 del open_bins[room]
                 rooms.pop(i)
         else:
-            room = min((p / max(1, min(c, n + left)), c) for p, c in zip(price, sizes) if c >= n)[1]
+            room = rule(at, n)
+            openings[kind_of(n)] += 1
             b = len(used)
             used.append(0)
         bins.append(b)
@@ -67,7 +73,75 @@ def best_fit(lengths: Sequence[int], capacities: Sequence[int], cost=sequence_co
         else:
             open_bins[room] = [b]
             insort(rooms, room)
-    return bins, offsets, [sizes[bisect_left(sizes, u)] for u in used]
+    return bins, offsets, [sizes[bisect_left(sizes, u)] for u in used], openings
+
+
+def kind_of(n: int) -> tuple[int, int]:
+    """Lengths within a quarter of an octave."""
+    return n.bit_length(), n >> max(0, n.bit_length() - 3)
+
+
+def _hoped(lengths: Sequence[int], sizes: Sequence[int], price: Sequence[float]) -> Rule:
+    """The size that costs least for each token it could hold of all that are left."""
+    left = [*accumulate(reversed(lengths))][::-1]
+    return lambda at, n: min((p / max(1, min(c, left[at])), c) for p, c in zip(price, sizes) if c >= n)[1]
+
+
+def _looking_ahead(lengths: Sequence[int], sizes: Sequence[int], price: Sequence[float], steps: int) -> Rule:
+    """The size that costs least for each token, once shrunk, if it took the largest pieces that fit of those left, up to `steps` of them."""
+    rising = lengths[::-1]
+
+    def rule(at: int, n: int) -> int:
+        best = None
+        for c in sizes:
+            if c >= n:
+                room, left, fill = c - n, len(rising) - at - 1, n
+                for _ in range(steps):
+                    left = bisect_right(rising, room, 0, left) - 1
+                    if left < 0 or not rising[left]:
+                        break
+                    fill, room = fill + rising[left], room - rising[left]
+                found = (price[bisect_left(sizes, fill)] / max(1, fill), c)
+                best = found if best is None else min(best, found)
+        return best[1]
+
+    return rule
+
+
+def _by_kind(sizes: Sequence[int], chosen: dict[tuple[int, int], int]) -> Rule:
+    return lambda at, n: next(c for c in sizes if c >= max(n, chosen.get(kind_of(n), 0)))
+
+
+def best_fit(lengths: Sequence[int], capacities: Sequence[int], cost=sequence_cost) -> tuple[list[int], list[int], list[int]]:
+    """For pieces in falling length: bin and offset of each, and the final capacity of each bin.
+
+    What a size is worth to one piece depends on the sizes that all others open, so whole placements are compared, each with its bins shrunk to their contents:
+    those of rules that look at the pieces left, and those of a size for each kind of length, where the kinds that open most bins try every other
+    size in turn and keep it if the sum falls."""
+    sizes = sorted(capacities)
+    price = [cost(c) for c in sizes]
+    paid = dict(zip(sizes, price))
+
+    def tried(rule: Rule) -> tuple[float, tuple]:
+        made = place(lengths, sizes, rule)
+        return sum(map(paid.__getitem__, made[2])), made
+
+    def cheaper(a: tuple, b: tuple) -> tuple:
+        return b if b[0] < a[0] else a
+
+    best = reduce(cheaper, [tried(r) for r in (_hoped(lengths, sizes, price), *[_looking_ahead(lengths, sizes, price, k) for k in LOOK_AHEAD])])
+    kinds = {kind_of(n) for n in lengths}
+    starts = [{k: c for k in kinds} for c in sizes]
+    chosen = min(starts, key=lambda s: tried(_by_kind(sizes, s))[0])
+    own = tried(_by_kind(sizes, chosen))
+    for kind, _ in sorted(own[1][3].items(), key=lambda x: (-x[1], x[0]))[:KINDS_TRIED]:
+        for c in sizes:
+            trial = {**chosen, kind: c}
+            found = tried(_by_kind(sizes, trial))
+            if found[0] < own[0]:
+                own, chosen = found, trial
+    bins, offsets, caps, _ = cheaper(best, own)[1]
+    return bins, offsets, caps
 
 
 def pack(rows: DataFrame, id_column: str, length: str, capacities: Sequence[int] = CAPACITIES, shard_pieces: int = SHARD_PIECES) -> DataFrame:

@@ -502,3 +502,27 @@ def test_notices_of_other_licences_are_unknown(spark, tmp_path):
         expected = ("unknown", "unknown") if text in notices else ("none", "") if text in clean else ("mit", "mit,unknown")
         assert (out[i].license, out[i].families) == expected, text
     assert all(out[i].n_paragraphs == 1 and 0 <= out[i].probability <= 1 for i in range(len(notices)))
+
+
+def test_a_few_wrong_labels_leave_the_threshold():
+    rng = random.Random(8)
+    good, bad = [rng.uniform(0.8, 1) for _ in range(340)], [rng.uniform(0, 0.1) for _ in range(300)]
+    assert line_crf.keep_threshold(good, bad) == line_crf.keep_threshold([*good, 0.0, 0.0, 0.01, 0.02, 0.0], [*bad, 1.0, 0.9]) == 0.5
+    assert line_crf.keep_threshold([], bad) == 0.0 and line_crf.keep_threshold(good, []) == 0.5
+    assert line_crf.keep_threshold([0.3] * 50 + good, bad) <= 0.3  # many good texts of little content are worth more than some bad ones
+
+
+def test_one_odd_text_moves_no_language_s_limit(spark):
+    rng = random.Random(9)
+
+    def text(letters: str) -> str:
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(80))
+
+    rows = [(i, text(letters), lang) for k, (lang, letters) in enumerate((("aa", "abcdeio"), ("bb", "uvwxyst"))) for i in range(1_000 * k, 1_000 * k + 300)]
+    foreign = [(5_000 + i, text("βγδεζη"), None) for i in range(20)]
+    odd = [(9_000 + i, text("#0é1"), "aa") for i in range(1)]
+    df = spark.createDataFrame(rows + odd + foreign, "doc_id long, text string, lang string")
+    model = language_id.train(df, "doc_id", "text", "lang", F.lit(True))
+    assert np.all(np.asarray(model.limit) <= 1.5 * 12)
+    found = {r.doc_id: r.rejected for r in language_id.identify(df, model).collect()}
+    assert not any(found[i] for i, _, _ in rows) and all(found[i] for i, _, _ in foreign)
