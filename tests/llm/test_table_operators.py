@@ -144,15 +144,44 @@ def test_nearest_equals_brute_force(spark, blocks):
 
 def test_bounds_hold_and_tables_may_be_empty(spark):
     rng = np.random.RandomState(5)
-    x = rng.randn(200, 1_500)
-    x, length = vector_join._units(x)
-    codes, scale, decoded, error = vector_join.quantise(x, length)
-    near = vector_join._products(codes, codes) * scale[:, None] * scale
-    true = (x / length[:, None]) @ (x / length[:, None]).T
-    assert (np.abs(near - true) <= decoded[:, None] * error + error[:, None] + 1e-12).all()
+    for x, centred in ((rng.randn(200, 1_500), False), (rng.randn(200, 300) + 2, True)):
+        x, length = vector_join._units(x)
+        u = x / length[:, None]
+        mean = u.mean(axis=0) if centred else None
+        codes, scale, along, decoded, error, rest = vector_join.quantise(x, length, mean)
+        near = vector_join._products(codes, codes) * scale[:, None] * scale + along[:, None] + along + (mean @ mean if centred else 0)
+        assert (np.abs(near - u @ u.T) <= decoded[:, None] * error + error[:, None] * rest + 1e-10).all()
     assert vector_join.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0.0, 3.0])
+def test_few_pairs_of_a_tile_survive(shift):
+    """With a common direction as well, which the mean takes off."""
+    rng = np.random.RandomState(6)
+    x, length = vector_join._units(rng.randn(3_000, 64) + shift)
+    mean = (x / length[:, None]).mean(axis=0)
+    codes, scale, along, decoded, error, rest = vector_join.quantise(x, length, mean)
+    side = {"id": np.arange(3_000), "codes": codes, "scale": scale, "along": along, "decoded": decoded, "error": error, "rest": rest}
+    asked = {n: a[:100] for n, a in side.items()}
+    found = list(vector_join.survivors(asked, side, float(mean @ mean), 6))
+    kept = {(r, c) for rows, columns, _, _ in found for r, c in zip(rows.tolist(), columns.tolist())}
+    true = (x[:100] @ x.T) / length[:100, None] / length
+    assert all((i, j) in kept for i in range(100) for j in np.argsort(-true[i])[:6].tolist()) and len(kept) < 100 * 40
+
+
+def test_a_vector_of_a_third_of_all_rows(spark):
+    rng = random.Random(9)
+    rows = [(i, [1.0, 2.0, 3.0] if i % 3 == 0 else [rng.gauss(0, 1) for _ in range(3)]) for i in range(3_000)] + [(50, [9.0, 9.0, 9.0]), (50, [1.0, 2.0, 3.0]), (60, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vector_join.nearest(df, F.col("vec_id") % 50 == 0, query_block=20, row_block=300).collect())
+    best = {}
+    for i, v in rows:
+        if len(v) == 3:
+            best[i] = max(best.get(i, v), v)
+    expected = brute_nearest(sorted(best.items()), 5)
+    assert [g[:3] for g in got] == [e[:3] for e in expected]
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 def source_rows(rng: random.Random) -> list[tuple]:
