@@ -17,6 +17,7 @@ an empty table gives an empty result; without texts to sample the templates alon
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +32,8 @@ SAMPLE_PARAGRAPHS = 40  # of each of them
 PROBABILITY = 0.5
 SIMILARITY = 0.5
 FRAGMENT = 40  # words of a window over a long paragraph
+HEADS = (9, 12, 16, 24)  # words after which long notices are often cut
+SHORT = 8  # words of a paragraph in which the one-word name of a licence is a notice
 UNKNOWN = "unknown"
 NONE = "none"
 
@@ -39,52 +42,65 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "agpl": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
         "Licensed under the GNU Affero General Public License, version 3",
-        "SPDX-License-Identifier: AGPL-3.0-or-later"),
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+        "AGPL-3.0", "AGPLv3", "GNU AGPLv3", "https://www.gnu.org/licenses/agpl-3.0.html"),
     "apache": (
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-        "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License 2.0"),
+        "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License 2.0",
+        "Apache-2.0", "Apache License 2.0", "http://www.apache.org/licenses/LICENSE-2.0"),
     "bsd": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-        "Released under the BSD License", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"),
+        "Released under the BSD License", "Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD-3-Clause", "BSD-2-Clause", "BSD 2-Clause License", "New BSD License"),
     "cc-by": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License", "Licensed under CC BY 4.0",
-        "SPDX-License-Identifier: CC-BY-4.0"),
+        "SPDX-License-Identifier: CC-BY-4.0",
+        "CC BY 4.0", "CC BY 3.0", "https://creativecommons.org/licenses/by/4.0/"),
     "cc-by-nc": (
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Licensed under CC BY-NC 4.0",
-        "SPDX-License-Identifier: CC-BY-NC-4.0"),
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "CC BY-NC 4.0", "CC BY-NC 3.0", "https://creativecommons.org/licenses/by-nc/4.0/"),
     "cc-by-sa": (
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0",
-        "SPDX-License-Identifier: CC-BY-SA-4.0"),
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "CC BY-SA 4.0", "CC BY-SA 3.0", "https://creativecommons.org/licenses/by-sa/4.0/"),
     "cc0": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
-        "Released into the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0"),
+        "Released into the public domain under CC0 1.0 Universal", "SPDX-License-Identifier: CC0-1.0",
+        "CC0-1.0", "CC0 1.0 Universal"),
     "gpl": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-        "This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU GPL v2", "SPDX-License-Identifier: GPL-3.0-or-later"),
+        "This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU GPL v2", "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GPLv2", "GPLv3", "GPL-3.0", "GPL-2.0-only", "GNU GPL v3", "https://www.gnu.org/licenses/gpl-3.0.html"),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-        "Released under the ISC License", "SPDX-License-Identifier: ISC"),
+        "Released under the ISC License", "SPDX-License-Identifier: ISC",
+        "ISC License"),
     "lgpl": (
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
-        "Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-or-later"),
+        "Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "LGPLv3", "LGPL-2.1", "GNU LGPL v2.1"),
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
         "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
-        "Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT"),
+        "Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT",
+        "MIT License", "License: MIT", "The MIT License (MIT)", "https://opensource.org/licenses/MIT"),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
-        "SPDX-License-Identifier: MPL-2.0"),
+        "SPDX-License-Identifier: MPL-2.0",
+        "MPL-2.0", "MPL 2.0", "Mozilla Public License 2.0", "Mozilla Public License Version 2.0"),
     "proprietary": (
         "All rights reserved", "Copyright (c) All rights reserved. No part of this publication may be reproduced without prior written permission",
         "Confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited"),
 }
 
+_GNU = frozenset({"agpl", "gpl", "lgpl"})
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 
 
@@ -126,11 +142,14 @@ class Classifier:
 def _variations(rng: np.random.RandomState) -> list[tuple[int, list[str]]]:
     """Templates, windows of them, and copies with words left out or foreign words around them."""
     out = []
-    for family, texts in enumerate(TEMPLATES.values()):
+    starts = Counter(head for texts in TEMPLATES.values() for head in {tuple(w[:n]) for w in map(paragraph_words, texts) for n in HEADS})
+    for family, (name, texts) in enumerate(TEMPLATES.items()):
         for text in texts:
             own = paragraph_words(text)
             out.append((family, own))
-            parts = [own[at:at + rng.randint(9, 32)] for at in range(0, len(own) - 8, 4)] if len(own) > 14 else []
+            # Those that are one family's alone; notices of the GNU licences differ by a word.
+            heads = [own[:n] for n in HEADS if starts[tuple(own[:n])] == 1 and name not in _GNU]
+            parts = [own[at:at + rng.randint(9, 32)] for at in range(0, len(own) - 8, 4)] + heads * 4 if len(own) > 14 else []
             for part in [own] * 6 + parts:
                 kept = [w for w in part if rng.rand() > 0.08] or part
                 around = [f"x{rng.randint(10**6)}" for _ in range(rng.randint(0, 8))]
@@ -205,17 +224,21 @@ for _i, (_, _own) in enumerate(_TEMPLATE_PAIRS):
         _PAIR_TEMPLATES.setdefault(_pair, []).append(_i)
 
 
-_GNU = frozenset({"agpl", "gpl", "lgpl"})
 # Pairs of one family's templates alone. Notices of the other GNU licences have most of gpl's, so its own are those with its name.
 _ONLY = {pair: next(iter(found)) for pair, found in ((p, {_TEMPLATE_PAIRS[i][0] for i in at}) for p, at in _PAIR_TEMPLATES.items()) if len(found) == 1}
 _ONLY = {pair: family for pair, family in _ONLY.items() if family != "gpl" or any(w == "gnu" or w.startswith("gpl") for w in pair)}
 
 
+def _names(words: list[str]) -> set[tuple[str, ...]]:
+    """Words of a short paragraph that are a template by themselves, such as the names of a licence in one word."""
+    return {(w,) for w in words if (w,) in _PAIR_TEMPLATES} if len(words) <= SHORT else set()
+
+
 def similarities(words: list[str]) -> dict[str, float]:
     """By family the best overlap of word pairs with a template: the share of the shorter side, so that parts and additions count in full."""
     own = _pairs(words)
     shared: dict[int, int] = {}
-    for pair in own:
+    for pair in own | _names(words):
         for i in _PAIR_TEMPLATES.get(pair, ()):
             shared[i] = shared.get(i, 0) + 1
     best: dict[str, float] = {}
@@ -235,7 +258,8 @@ _NOTICE = re.compile(
     r"|\bredistribution\s+and\s+use\b"
     r"|\b(?:software|work|program|library|file|code)\b.{0,40}\b(?:released\s+into|in)\s+the\s+public\s+domain\b"
     r"|\b(?:software|program|library|file|code)\s+is\s+provided\s+\W?as[\s-]is\b"
-    r"|\ball\s+rights\s+reserved\b", re.IGNORECASE)
+    r"|\ball\s+rights\s+reserved\b"
+    r"|\b[\w.+-]+(?:\s+[\w.+-]+){0,3}\s+licen[sc]e(?:\s+agreement)?\s*[-,:(]?\s*(?:v|ver|version)\.?\s*\d", re.IGNORECASE)
 _CUES = ("licen", "public", "permission", "redistribution", "provided", "rights")
 
 
@@ -258,14 +282,12 @@ def _without(part: list[str], family: str, shown: set[str]) -> list[str]:
 def families_of(model: Classifier, part: list[str]) -> list[tuple[str, float, float, bool]]:
     """(family, probability, similarity, whether a pair of words shows it alone) of every licence in a window.
 
-    Where word pairs show several families, each that a template confirms is also judged without the words that show the others. A prediction
-    needs a template that confirms it, so windows that no template resembles are not scored.
+    The classifier names the family and a template has to confirm it. Where word pairs show several families, each that a template confirms
+    is also judged without the words that show the others.
     """
     near = similarities(part)
-    if max(near.values(), default=0.0) < SIMILARITY:
-        return []
     shown = {_ONLY[pair] for pair in zip(part, part[1:]) if pair in _ONLY}
-    several = sorted(f for f in shown if near[f] >= SIMILARITY)
+    several = sorted(f for f in shown if near.get(f, 0.0) >= SIMILARITY)
     best: dict[str, tuple[float, float, bool]] = {}
     for wanted in [None, *(several if len(shown) > 1 else [])]:
         scores = model.scores([model.positions(part if wanted is None else _without(part, wanted, shown))])
@@ -339,7 +361,7 @@ def scan_text(model: Classifier, text: str | None) -> list[dict]:
     out, at = [], 0
     for number, line in enumerate((text or "").split("\n")):
         words, found, spans = paragraph_words(line), [], []
-        if any(pair in _PAIR_TEMPLATES for pair in zip(words, words[1:])):
+        if any(pair in _PAIR_TEMPLATES for pair in zip(words, words[1:])) or _names(words):
             own = [m.span() for m in _WORD.finditer(line)]
             spans = own if len(own) == len(words) > FRAGMENT else []
             for family, probability, near, first, end in passages(model, words):
