@@ -626,6 +626,7 @@ def _window_stats(width: int, lookback: int) -> list[Column]:
 def lookback_window_stats(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of sampled rows, reduced to what a SQL engine can recompute: step count, sum and first value per window."""
     t, view, width = _event_encoded(spark, sf)
+    view = stage(view)
     sampled = xs.sample_per_day(view.select("date", "sid", "present"), SAMPLE_K, "present", instruments=t.master)
     sampled = sampled.join(xs.per_day(t.calendar.select("date", "td_idx")), "date")
     windows = views.lookback_windows(view, sampled, LOOKBACK, width)
