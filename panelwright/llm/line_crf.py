@@ -240,7 +240,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: s
     """Fit on at most sample_docs labelled texts of each kind, and set the share below which a text goes from both kinds."""
     kinds = (labels.filter(F.col(quality).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id"))
              .agg(F.min(quality).alias("least"), F.max(quality).alias("good")).filter("least = good").select("id", "good"))
-    chosen = kinds.withColumn("rank", F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("id"), "id"))).filter(F.col("rank") <= sample_docs)
+    # The least hashes are cut off in the map tasks first, twice as many as wanted, so that neither kind meets whole in one task.
+    order, upto = F.xxhash64("id"), F.lit((1 << 63) - 1)
+    for r in kinds.groupBy("good").agg(F.count(F.lit(1)).alias("n")).collect():
+        if r.n > 2 * sample_docs + 100:
+            upto = F.when(F.col("good") == r.good, F.lit(int((2 * sample_docs + 100) / r.n * 2.0**64) - (1 << 63))).otherwise(upto)
+    chosen = kinds.filter(order <= upto).withColumn("rank", F.row_number().over(Window.partitionBy("good").orderBy(order, "id"))).filter(F.col("rank") <= sample_docs)
     texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen.select("id", "good")), "id")
     texts = texts.filter(F.length("text") - F.length(F.replace("text", F.lit("\n"))) < SAMPLE_LINES)
     texts = texts.withColumn("rank", F.row_number().over(Window.partitionBy("good").orderBy(F.xxhash64("id"), "id", "text"))).filter(F.col("rank") <= sample_docs)
