@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. run() writes each
 stage's rows to shared storage and gives the next stage a scan of them.
+
+Defined cases, for every stage: texts of any length are taken whole; ids may be null or repeat; columns beyond those of documents, whatever their names, are carried
+along by all stages but the last; an empty table gives an empty result. Null texts and texts without a letter have no language and go in the first stage, as do all where no row has a
+label. Texts of one to four words are one shingle; of a class that repeats its least id one row stays. A null source is a source; sources without tokens are used once. A text
+without words is one end token.
 """
 
 from __future__ import annotations
