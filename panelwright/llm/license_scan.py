@@ -5,7 +5,8 @@ on templates, their fragments and variations, with paragraphs of the corpus as e
 scaling fitted on paragraphs left out calibrates them, and what stays under the cut is `unknown`. A prediction then has to
 be confirmed by its family's template: enough of the template's word pairs must occur in the paragraph, or of the paragraph's in a template.
 
-A prediction that no template confirms does not stand, so paragraphs that share no word pair with any template are not scored; the answer is the same.
+A prediction that no template confirms does not stand, so paragraphs that share no word pair with any template, nor, if short, the name of a licence, are not
+scored; the answer is the same.
 
 A paragraph may hold several licences; each is found with its place. What reads like a notice (fixed phrases that name terms of use) but has no
 family that is sure and confirmed is given as `unknown`.
