@@ -864,12 +864,10 @@ def _equal(a: str, b: str) -> Column:
 def rank_boost_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """For every round, the rows and days that the metric judged, and how many margins equal the score of that many trees by themselves."""
     rows, state = _boosted(spark, sf)
-    carried = boosting.start(rows, state.model.features, state.buckets)
     out = None
     for n in range(1, len(state.values) + 1):
-        carried = boosting.boost_round(spark, carried, BOOST)
         scored = boosting.scoring_pipeline(state.model.first(n)).transform(rows.where("split = 'valid'").select("date", "sid", "x"))
-        both = boosting.margins(spark, carried).join(scored, ["date", "sid"]).where("split = 'valid'")
+        both = boosting.margins(spark, state.after(n)).join(scored, ["date", "sid"]).where("split = 'valid'")
         found = both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("date").alias("n_days"), _equal("margin", "pred").alias("n_equal")).select(F.lit(n).alias("round"), "*")
         out = found if out is None else out.unionByName(found)
     return out

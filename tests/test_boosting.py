@@ -147,3 +147,23 @@ def test_empty_and_one_row_days(spark):
     empty = spark.createDataFrame([], "date string, sid string, score double, relevance int")
     assert boosting.rank_gradients(empty, "score", "relevance", SMALL).count() == 0
     assert boosting.ndcg_daily(empty, "score", "relevance", SMALL).count() == 0
+
+
+def test_what_a_round_found_is_kept_and_its_sample_is_computed_once(spark, rows, state, monkeypatch):
+    begun = boosting.start(rows, list("abcd"), 4)
+    two = boosting.boost(spark, begun, SMALL, boosting.mean_ndcg(SMALL), rounds=2)
+    for n, want in ((0, begun), (2, two)):
+        back = state.after(n)
+        assert back.values == want.values and back.model.leaves == want.model.leaves
+        got = {(r.date, r.sid): r.margin for r in boosting.margins(spark, back).collect()}
+        assert got == {(r.date, r.sid): r.margin for r in boosting.margins(spark, want).collect()}
+    plans, fit = [], boosting.RandomForestRegressor.fit
+
+    def watched(forest, sample):
+        plans.append(sample._jdf.queryExecution().executedPlan().toString())
+        return fit(forest, sample)
+
+    monkeypatch.setattr(boosting.RandomForestRegressor, "fit", watched)
+    boosting.boost_round(spark, begun, SMALL)
+    # Fitting reads its sample several times, so neither gradients nor joins are left in it.
+    assert len(plans) == 1 and (plans[0].startswith("InMemory") or "InMemoryTableScan" in plans[0] or "Join" not in plans[0])
