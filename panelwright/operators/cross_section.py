@@ -86,11 +86,19 @@ def sample_per_day(df: DataFrame, k: int, present: str, seed: int = 42, instrume
     """k instruments a day, usable ones first, otherwise in a seeded md5 order; reproducible on any cluster.
 
     With `instruments` (sid), a day of fewer than k rows is filled to k from the instruments that have no row that day: `present` false,
-    other columns null. Days without any row do not appear.
+    other columns null. Days without any row do not appear. df is read twice: pass a stored table.
+
+    Rows are first counted by usability and the first two digits of their draw. The counts say up to which of these 512 cells a day's k first
+    rows reach, and only rows of those cells are ordered.
     """
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("date").cast("string"), F.col("sid")))
+    cell = F.when(F.coalesce(F.col(present), F.lit(False)), 0).otherwise(256) + F.conv(F.substring(draw, 1, 2), 16, 10).cast("int")
+    counts = df.groupBy(*DAY, cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(W.partitionBy(*DAY).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    reach = counts.withColumn("_earlier", earlier).where(F.col("_earlier") < k).groupBy(*DAY).agg(F.max("_cell").alias("_reach"))
+    near = df.join(per_day(reach), DAY).where(cell <= F.col("_reach")).drop("_reach")
     order = [F.coalesce(F.col(present), F.lit(False)).desc(), draw.asc(), F.col("sid").asc()]
-    chosen = top_k(df, DAY, order, k).withColumnRenamed("top_pos", "sample_pos")
+    chosen = top_k(near, DAY, order, k).withColumnRenamed("top_pos", "sample_pos")
     if instruments is None:
         return chosen
     chosen = stage(chosen)

@@ -142,13 +142,14 @@ def halo_rows(view: DataFrame, lookback: int, span: int) -> DataFrame:
     return view.withColumn("_block", F.explode(F.when(late, F.array(block, block + 1)).otherwise(F.array(block))))
 
 
-def lookback_windows(view: DataFrame, sampled: DataFrame, lookback: int, width: int, span: int | None = None) -> DataFrame:
+def lookback_windows(view: DataFrame, sampled: DataFrame, lookback: int, width: int, span: int | None = None, few: bool = False) -> DataFrame:
     """For each sampled (date, sid), given once: the `lookback` encoded rows ending that day, oldest first.
 
     Days without a panel row are zero vectors; the first lookback - 1 days yield nothing. Where `sampled` carries td_idx,
     a sampled instrument without a panel row that day yields a window too, with its masks off.
     An instrument's days are cut into blocks of `span` days (by default `lookback`) with a halo of the lookback - 1 days before. Only blocks with a sampled day are
-    moved, each vector twice at most whatever the lookback, and all windows of a block are cut from one array.
+    moved, each vector twice at most whatever the lookback, and all windows of a block are cut from one array. With `few`, the caller vouches that the sampled blocks are
+    so few that their keys may be broadcast (k a day are bounded by the calendar); then vectors of other blocks are dropped where they lie.
     """
     span = span or max(lookback, 1)
     if "td_idx" not in sampled.columns:
@@ -158,7 +159,7 @@ def lookback_windows(view: DataFrame, sampled: DataFrame, lookback: int, width:
     ends = ends.groupBy(*key).agg(F.collect_list(F.struct("date", "end")).alias("_ends"))
     absent = {"present": F.lit(False), "y_ret": F.lit(0.0).cast("float"), "y_mom": F.lit(-1).cast("byte"),
               "ret_mask": F.lit(False), "mom_mask": F.lit(False), "both_mask": F.lit(False)}
-    rows = halo_rows(view.select("sid", "td_idx", "x", *absent), lookback, span).join(ends.select(*key), key, "left_semi")
+    rows = halo_rows(view.select("sid", "td_idx", "x", *absent), lookback, span).join(F.broadcast(ends.select(*key)) if few else ends.select(*key), key, "left_semi")
     held = rows.groupBy(*key).agg(F.collect_list(F.struct("td_idx", F.struct("x", *absent).alias("row"))).alias("_rows"))
     # The block's days from the first of the halo on, empty where there is no panel row.
     days = F.sequence(F.col("_block") * span - (lookback - 1), (F.col("_block") + 1) * span - 1)

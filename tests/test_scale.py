@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,29 @@ def test_staged_tables_live_in_the_configured_folder(spark):
     staged = stage(spark.range(3).toDF("x"))
     assert folder is None or f"{folder.removeprefix('file:').rstrip('/')}/stage-" in staged.inputFiles()[0]
     assert staged.schema.names == ["x"] and staged.count() == 3
+
+
+def test_sampling_orders_only_cells_that_reach_the_sample(spark, monkeypatch):
+    rows = stage(spark.range(40_000).select(F.expr("date_add(DATE'2024-01-01', CAST(id % 2 AS INT))").alias("date"), F.col("id").cast("string").alias("sid"),
+                                            ((F.col("id") % 2 == 0) & (F.col("id") < 20)).alias("present")))
+    ordered, top_k = [], xs.top_k
+    monkeypatch.setattr(xs, "top_k", lambda df, *rest: ordered.append(df.count()) or top_k(df, *rest))
+    got = {(str(r["date"]), r["sid"]): r["sample_pos"] for r in xs.sample_per_day(rows, 300, "present").collect()}
+    monkeypatch.undo()
+    assert 600 <= ordered[0] < 2_000  # of 40,000
+    for d in ("2024-01-01", "2024-01-02"):
+        day = [(not r["present"], hashlib.md5(f"42|{d}|{r['sid']}".encode()).hexdigest(), r["sid"]) for r in rows.where(F.col("date") == d).collect()]
+        assert {s: p for p, (_, _, s) in enumerate(sorted(day)[:300])} == {s: p for (x, s), p in got.items() if x == d}
+
+
+def test_vectors_of_blocks_without_a_sample_are_dropped_where_they_lie(spark):
+    cells = stage(spark.range(4_000).select(
+        F.expr("date_add(DATE'2024-01-01', CAST(id % 40 AS INT))").alias("date"), F.floor(F.col("id") / 40).cast("string").alias("sid"), (F.col("id") % 40).cast("int").alias("td_idx"),
+        F.array(F.col("id").cast("float")).alias("x"), F.lit(True).alias("present"), F.lit(0.5).cast("float").alias("y_ret"), F.lit(1).cast("byte").alias("y_mom"),
+        *[F.lit(True).alias(m) for m in ("ret_mask", "mom_mask", "both_mask")]))
+    sampled = cells.where("sid = '7' and td_idx >= 30").select("date", "sid", "td_idx")
+    with settings(spark, **NO_BROADCAST):
+        plan = plan_of(views.lookback_windows(cells, sampled, 5, 1, few=True))
+        assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+        few, many = ({r["td_idx"]: r["window"] for r in views.lookback_windows(cells, sampled, 5, 1, few=f).collect()} for f in (True, False))
+    assert few == many and len(few) == 10
