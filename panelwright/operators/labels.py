@@ -301,9 +301,11 @@ def build_targets(panel: DataFrame, calendar: DataFrame, recipes: Iterable[Recip
     by_sid = W.partitionBy("sid").orderBy("td_idx")
 
     fetched = {pair: f"_at{i}" for i, pair in enumerate(sorted({p for r in recipes for p in r.offsets()}))}
-    looked_up = panel.withColumns(
+    # Prices are columns of their own before the window, so that no struct goes through it for one field. A row's own price needs no frame.
+    prices = {col: f"_price{i}" for i, col in enumerate(sorted({col for col, _ in fetched}))}
+    looked_up = panel.withColumns({name: F.col(col).cast("double") for col, name in prices.items()}).withColumns(
         {
-            alias: F.first(F.col(col).cast("double")).over(by_sid.rangeBetween(k, k))
+            alias: F.first(prices[col]).over(by_sid.rangeBetween(k, k)) if k else F.col(prices[col])
             for (col, k), alias in fetched.items()
         }
     )

@@ -256,7 +256,7 @@ def sample_state_hist(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def sample_state_hist_suppliers(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(quality.state_histogram(supplier_tables(spark, sf).panel))
+    return rounded(quality.state_histogram(supplier_tables(spark, sf).series))
 
 
 @query
@@ -276,7 +276,7 @@ def state_sets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def panel_sanity_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.sanity_findings(supplier_tables(spark, sf).panel).select("severity", "check", "message")
+    return quality.sanity_findings(supplier_tables(spark, sf).series).select("severity", "check", "message")
 
 
 @query
@@ -319,7 +319,7 @@ def _event_target(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _supplier_target(spark: SparkSession, sf: str, name: str) -> DataFrame:
     t = supplier_tables(spark, sf)
-    return labels.build_target(t.panel, t.calendar, name)
+    return labels.build_target(t.series, t.calendar, name)
 
 
 def _register_target(name: str) -> None:
@@ -339,7 +339,7 @@ def targets_together(spark: SparkSession, sf: str) -> DataFrame:
     """Every built-in target from one window, reduced to reason counts per target."""
     t = supplier_tables(spark, sf)
     names = labels.list_targets()
-    blocks = labels.build_targets(t.panel, t.calendar, [labels.make_recipe(n) for n in names])
+    blocks = labels.build_targets(t.series, t.calendar, [labels.make_recipe(n) for n in names])
     items = [F.struct(F.lit(n).alias("target"), F.col(n)["reason"].alias("reason")) for n in names]
     long = blocks.select(F.inline(F.array(*items)))
     return long.groupBy("target", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -498,12 +498,14 @@ def time_split_days(spark: SparkSession, sf: str) -> DataFrame:
 
 def _with_labels(t: PanelTables, *names: str) -> DataFrame:
     """What views need of the panel, with labels beside it: derived once, joined to nothing."""
-    return labels.build_targets(t.panel, t.calendar, [labels.make_recipe(n) for n in names], keep=["td_idx", "feature", "status"])
+    return labels.build_targets(t.series, t.calendar, [labels.make_recipe(n) for n in names], keep=["td_idx", "feature", "status"])
 
 
 def _supplier_view(spark: SparkSession, sf: str, label: str = "return_c0c1") -> tuple[PanelTables, DataFrame]:
+    """Supplier rows with a record. Who reads them takes usable rows only, and rows without a record are not."""
     t = supplier_tables(spark, sf)
-    view = views.tabular_view(_with_labels(t, label), label, exclude="(?i)scratch", fundamentals=["fund__top_price"])
+    labelled = labels.build_targets(t.recorded, t.calendar, [labels.make_recipe(label)], keep=["td_idx", "feature", "status"])
+    view = views.tabular_view(labelled, label, exclude="(?i)scratch", fundamentals=["fund__top_price"])
     return t, splits.with_split(view, t.calendar, splits.split_ranges(t.calendar, SPLIT_DATES))
 
 
@@ -609,7 +611,7 @@ def cube_coverage(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def daily_sample_k(spark: SparkSession, sf: str) -> DataFrame:
     t, view, _ = _event_encoded(spark, sf)
-    return xs.sample_per_day(view.select("date", "sid", "present"), SAMPLE_K, "present", instruments=t.master).select("date", "sid", "present", F.col("sample_pos").cast("int").alias("sample_pos"))
+    return xs.sample_per_day(stage(view.select("date", "sid", "present")), SAMPLE_K, "present", instruments=t.master).select("date", "sid", "present", F.col("sample_pos").cast("int").alias("sample_pos"))
 
 
 def _window_stats(width: int, lookback: int) -> list[Column]:
@@ -638,8 +640,9 @@ def lookback_supplier_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows of 60 days over the suppliers' years, reduced as above."""
     t = supplier_tables(spark, sf)
     view, width = stage(views.encoded_view(_with_labels(t, "return_c0c1", "momentum_cls"), "return_c0c1", "momentum_cls")), 2 * len(feature_names(t.panel)) + 1
-    sampled = xs.sample_per_day(view.select("date", "sid", "td_idx", "present"), SAMPLE_K, "present")
-    windows = views.lookback_windows(view, sampled.select("date", "sid", "td_idx"), 60, width)
+    # The sample is read for its blocks and for its windows.
+    sampled = stage(xs.sample_per_day(view.select("date", "sid", "td_idx", "present"), SAMPLE_K, "present").select("date", "sid", "td_idx"))
+    windows = views.lookback_windows(view, sampled, 60, width, few=True)
     return rounded(windows.select("date", "sid", *_window_stats(width, 60), "y_ret", F.col("y_mom").cast("int").alias("y_mom"), *MASKS))
 
 
@@ -901,7 +904,7 @@ def panel_store_range(spark: SparkSession, sf: str) -> DataFrame:
 def panel_year_replaced(spark: SparkSession, sf: str) -> DataFrame:
     """A stored panel of which one year is written again, twice, with other volumes and drifted types."""
     path, t = scratch_dir(spark, "panel"), supplier_tables(spark, sf)
-    rows = t.panel.select("date", "sid", "td_idx", F.col("market.volume").alias("volume"), F.col("status.sample_state").alias("sample_state"))
+    rows = t.series.select("date", "sid", "td_idx", F.col("market.volume").alias("volume"), F.col("status.sample_state").alias("sample_state"))
     files.write_panel(rows, path)
     year = stage(spark.read.parquet(path).where("year = 1996").drop("year"))
     for times in (3, 2):
@@ -913,7 +916,7 @@ def panel_year_replaced(spark: SparkSession, sf: str) -> DataFrame:
 def sanity_from_years(spark: SparkSession, sf: str) -> DataFrame:
     """Findings on a stored panel from the states of its years, of which the last was added afterwards and one corrected."""
     path, states = scratch_dir(spark, "panel"), scratch_dir(spark, "states")
-    files.write_panel(supplier_tables(spark, sf).panel, path)
+    files.write_panel(supplier_tables(spark, sf).series, path)
     panel = spark.read.parquet(path)
     years = sorted(r["year"] for r in panel.select("year").distinct().collect())
     for some in (years[:-1], years[-1:], years[:1]):
@@ -925,7 +928,7 @@ def sanity_from_years(spark: SparkSession, sf: str) -> DataFrame:
 def histogram_from_years(spark: SparkSession, sf: str) -> DataFrame:
     """The sample states of the whole panel from those of its years."""
     states = scratch_dir(spark, "states")
-    statistics.update_panel_states(supplier_tables(spark, sf).panel, states)
+    statistics.update_panel_states(supplier_tables(spark, sf).series, states)
     return rounded(statistics.merged_histogram(spark.read.parquet(states)))
 
 
@@ -945,7 +948,10 @@ def target_profile_from_years(spark: SparkSession, sf: str) -> DataFrame:
 def feature_screen_wide(spark: SparkSession, sf: str) -> DataFrame:
     """Variance and missing rate of two hundred factors, over all rows with a label."""
     t = wide_tables(spark, sf)
-    view = views.tabular_view(_with_labels(t, "return_c0c1"), "return_c0c1")
+    # Labels are built without the features; those of usable rows meet them where they lie, in a hash join that neither moves nor sorts wide rows.
+    narrow = labels.build_targets(t.recorded, t.calendar, [labels.make_recipe("return_c0c1")], keep=["td_idx", "status"])
+    labelled = t.factors.join(narrow.where(f"return_c0c1.valid AND {views.USABLE}").hint("shuffle_hash"), ["date", "sid"])
+    view = views.tabular_view(labelled, "return_c0c1")
     found = screening.feature_profile(view, feature_names(t.panel), missing_drop_thresh=0.02, exclude="w1[0-9]$")
     return rounded(found.withColumn("variance", F.round("variance", 2)))
 
