@@ -158,6 +158,23 @@ def rank_ic_daily(df: DataFrame, y: str = "y_raw", pred: str = "pred", by: Seque
     pairs = stage(df.where(is_finite(F.col(y)) & is_finite(F.col(pred))).select(*by, "sid", y, pred))
     ranked = attach_ranks(pairs, value_ranks(pairs, by, y), by, y, {"_ry": average_rank()})
     ranked = attach_ranks(ranked, value_ranks(pairs, by, pred), by, pred, {"_rp": average_rank()})
+    return _rank_correlation(ranked, by)
+
+
+def rank_ic_of_scores(df: DataFrame, name: str, scores: Column, y: str = "y_raw") -> DataFrame:
+    """`rank_ic_daily` by (name, date) for an array of finite scores a row; `name` counts the items from 1.
+
+    The label's ranks are those of the day for every item, so they are found once; only the scores are ranked item by item.
+    """
+    rows = stage(df.where(is_finite(F.col(y))).select(*DAY, "sid", y, scores.alias("_scores")))
+    ranked = attach_ranks(rows, value_ranks(rows, DAY, y), DAY, y, {"_ry": average_rank()})
+    each = ranked.select(*DAY, "sid", "_ry", F.posexplode("_scores").alias("_before", "_score"))
+    each = stage(each.select((F.col("_before") + 1).alias(name), *DAY, "sid", "_ry", "_score"))
+    by = [name, *DAY]
+    return _rank_correlation(attach_ranks(each, value_ranks(each, by, "_score"), by, "_score", {"_rp": average_rank()}), by)
+
+
+def _rank_correlation(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
     stats = ranked.groupBy(*by).agg(*_correlation_sums(F.col("_ry"), F.col("_rp")))
     ic = F.try_divide(F.col("_cov"), F.sqrt("_vx") * F.sqrt("_vy"))
     return stats.where("n_pairs >= 3").select(*by, "n_pairs", ic.alias("rank_ic")).where("rank_ic is not null")

@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from panelwright.operators.cross_section import rank_ic_daily, rank_ic_summary, ranking_rows
+from panelwright.operators.cross_section import rank_ic_daily, rank_ic_of_scores, rank_ic_summary, ranking_rows
 from panelwright.operators.screening import align_features, feature_profile, kept_features
 from panelwright.operators.staging import stage
 from panelwright.operators.views import encode_features
@@ -67,9 +67,7 @@ def rank_ic_by_trees(model: GBTRegressionModel, rows: DataFrame) -> DataFrame:
         scored = tree.setFeaturesCol("x").setPredictionCol(f"_tree{i}").transform(scored)
         term = F.col(f"_tree{i}") * F.lit(float(weight))
         running.append(running[-1] + term if running else term)
-    scored = scored.select("date", "sid", "y_raw", F.posexplode(F.array(*running)).alias("_before", "pred"))
-    scored = scored.select("date", "sid", "y_raw", (F.col("_before") + 1).alias("n_trees"), "pred")
-    return rank_ic_summary(rank_ic_daily(scored, by=["n_trees", "date"]), ["n_trees"])
+    return rank_ic_summary(rank_ic_of_scores(scored, "n_trees", F.array(*running)), ["n_trees"])
 
 
 def best_tree_count(model: GBTRegressionModel, valid: DataFrame) -> int:

@@ -203,3 +203,19 @@ def test_overlapping_splits_are_ranked_apart(spark):
     assert xs.ranking_rows(view, min_group_size=5).count() == 0
     daily = xs.rank_ic_daily(out, by=["split", "date"]).collect()
     assert {(r["split"], r["n_pairs"]) for r in daily} == {("valid", 4), ("test", 4)} and all(r["rank_ic"] == pytest.approx(-1) for r in daily)
+
+
+def test_rank_ic_of_several_scores_ranks_the_label_once(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(f"2024-01-{d:02d}", f"s{i}", rng.choice([None, float("nan"), round(rng.gauss(0, 1), 1), rng.gauss(0, 1)]), [float(rng.randint(0, 4)) for _ in range(3)])
+            for d in range(1, 6) for i in range(3 if d == 1 else 40)]
+    df = spark.createDataFrame(rows, "date string, sid string, y_raw double, scores array<double>")
+    ranked, value_ranks = [], xs.value_ranks
+    monkeypatch.setattr(xs, "value_ranks", lambda d, by, value: ranked.append((list(by), value)) or value_ranks(d, by, value))
+    got = {(r["item"], r["date"]): (r["n_pairs"], r["rank_ic"]) for r in xs.rank_ic_of_scores(df, "item", F.col("scores")).collect()}
+    assert ranked == [(["date"], "y_raw"), (["item", "date"], "_score")]
+    monkeypatch.undo()
+    for i in range(3):
+        one = xs.rank_ic_daily(df.withColumn("pred", F.get("scores", F.lit(i))))
+        want = {(i + 1, r["date"]): (r["n_pairs"], pytest.approx(r["rank_ic"], abs=1e-12)) for r in one.collect()}
+        assert {k: v for k, v in got.items() if k[0] == i + 1} == want
