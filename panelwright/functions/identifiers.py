@@ -20,9 +20,12 @@ def normalise_symbol(symbol: Column) -> Column:
     """``CODE.EXCH`` from suffixed, prefixed or bare codes; anything else is returned trimmed.
 
     One rule set serves both feeds, so identifiers of all exchanges join. NULL stays NULL.
-    Branches repeat the trimmed text, so it is built from cheap string functions only.
     """
-    s = F.btrim(symbol.cast("string"), F.lit(BLANKS))
+    return canonical_symbol(F.btrim(symbol.cast("string"), F.lit(BLANKS)))
+
+
+def canonical_symbol(s: Column) -> Column:
+    """`normalise_symbol` of a text without blanks around it. Branches repeat the text, so it is built from cheap string functions only."""
     suffix = F.substring_index(s, ".", -1)
     known = F.create_map(*[F.lit(x) for pair in EXCHANGE_CODES.items() for x in pair])
     exchange = F.coalesce(F.try_element_at(known, F.upper(suffix)), F.upper(suffix))

@@ -167,11 +167,18 @@ def bar_keys(bars: DataFrame) -> DataFrame:
     return bars.select("date", "sid").distinct()
 
 
+def market_struct(bars: DataFrame) -> Column:
+    return F.struct(*[c for c in MARKET_FIELDS if c in bars.columns])
+
+
+def feature_struct(names: Iterable[str]) -> Column:
+    return F.struct(*[F.col(f"`{c}`").cast("float").alias(c) for c in names])
+
+
 def daily_bars(bars: DataFrame) -> DataFrame:
-    known = [c for c in MARKET_FIELDS if c in bars.columns]
-    return bars.select("date", "sid", F.struct(*known).alias("market"))
+    return bars.select("date", "sid", market_struct(bars).alias("market"))
 
 
 def factor_values(factors: DataFrame) -> DataFrame:
     names = [c for c in factors.columns if c not in ("date", "sid")]
-    return factors.select("date", "sid", F.struct(*[F.col(f"`{c}`").cast("float").alias(c) for c in names]).alias("feature"))
+    return factors.select("date", "sid", feature_struct(names).alias("feature"))

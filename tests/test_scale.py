@@ -154,3 +154,16 @@ def test_vectors_of_blocks_without_a_sample_are_dropped_where_they_lie(spark):
         assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
         few, many = ({r["td_idx"]: r["window"] for r in views.lookback_windows(cells, sampled, 5, 1, few=f).collect()} for f in (True, False))
     assert few == many and len(few) == 10
+
+
+def test_suppliers_bars_and_factors_come_from_one_aggregate(spark):
+    t = fixtures.supplier_tables(spark, "/root/testdata/sf0.001")
+    for rows in (t.recorded, t.series):
+        plan = plan_of(rows.select("date", "sid", "market", "feature", "status"))
+        assert plan.count("Exchange hashpartitioning(date") == 1 and "FullOuter" not in plan
+    apart = fixtures.side_by_side(t.daily, t.factors)
+    assert sorted(map(repr, t.records.select(apart.columns).collect())) == sorted(map(repr, apart.collect()))
+    bars = fixtures.supplier_bars(spark, "/root/testdata/sf0.001")
+    master = fixtures.instrument_master(bars, calendar=fixtures.trading_calendar(bars))
+    assert sorted(map(repr, t.master.collect())) == sorted(map(repr, master.collect()))
+    assert "partial_min_by" not in plan_of(t.master) and sorted(t.calendar.collect()) == sorted(fixtures.trading_calendar(bars).collect())
