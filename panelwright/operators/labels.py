@@ -15,10 +15,11 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, WindowSpec, functions as F
 
 from panelwright.functions.missing import is_missing
 from panelwright.functions.schema import SchemaError, require_columns
+from panelwright.operators.panel import instrument_series, meta_struct, series_days, series_rows, status_struct
 
 PriceAt = Callable[[str, int], Column]
 
@@ -305,7 +306,7 @@ def build_targets(panel: DataFrame, calendar: DataFrame, recipes: Iterable[Recip
     prices = {col: f"_price{i}" for i, col in enumerate(sorted({col for col, _ in fetched}))}
     looked_up = panel.withColumns({name: F.col(col).cast("double") for col, name in prices.items()}).withColumns(
         {
-            alias: F.first(prices[col]).over(by_sid.rangeBetween(k, k)) if k else F.col(prices[col])
+            alias: _price_at(prices[col], k, by_sid)
             for (col, k), alias in fetched.items()
         }
     )
@@ -316,6 +317,19 @@ def build_targets(panel: DataFrame, calendar: DataFrame, recipes: Iterable[Recip
     def at(col: str, k: int) -> Column:
         return F.col(fetched[col, k])
 
+    return _labelled(looked_up, recipes, at, position, keep)
+
+
+def _price_at(price: str, k: int, by_sid: WindowSpec) -> Column:
+    """The price k days on. A row's own needs no frame. Keys are unique, so that the day before or after, if it is there, is the neighbouring row."""
+    if k == 0:
+        return F.col(price)
+    if abs(k) == 1:
+        return F.when(F.lead("td_idx", k).over(by_sid) == F.col("td_idx") + k, F.lead(price, k).over(by_sid))
+    return F.first(price).over(by_sid.rangeBetween(k, k))
+
+
+def _labelled(looked_up: DataFrame, recipes: list[Recipe], at: PriceAt, position: CalendarPosition, keep: Iterable[str]) -> DataFrame:
     # Reasons are columns of their own first: each is used three times and should be evaluated once.
     reasoned = looked_up.withColumns({f"_reason_{r.name}": r.reason(at, position) for r in recipes})
     labels = []
@@ -325,6 +339,43 @@ def build_targets(panel: DataFrame, calendar: DataFrame, recipes: Iterable[Recip
     return reasoned.select("date", "sid", *keep, *labels)
 
 
+def series_targets(records: DataFrame, master: DataFrame, calendar: DataFrame, recipes: Iterable[Recipe], keep: Iterable[str] = ()) -> DataFrame:
+    """`build_targets` of `panel.series_rows(records, master, calendar)`, read from an array of days for each instrument.
+
+    Only records are moved and sorted. Days without one come up beside the array, and a price k days on is read k places on: no window buffers
+    or sorts the days, which outnumber the records. Recipes that need more than prices at offsets go through `build_targets`.
+    """
+    recipes, keep = list(recipes), list(keep)
+    fetched = {pair: f"_at{i}" for i, pair in enumerate(sorted({p for r in recipes for p in r.offsets()}))}
+    columns = sorted({col for col, _ in fetched})
+    if any(r.extra_columns() for r in recipes) or any(c.split(".")[0] not in ("market", "feature") for c in columns):
+        return build_targets(series_rows(records, master, calendar), calendar, recipes, keep)
+    for recipe in recipes:
+        recipe.validate_inputs(records)
+    prices = {col: f"_price{i}" for i, col in enumerate(columns)}
+    carried = {name: F.col(col).cast("double") for col, name in prices.items()}
+    if "market" in keep:
+        carried["market"] = F.col("market")
+    elif "status" in keep:
+        carried["market"] = F.when(F.col("market").isNotNull(), F.struct("market.close"))
+    if "feature" in keep:
+        carried["feature"] = F.col("feature")
+    if "status" in keep:
+        carried["_ratio"] = F.col("_ratio")
+    rows = series_days(instrument_series(records, master, calendar, carried), calendar)
+    rows = rows.withColumns({alias: F.get("_days", F.col("_pos") + k)[prices[col]] for (col, k), alias in fetched.items()})
+    rows = rows.withColumns({name: F.col(f"_rec.{name}") for name in ("market", "feature", "_ratio") if name in carried})
+    if "status" in keep:
+        rows = rows.withColumn("status", status_struct("_ratio"))
+    if "meta" in keep:
+        rows = rows.withColumn("meta", meta_struct())
+
+    def at(col: str, k: int) -> Column:
+        return F.col(fetched[col, k])
+
+    return _labelled(rows, recipes, at, CalendarPosition(F.col("td_idx"), calendar.agg(F.count(F.lit(1))).scalar()), keep)
+
+
 def build_target(panel: DataFrame, calendar: DataFrame, name: str, **overrides) -> DataFrame:
     """(date, sid, label) for one registered target; only the columns the recipe reads are scanned."""
     recipe = make_recipe(name, **overrides)

@@ -319,7 +319,7 @@ def _event_target(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _supplier_target(spark: SparkSession, sf: str, name: str) -> DataFrame:
     t = supplier_tables(spark, sf)
-    return labels.build_target(t.series, t.calendar, name)
+    return labels.series_targets(t.records, t.master, t.calendar, [labels.make_recipe(name)]).select("date", "sid", F.col(name).alias("label"))
 
 
 def _register_target(name: str) -> None:
@@ -339,7 +339,7 @@ def targets_together(spark: SparkSession, sf: str) -> DataFrame:
     """Every built-in target from one window, reduced to reason counts per target."""
     t = supplier_tables(spark, sf)
     names = labels.list_targets()
-    blocks = labels.build_targets(t.series, t.calendar, [labels.make_recipe(n) for n in names])
+    blocks = labels.series_targets(t.records, t.master, t.calendar, [labels.make_recipe(n) for n in names])
     items = [F.struct(F.lit(n).alias("target"), F.col(n)["reason"].alias("reason")) for n in names]
     long = blocks.select(F.inline(F.array(*items)))
     return long.groupBy("target", "reason").agg(F.count(F.lit(1)).alias("n"))
@@ -498,7 +498,7 @@ def time_split_days(spark: SparkSession, sf: str) -> DataFrame:
 
 def _with_labels(t: PanelTables, *names: str) -> DataFrame:
     """What views need of the panel, with labels beside it: derived once, joined to nothing."""
-    return labels.build_targets(t.series, t.calendar, [labels.make_recipe(n) for n in names], keep=["td_idx", "feature", "status"])
+    return labels.series_targets(t.records, t.master, t.calendar, [labels.make_recipe(n) for n in names], keep=["td_idx", "feature", "status"])
 
 
 def _supplier_view(spark: SparkSession, sf: str, label: str = "return_c0c1") -> tuple[PanelTables, DataFrame]:
@@ -916,7 +916,8 @@ def panel_year_replaced(spark: SparkSession, sf: str) -> DataFrame:
 def sanity_from_years(spark: SparkSession, sf: str) -> DataFrame:
     """Findings on a stored panel from the states of its years, of which the last was added afterwards and one corrected."""
     path, states = scratch_dir(spark, "panel"), scratch_dir(spark, "states")
-    files.write_panel(supplier_tables(spark, sf).series, path)
+    t = supplier_tables(spark, sf)
+    panels.write_series_panel(t.records, t.master, t.calendar, path)
     panel = spark.read.parquet(path)
     years = sorted(r["year"] for r in panel.select("year").distinct().collect())
     for some in (years[:-1], years[-1:], years[:1]):
