@@ -43,15 +43,14 @@ def panel_states(panel: DataFrame) -> DataFrame:
     """(year, kind, name, n, low, high): rows, true flags, states and the span of the missing ratio, each a few rows a year."""
     ratio = F.col("status.factor_missing_ratio").cast("double")
     none = F.lit(None).cast("double")
-    totals = panel.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.min(ratio).alias("low"), F.max(ratio).alias("high"),
-                                       *[F.count_if(F.col(f"status.{f}")).alias(f) for f in BOOLEAN_STATUS_FIELDS])
-    items = [("rows", "", F.col("rows"), none, none), ("ratio", "", F.lit(0).cast("long"), F.col("low"), F.col("high")),
-             *[("flag", f, F.col(f), none, none) for f in BOOLEAN_STATUS_FIELDS]]
-    named = [F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), n.alias("n"), low.alias("low"), high.alias("high")) for kind, name, n, low, high in items]
-    flags = totals.select("year", F.inline(F.array(*named)))
-    each = panel.select("year", F.inline(F.array(*[F.struct(F.lit(s).alias("kind"), F.col(f"status.{s}").alias("name")) for s in STATE_FIELDS])))
-    states = each.groupBy("year", "kind", "name").agg(F.count(F.lit(1)).alias("n")).select("year", "kind", "name", "n", none.alias("low"), none.alias("high"))
-    return flags.unionByName(states)
+    # The panel is read once: by year and combination of states, of which there are few; all else is counted on those.
+    combined = panel.groupBy("year", *[F.col(f"status.{s}").alias(s) for s in STATE_FIELDS]).agg(
+        F.count(F.lit(1)).alias("rows"), F.min(ratio).alias("low"), F.max(ratio).alias("high"), *[F.count_if(F.col(f"status.{f}")).alias(f) for f in BOOLEAN_STATUS_FIELDS])
+    items = [("rows", F.lit(""), F.col("rows"), none, none), ("ratio", F.lit(""), F.lit(0).cast("long"), F.col("low"), F.col("high")),
+             *[("flag", F.lit(f), F.col(f), none, none) for f in BOOLEAN_STATUS_FIELDS], *[(s, F.col(s), F.col("rows"), none, none) for s in STATE_FIELDS]]
+    named = [F.struct(F.lit(kind).alias("kind"), name.alias("name"), n.alias("n"), low.alias("low"), high.alias("high")) for kind, name, n, low, high in items]
+    each = combined.select("year", F.inline(F.array(*named)))
+    return each.groupBy("year", "kind", "name").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def update_panel_states(panel: DataFrame, path: str, years: Sequence[int] | None = None) -> None:

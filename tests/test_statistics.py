@@ -146,3 +146,17 @@ def test_wide_rows_are_in_no_aggregate(spark, tmp_path):
     with settings(spark, spark__sql__debug__maxToStringFields="1000", spark__sql__maxMetadataStringLength="100000"):
         plan = plan_of(feeds.read_factors(spark, str(tmp_path)))
     assert not any("Aggregate" in line and "f59" in line for line in plan.splitlines()) and "f59" in plan
+
+
+def test_stored_files_are_ordered_by_day(spark, tmp_path):
+    """The writer needs its rows by year; a sort of its own by year alone would undo the order by day."""
+    rows = spark.range(400).select(F.expr("date_add(DATE'2023-12-20', CAST(id * 7 % 20 AS INT))").alias("date"), (F.col("id") * 13 % 100).cast("string").alias("sid"))
+    tables.write_panel(rows.distinct(), str(tmp_path / "p"), files_per_year=2)
+    for file in (tmp_path / "p").glob("year=*/*.parquet"):
+        got = [(r["date"], r["sid"]) for r in spark.read.parquet(str(file)).coalesce(1).collect()]
+        assert got == sorted(got)
+
+
+def test_panel_states_read_a_panel_once(spark, store):
+    _, panel, _ = store
+    assert plan_of(statistics.panel_states(panel)).count("Scan parquet") == 1
