@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.functions.missing import is_missing
-from panelwright.operators import labels, profiles, quality, screening, statistics
+from panelwright.operators import labels, panel, profiles, quality, screening, statistics
 from panelwright.plans import fixtures
 from panelwright.sources import feeds, tables
 from tests.test_scale import plan_of, settings
@@ -129,6 +129,66 @@ def test_moments_in_one_pass(spark):
     assert screening.feature_moments(df.limit(0)).count() == 0
 
 
+def test_moments_of_a_known_width(spark):
+    """The same moments from vectors that compiled code puts together; no lambda sees a value."""
+    rng = random.Random(3)
+    width, odd = 8, [None, float("nan"), 0.0, -0.0]
+    rows = [[5.0 if i == 0 else None if i == 1 else 1e6 + rng.random() if i == 2 else 0.0 if i == 3 else rng.choice([None, 7.5]) if i == 4 else rng.choice([None, 0.0]) if i == 5
+             else rng.choice([*odd, rng.gauss(3, 2)]) if i == 6 else rng.choice([float("nan"), -rng.random()]) for i in range(width)] for _ in range(400)]
+    df = spark.createDataFrame([(r,) for r in rows], "features array<float>").repartition(5)
+    got = {r["position"]: r for r in screening.feature_moments(df, width).collect()}
+    each = df.select(F.posexplode("features").alias("position", "v"))
+    value = F.when(~is_missing(F.col("v")), F.col("v").cast("double"))
+    for r in each.groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("k"), F.var_pop(value).alias("variance")).collect():
+        mine = got[r["position"]]
+        assert (mine["n_rows"], mine["n_missing"]) == (r["n"], r["n"] - r["k"])
+        assert mine["variance"] == (None if r["variance"] is None else pytest.approx(r["variance"], rel=1e-6, abs=0.0))
+    assert len(got) == width and got[1]["variance"] is None and all(got[i]["variance"] == 0.0 for i in (0, 3, 4, 5))
+    plan = plan_of(screening.feature_moments(df, width))
+    assert "lambda" not in plan and plan.count("Generate") == 1 and plan.index("Generate") < plan.index("ObjectHashAggregate")
+    # Fewer wanted than there are, more wanted than there are, none at all, and rows that do not agree.
+    assert sorted(r["position"] for r in screening.feature_moments(df, 3).collect()) == [0, 1, 2]
+    assert {r["position"]: r for r in screening.feature_moments(df, width + 2).collect()} == got
+    assert screening.feature_moments(df.limit(0), width).count() == 0
+    with pytest.raises(Exception, match="unlike numbers of features"):
+        screening.feature_moments(df.union(df.limit(1).select(F.slice("features", 1, 2))), width).collect()
+
+
+def _lines(spark, path):
+    """Order lines with whole, fractional, huge, negative and missing quantities; some keys come twice, some dates and suppliers are missing."""
+    rng = random.Random(5)
+    quantities = [1.0, 2.0, 6.0, 12.5, 0.0, -4.0, 1e12, 0.1, float("nan"), None]
+    rows = [(i // 3, i, rng.choice([1, 2, 3, None]), i % 3, rng.choice(quantities), 10.0 + i, 0.05, 0.02, rng.choice("AR"),
+             rng.choice([f"2024-01-{d:02d} 00:00:00" for d in range(1, 9)] + [None])) for i in range(120)]
+    kinds = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, day string"
+    df = spark.createDataFrame(rows, kinds)
+    df.select(*[c for c in df.columns if c != "day"], F.col("day").cast("timestamp_ntz").alias("l_shipdate")).write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_wide_records_are_both_feeds_side_by_side(spark, tmp_path):
+    with settings(spark, spark__sql__ansi__enabled="false"):
+        # A day's price is divided by its quantity, which may be zero here.
+        _lines(spark, tmp_path)
+        bars, factors = fixtures.supplier_bars(spark, str(tmp_path)), fixtures.wide_factors(spark, str(tmp_path), 30)
+        held = F.col("date").isNotNull() & F.col("sid").isNotNull()
+        both = panel.side_by_side(feeds.daily_bars(bars), feeds.factor_values(factors)).where(held)
+        got = fixtures.wide_records(spark, str(tmp_path), 30).where(held)
+        # As text, where NaN is like NaN.
+        assert str(rows_of(got)) == str(rows_of(both.select(*got.columns))) and got.count() > 15
+        most = fixtures._priced_lines(spark, str(tmp_path)).groupBy("date", "sid").agg(F.max("l_quantity").alias("most"))
+        plainly = most.select("date", "sid", *[F.when(F.col("most") % (k + 2) != 0, F.col("most") * k).alias(f"w{k}") for k in range(30)])
+        assert str(rows_of(factors)) == str(rows_of(plainly))
+        plan = plan_of(fixtures.wide_tables(spark, str(tmp_path)).recorded.select("td_idx", "status"))
+        assert "FullOuter" not in plan
+
+
+def test_missing_shares_without_a_lambda(spark):
+    df = spark.createDataFrame([(1.0, None, 2), (float("nan"), None, None), (0.0, 3.0, 4), (None, float("nan"), 5)], "a float, b double, c int")
+    share = df.select(F.expr(panel.missing_share(["a", "b", "c"])).alias("share"))
+    assert [r["share"] for r in share.collect()] == [pytest.approx(x / 3) for x in (1, 3, 0, 2)] and dict(share.dtypes) == {"share": "float"}
+    assert "lambda" not in plan_of(share)
+
+
 def test_duplicates_are_found_by_position(spark):
     rng = random.Random(4)
     rows = [(f"2024-01-{rng.randrange(1, 9):02d}", f"s{rng.randrange(30)}", f"f{rng.randrange(3)}", i, float(i)) for i in range(500)] + [("2024-02-01", "hot", "f0", i, 1.0) for i in range(300)]
